@@ -38,7 +38,8 @@ def keyword_fallback(text: Column, vocab: list[str]) -> Column:
 def strip_code_fence(text: Column) -> Column:
     """Remove a leading fence line and, when present, a trailing bare fence line.
 
-    Text that does not start with a fence is returned unchanged. Only the
+    Text is stripped first; text that does not start with a fence is
+    returned stripped and otherwise unchanged. Only the
     first line and a final line consisting of a bare fence are dropped.
     """
     stripped = strip_unicode(text)
@@ -49,4 +50,4 @@ def strip_code_fence(text: Column) -> Column:
     last_is_fence = strip_unicode(last) == F.lit("```")
     body_end = F.when((n > 1) & last_is_fence, n - 2).otherwise(n - 1)
     body = F.array_join(F.slice(lines, 2, F.greatest(body_end, F.lit(0))), "\n")
-    return F.when(starts, F.when(n > 1, body).otherwise(F.lit(""))).otherwise(text)
+    return F.when(starts, F.when(n > 1, body).otherwise(F.lit(""))).otherwise(stripped)
