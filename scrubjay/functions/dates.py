@@ -18,6 +18,15 @@ _LENIENT = {"%m": "M", "%d": "d", "%H": "H", "%I": "h", "%M": "m", "%S": "s"}
 
 _TOKEN = re.compile(r"%[A-Za-z%]")
 
+# Shape of each directive's text, used to skip parses that cannot succeed
+# (a failed datetime parse is far more expensive than a regex test).
+_SHAPE = {
+    "%Y": r"\d{4}", "%y": r"\d{2}", "%m": r"\d{1,2}", "%d": r"\d{1,2}", "%H": r"\d{1,2}", "%I": r"\d{1,2}",
+    "%M": r"\d{1,2}", "%S": r"\d{1,2}", "%f": r"\d{1,9}", "%b": r"[A-Za-z]{3,4}", "%B": r"[A-Za-z]+",
+    "%a": r"[A-Za-z]+", "%A": r"[A-Za-z]+", "%p": r"[AaPp][Mm]", "%j": r"\d{1,3}", "%z": r"[+-]\d{4}",
+    "%Z": r"[A-Za-z/_+-]+", "%%": "%",
+}
+
 
 def to_spark_pattern(fmt: str, lenient: bool = False) -> str:
     """Translate ``fmt``; literal text is quoted. With ``lenient``, one-or-two
@@ -47,9 +56,25 @@ def _quote(lit: str) -> str:
     return "'" + lit.replace("'", "''") + "'"
 
 
+def shape_regex(fmt: str) -> str:
+    """Anchored regex a string must match before parsing with ``fmt`` is tried."""
+    out, pos = ["^"], 0
+    for m in _TOKEN.finditer(fmt):
+        out.append(re.escape(fmt[pos:m.start()]))
+        out.append(_SHAPE.get(m.group(0), ".+"))
+        pos = m.end()
+    out.append(re.escape(fmt[pos:]) + "$")
+    return "".join(out)
+
+
+def try_parse(c: Column, fmt: str) -> Column:
+    """``try_to_timestamp`` guarded by the format's shape regex."""
+    return F.when(c.rlike(shape_regex(fmt)), F.try_to_timestamp(c, F.lit(to_spark_pattern(fmt, lenient=True))))
+
+
 def parse_any(c: Column, formats: list[str]) -> Column:
     """First successful parse over ``formats`` in list order (NULL if none)."""
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(to_spark_pattern(f, lenient=True))) for f in formats])
+    return F.coalesce(*[try_parse(c, f) for f in formats])
 
 
 def format_as(ts: Column, fmt: str) -> Column:

@@ -28,6 +28,8 @@ FLOAT_RE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 TRUE_WORDS = ["true", "t", "yes", "y", "1"]
 FALSE_WORDS = ["false", "f", "no", "n", "0"]
 DATE_PATTERN = "yyyy-M-d"
+DATE_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}$"
+TIMESTAMP_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}:\d{1,2}(\.\d{1,6})?)?$"
 TIMESTAMP_PATTERNS = ["yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "yyyy-M-d H:m:s.SSSSSS", "yyyy-M-d'T'H:m:s.SSSSSS"]
 INFER_ORDER = ["bigint", "double", "boolean", "date", "timestamp_ntz"]
 DEFAULT_INFER_CONFIDENCE = 0.75
@@ -56,10 +58,10 @@ def coerce_expr(c: Column, target: str, source_type: T.DataType | None = None) -
     if t == "boolean":
         return F.when(low.isin(TRUE_WORDS), F.lit(True)).when(low.isin(FALSE_WORDS), F.lit(False))
     if t == "date":
-        return F.to_date(F.try_to_timestamp(s, F.lit(DATE_PATTERN)))
+        return F.when(s.rlike(DATE_SHAPE), F.to_date(F.try_to_timestamp(s, F.lit(DATE_PATTERN))))
     if t == "timestamp_ntz":
-        return F.coalesce(*[F.try_to_timestamp(s, F.lit(p)) for p in [DATE_PATTERN] + TIMESTAMP_PATTERNS]
-                          ).cast("timestamp_ntz")
+        return F.when(s.rlike(TIMESTAMP_SHAPE), F.coalesce(
+            *[F.try_to_timestamp(s, F.lit(p)) for p in [DATE_PATTERN] + TIMESTAMP_PATTERNS]).cast("timestamp_ntz"))
     if t == "string":
         return c.cast("string")
     raise ValueError(t)
@@ -81,13 +83,16 @@ def _castable_shares(df: DataFrame, columns: list[str], targets: list[str]) -> D
 
     ``(name, target, share, n)`` long form.
     """
+    # strip once per value in a projection; every cast test reads the stripped text
+    x = df.select(*[strip_unicode(F.col(c).cast("string")).alias(f"s{i}") for i, c in enumerate(columns)])
     aggs = []
-    for i, c in enumerate(columns):
-        s = strip_unicode(F.col(c).cast("string"))
-        present = F.col(c).isNotNull() & (s != "")
+    for i, _c in enumerate(columns):
+        s = F.col(f"s{i}")
+        present = s.isNotNull() & (s != "")
         aggs.append(F.count_if(present).alias(f"n{i}"))
         for j, t in enumerate(targets):
-            aggs.append(F.count_if(present & coerce_expr(F.col(c), t).isNotNull()).alias(f"k{i}_{j}"))
+            aggs.append(F.count_if(present & coerce_expr(s, t).isNotNull()).alias(f"k{i}_{j}"))
+    df = x
     one = df.agg(*aggs)
     items = [F.struct(F.lit(c).alias("name"), F.lit(i).alias("ordinal"), F.lit(t).alias("target"),
                       F.lit(j).alias("rank"), F.col(f"k{i}_{j}").alias("k"), F.col(f"n{i}").alias("n"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubjay.functions.dates import format_as, parse_any, to_spark_pattern
+from scrubjay.functions.dates import format_as, parse_any, try_parse
 from scrubjay.functions.flags import add_flags
 from scrubjay.functions.text import normalize_ws, strip_unicode
 
@@ -149,23 +149,32 @@ def infer_format_rules(df: DataFrame, columns: list[str], locale: str = DEFAULT_
     """
     date_formats = date_formats or CANDIDATE_DATE_FORMATS
     _, cc, nat, sub, plen, _ = _rule(locale)
-    aggs = []
     fams = ["date", "money", "phone", "postal"]
-    for i, c in enumerate(columns):
-        s = strip_unicode(F.col(c).cast("string"))
-        present = F.col(c).isNotNull() & (s != "")
-        aggs.append(F.count_if(present).alias(f"n{i}"))
-        tests = {
-            "date": parse_any(s, date_formats).isNotNull(),
-            "money": money_expr(s).isNotNull() & s.rlike(r"[$€£¥().,]"),
-            "phone": phone_parts(s, F.lit(cc), F.lit(nat), F.lit(sub))[0].isNotNull(),
-            "postal": postal_expr(s, F.lit(plen)).isNotNull(),
-        }
-        for j, fam in enumerate(fams):
-            aggs.append(F.count_if(present & tests[fam]).alias(f"k{i}_{j}"))
+    # one projection computes every test once per row (stripped text shared),
+    # then one aggregation counts them
+    stripped = df.select(*[strip_unicode(F.col(c).cast("string")).alias(f"s{i}") for i, c in enumerate(columns)])
+    tests, aggs = [], []
+    for i, _c in enumerate(columns):
+        s_ = F.col(f"s{i}")
+        present = s_.isNotNull() & (s_ != "")
+        tests.append(present.alias(f"p{i}"))
         for j, f in enumerate(date_formats):
-            ok = F.try_to_timestamp(s, F.lit(to_spark_pattern(f, lenient=True))).isNotNull()
-            aggs.append(F.count_if(present & ok).alias(f"f{i}_{j}"))
+            tests.append((present & try_parse(s_, f).isNotNull()).alias(f"d{i}_{j}"))
+        tests.append((present & money_expr(s_).isNotNull() & s_.rlike(r"[$€£¥().,]")).alias(f"t{i}_1"))
+        tests.append((present & phone_parts(s_, F.lit(cc), F.lit(nat), F.lit(sub))[0].isNotNull()).alias(f"t{i}_2"))
+        tests.append((present & postal_expr(s_, F.lit(plen)).isNotNull()).alias(f"t{i}_3"))
+    flags = stripped.select(*tests)
+    for i, _c in enumerate(columns):
+        any_date = F.col(f"d{i}_0")
+        for j in range(1, len(date_formats)):
+            any_date = any_date | F.col(f"d{i}_{j}")
+        aggs.append(F.count_if(F.col(f"p{i}")).alias(f"n{i}"))
+        aggs.append(F.count_if(any_date).alias(f"k{i}_0"))
+        for j in (1, 2, 3):
+            aggs.append(F.count_if(F.col(f"t{i}_{j}")).alias(f"k{i}_{j}"))
+        for j in range(len(date_formats)):
+            aggs.append(F.count_if(F.col(f"d{i}_{j}")).alias(f"f{i}_{j}"))
+    df = flags
     one = df.agg(*aggs)
     rows = []
     for i, c in enumerate(columns):

@@ -175,6 +175,14 @@ def recommend_tasks(df: DataFrame, id_col: str | None = None, min_confidence: fl
     castable to a typed column) whose values have neighbours at similarity >= 0.9.
     """
     spark = df.sparkSession
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)  # several summary passes read it
+    try:
+        return _recommend(spark, df, id_col, min_confidence, profile)
+    finally:
+        df.unpersist()
+
+
+def _recommend(spark, df: DataFrame, id_col: str | None, min_confidence: float, profile: DataFrame | None) -> DataFrame:
     prof = profile if profile is not None else P.profile_columns(df, with_patterns=True)
     rows = prof.select("name", "null_rate", "unique_rate", "detected_issues", "dtype").collect()  # one row per column
     dup = P.duplicate_rate(df).first()["duplicate_row_rate"]

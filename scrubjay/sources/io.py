@@ -75,14 +75,17 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 
 
 def append_audit_log(entries: DataFrame, path: str) -> None:
-    """Append-only audit sink partitioned by job.
+    """Append-only audit sink.
 
-    ``entries`` holds ``(timestamp, node, status, detail, job_id)``. Appends are
-    atomic per job through the file committer, so a retried task never leaves a
+    ``entries`` holds ``(timestamp, node, status, detail, job_id)``. Files are
+    partitioned by the entry's day, not by job: a directory per job id would
+    turn millions of jobs into millions of tiny files. Appends are atomic per
+    write through the file committer, so a retried task never leaves a
     half-written log.
     """
     cols = ["timestamp", "node", "status", "detail", "job_id"]
-    entries.select(*cols).write.mode("append").partitionBy("job_id").parquet(path)
+    out = entries.select(*cols, F.to_date("timestamp").alias("log_date"))
+    out.write.mode("append").partitionBy("log_date").parquet(path)
 
 
 def audit_entries(spark: SparkSession, job_id: str, rows: list[tuple[str, str, str]]) -> DataFrame:
