@@ -31,7 +31,7 @@ def register(name: str, sql: str | None = None):
 def _load_all() -> None:
     # importing the modules fills the registry
     from scrubjay.plans import (  # noqa: F401
-        profile_queries, cleaning_queries, quality_queries, search_queries, linkage_queries, io_queries,
+        profile_queries, cleaning_queries, quality_queries, search_queries, linkage_queries, io_queries, stream_queries,
     )
 
 
