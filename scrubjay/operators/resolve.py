@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from scrubjay.functions.similarity import cosine_sim, exact_sim, jaro_winkler, levenshtein_sim
 from scrubjay.functions.text import normalize_ws
-from scrubjay.session import cut_lineage
+from scrubjay.session import cut_lineage, spread
 
 EPS = 1e-9
 
@@ -252,28 +252,55 @@ def fuzzy_dedup(df: DataFrame, id_col: str, column: str, threshold: float = 0.90
 
 # ---------------------------------------------------------------- C5 MinHash LSH
 
-def word_shingles(df: DataFrame, id_col: str, text_col: str, k: int = 3) -> DataFrame:
-    """Distinct word k-shingles of the normalised text (whole text when shorter):
-    ``id, h`` with h = xxhash64(shingle)."""
+def shingle_hashes(df: DataFrame, id_col: str, text_col: str, k: int = 3, normalized: bool = False) -> DataFrame:
+    """``id, hs ARRAY<BIGINT>``: distinct xxhash64 of the word k-shingles of each text
+    (the whole text when shorter). Per-row array work: no explode, no shuffle."""
+    text = F.col(text_col) if normalized else normalize_ws(F.col(text_col))
     # materialise the word array once: a lambda that referenced the split
     # expression would re-split the whole text for every shingle
-    w = df.select(F.col(id_col).alias("id"), F.split(normalize_ws(F.col(text_col)), " ").alias("w"))
+    w = df.select(F.col(id_col).alias("id"), F.split(text, " ").alias("w"))
     n = F.size("w")
     starts = F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1)))
-    sh = F.transform(starts, lambda i: F.array_join(F.slice(F.col("w"), i, k), " "))
-    return (w.select("id", F.explode(sh).alias("s"))
-            .select("id", F.xxhash64("s").alias("h")).distinct())
+    hs = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i, k), " ")))
+    return w.select("id", F.array_distinct(hs).alias("hs"))
 
 
-def minhash_signatures(shingles: DataFrame, num_hashes: int = 128) -> DataFrame:
-    """``id, sig ARRAY<BIGINT>``: per hash function i, min over shingles of xxhash64(h, i).
+_MIX1, _MIX2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
-    One grouped aggregation with ``num_hashes`` minima (combined map-side, so a
-    huge document is reduced per partition).
+
+def _splitmix(x):
+    z = x + _GOLD
+    z = (z ^ (z >> np.uint64(30))) * _MIX1
+    z = (z ^ (z >> np.uint64(27))) * _MIX2
+    return z ^ (z >> np.uint64(31))
+
+
+def minhash_signatures(hashes: DataFrame, num_hashes: int = 128, seed: int = 1) -> DataFrame:
+    """``id, sig ARRAY<BIGINT>``: for each of ``num_hashes`` seeded mixes of the
+    shingle hashes, the minimum over the document (Broder 1997).
+
+    A pandas UDF applies the 64-bit mixes to a (shingles x hashes) numpy
+    matrix per document, per Arrow batch; rows stay where they are.
     """
-    mins = [F.min(F.xxhash64(F.col("h"), F.lit(i))).alias(f"m{i}") for i in range(num_hashes)]
-    g = shingles.groupBy("id").agg(*mins)
-    return g.select("id", F.array(*[F.col(f"m{i}") for i in range(num_hashes)]).alias("sig"))
+    from pyspark.sql.functions import pandas_udf
+    from pyspark.sql.types import ArrayType, LongType
+
+    seeds = _splitmix(np.arange(num_hashes, dtype=np.uint64) + np.uint64(seed * 1_000_003))
+
+    @pandas_udf(ArrayType(LongType()))
+    def sig(col: pd.Series) -> pd.Series:
+        out = []
+        with np.errstate(over="ignore"):
+            for hs in col:
+                h = np.asarray(hs, dtype=np.int64).view(np.uint64)
+                if h.size == 0:
+                    out.append(None)
+                    continue
+                m = _splitmix(h[:, None] ^ seeds[None, :]).min(axis=0)
+                out.append(m.view(np.int64))
+        return pd.Series(out)
+
+    return hashes.select("id", sig(F.col("hs")).alias("sig")).filter(F.col("sig").isNotNull())
 
 
 def lsh_candidates(sigs: DataFrame, bands: int = 16, rows: int = 8, max_bucket: int = 64) -> DataFrame:
@@ -298,15 +325,17 @@ def lsh_candidates(sigs: DataFrame, bands: int = 16, rows: int = 8, max_bucket:
     return pairs.unionByName(star).distinct()
 
 
-def jaccard_verify(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
-    """Exact Jaccard of shingle sets for candidate pairs: ``a, b, jaccard`` >= threshold."""
-    sizes = shingles.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    sa = shingles.select(F.col("id").alias("a"), "h")
-    sb = shingles.select(F.col("id").alias("b"), "h")
-    inter = pairs.join(sa, "a").join(sb, ["b", "h"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("i"))
-    j = (inter.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a")
-         .join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b"))
-    jac = F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))
+def jaccard_verify(pairs: DataFrame, hashes: DataFrame, threshold: float) -> DataFrame:
+    """Exact Jaccard of the shingle sets of candidate pairs: ``a, b, jaccard`` >= threshold.
+
+    Each pair fetches its two hash arrays by equi-join and intersects them
+    (hash-based, linear in the set sizes).
+    """
+    ha = hashes.select(F.col("id").alias("a"), F.col("hs").alias("ha"))
+    hb = hashes.select(F.col("id").alias("b"), F.col("hs").alias("hb"))
+    j = pairs.join(ha, "a").join(hb, "b")
+    inter = F.size(F.array_intersect("ha", "hb"))
+    jac = inter / (F.size("ha") + F.size("hb") - inter)
     return j.select("a", "b", jac.alias("jaccard")).filter(F.col("jaccard") >= threshold)
 
 
@@ -314,20 +343,24 @@ def near_duplicate_documents(df: DataFrame, id_col: str, text_col: str, threshol
                              num_hashes: int = 128, bands: int = 16) -> DataFrame:
     """Canonical id per document from MinHash-LSH near-duplicate detection.
 
-    Identical normalised texts collapse to one value first; near duplicates
-    are found between distinct texts by LSH and verified by exact Jaccard,
-    so precision is exact and only recall is probabilistic
-    (P[candidate | J=0.9] ~ 0.9999 with 16 x 8 bands). Output ``id, canonical_id``.
+    Texts are normalised once. Identical texts are grouped by the SHA-256 of
+    the normalised text (the shuffle carries 32-byte keys, not documents) and
+    represented by their smallest id; near duplicates are found between the
+    representatives by LSH and verified by exact Jaccard, so precision is exact
+    and only recall is probabilistic (P[candidate | J=0.9] ~ 0.9999 with
+    16 x 8 bands). Output ``id, canonical_id``.
     """
-    norm = normalize_ws(F.col(text_col))
-    vals = cut_lineage(value_groups(df, id_col, norm))
-    vdf = vals.select(F.col("vid").alias("id"), F.col("value").alias("t"))
-    sh = cut_lineage(word_shingles(vdf, "id", "t"))
-    sigs = minhash_signatures(sh, num_hashes)
+    src = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t0")), "id")
+    normed = cut_lineage(src.select("id", normalize_ws(F.col("t0")).alias("t"))
+                         .filter(F.col("t").isNotNull()).withColumn("k", F.sha2("t", 256)))
+    rep = normed.groupBy("k").agg(F.min("id").alias("vid"))
+    rv = normed.select("id", "k").join(rep, "k").select("id", "vid")
+    reps = normed.join(rep.select(F.col("vid").alias("id")), "id", "left_semi")
+    hs = cut_lineage(shingle_hashes(reps, "id", "t", normalized=True))
+    sigs = minhash_signatures(hs, num_hashes)
     cand = lsh_candidates(sigs, bands, num_hashes // bands)
-    ver = jaccard_verify(cand, sh, threshold)
+    ver = jaccard_verify(cand, hs, threshold)
     comp = connected_components(ver, "a", "b")
-    rv = record_values(df, id_col, norm)
     out = (rv.join(comp, rv["vid"] == comp["node"], "left")
            .select("id", F.coalesce(F.col("component"), F.col("vid")).alias("canonical_id")))
     missing = df.select(F.col(id_col).alias("id")).join(out.select("id"), "id", "left_anti")

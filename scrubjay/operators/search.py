@@ -12,6 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scrubjay.session import spread
+
 SHORT_TTL_HOURS = 24  # fixed value: short-term entries expire after 24 h (strict >)
 
 
@@ -27,9 +29,8 @@ def list_by_score(df: DataFrame, score_col: str, id_col: str, type_col: str | No
                   type_value: str | None = None) -> DataFrame:
     """Optional type filter, then score descending with the id as tie-break.
 
-    Adds ``rank`` (1-based) computed by a distributed sort; the global
-    ``row_number`` is replaced by a sort + ``monotonically``-free rank via
-    ``rank`` over the sort key only when asked for with :func:`ranked`.
+    The ordering is a distributed range-partitioned sort; no single task sees
+    all entries.
     """
     if type_col and type_value is not None:
         df = df.filter(F.col(type_col) == type_value)
@@ -66,7 +67,7 @@ def keyword_search(df: DataFrame, text_cols: list[str], query: str, id_col: str,
     if tags_col:
         parts.append(F.array_join(F.coalesce(F.col(tags_col), F.array().cast("array<string>")), " "))
     text = F.concat_ws(" ", *parts)
-    scored = df.withColumn("score", keyword_score(text, query)).filter(F.col("score") > 0)
+    scored = spread(df).withColumn("score", keyword_score(text, query)).filter(F.col("score") > 0)
     return scored.orderBy(F.col("score").desc(), F.col(id_col))
 
 

@@ -28,6 +28,10 @@ def get_spark(master: str | None = None, app: str = "scrubjay",
           .config("spark.sql.parquet.aggregatePushdown", "true"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if master and master.startswith("local"):
+        # local mode runs everything in the driver JVM; its default 1g heap is
+        # too small for broadcast builds of even mid-size sides
+        b = b.config("spark.driver.memory", "8g")
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -64,3 +68,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition before CPU-heavy per-row work when the input has fewer
+    partitions than the cluster has task slots (a small file of long texts
+    is one split). On large inputs this is a no-op."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots, *keys) if keys else df.repartition(slots)
