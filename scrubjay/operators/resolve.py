@@ -429,58 +429,53 @@ def fellegi_sunter(leveled: DataFrame, sim_cols: list[str], max_rounds: int = 25
                    prior: float = FS_PRIOR) -> tuple[DataFrame, dict]:
     """EM for m/u probabilities on the level-vector count table, then match probability.
 
-    The pairs are reduced to counts per level vector (at most 5^k rows); EM
-    runs on that small table, each step one aggregation. The fitted m/u are
-    attached to the pairs as literals. Returns (pairs with ``match_weight``
-    and ``match_probability``, parameters).
+    The pairs are reduced by one aggregation to counts per level vector. That
+    table has at most 5^k rows (k comparators, 4 levels + missing) whatever
+    the number of pairs, so it is read once and EM iterates on it in numpy.
+    The fitted log2(m/u) weights go back into the plan as literals; the
+    per-pair weight and probability are column expressions.
+    Returns (pairs with ``match_weight`` and ``match_probability``, parameters).
     """
     lv = [f"lvl_{c}" for c in sim_cols]
-    counts = leveled.groupBy(*lv).agg(F.count(F.lit(1)).alias("cnt"))
-    counts = cut_lineage(counts)
     k = len(lv)
-    m = [list(FS_M0) for _ in range(k)]
-    # u starts from the level shares over all pairs (random pairs are mostly non-matches)
-    tot = counts.agg(F.sum("cnt")).first()[0] or 0
-    u = []
-    for c in lv:
-        rows = {r[0]: r[1] for r in counts.groupBy(c).agg(F.sum("cnt")).collect()}
-        nn = sum(v for key, v in rows.items() if key is not None) or 1
-        u.append([max(rows.get(i, 0) / nn, 1e-6) for i in range(4)])
+    rows = leveled.groupBy(*lv).agg(F.count(F.lit(1)).alias("cnt")).collect()  # <= 5^k rows
+    lev = np.array([[(-1 if r[c] is None else r[c]) for c in lv] for r in rows], dtype=np.int64).reshape(-1, k)
+    cnt = np.array([r["cnt"] for r in rows], dtype=np.float64)
+    m = np.tile(np.array(FS_M0, dtype=np.float64), (k, 1))
+    u = np.full((k, 4), 1e-6)
+    for i in range(k):  # u starts from level shares over all pairs (random pairs are mostly non-matches)
+        for x in range(4):
+            u[i, x] = max(cnt[lev[:, i] == x].sum() / max(cnt[lev[:, i] >= 0].sum(), 1.0), 1e-6)
     lam = prior
     for _ in range(max_rounds):
-        pm, pu = F.lit(math.log(lam)), F.lit(math.log(1 - lam))
-        for i, c in enumerate(lv):
-            pm = pm + F.coalesce(F.element_at(F.array(*[F.lit(math.log(max(x, 1e-12))) for x in m[i]]), F.col(c) + 1), F.lit(0.0))
-            pu = pu + F.coalesce(F.element_at(F.array(*[F.lit(math.log(max(x, 1e-12))) for x in u[i]]), F.col(c) + 1), F.lit(0.0))
-        post = F.lit(1.0) / (1 + F.exp(pu - pm))
-        e = counts.withColumn("g", post)
-        aggs = [F.sum(F.col("cnt") * F.col("g")).alias("sg"), F.sum("cnt").alias("sn")]
-        for i, c in enumerate(lv):
-            for lvl in range(4):
-                hit = (F.col(c) == lvl)
-                aggs.append(F.sum(F.when(hit, F.col("cnt") * F.col("g")).otherwise(0)).alias(f"m{i}_{lvl}"))
-                aggs.append(F.sum(F.when(hit, F.col("cnt") * (1 - F.col("g"))).otherwise(0)).alias(f"u{i}_{lvl}"))
-            aggs.append(F.sum(F.when(F.col(c).isNotNull(), F.col("cnt") * F.col("g")).otherwise(0)).alias(f"mn{i}"))
-            aggs.append(F.sum(F.when(F.col(c).isNotNull(), F.col("cnt") * (1 - F.col("g"))).otherwise(0)).alias(f"un{i}"))
-        r = e.agg(*aggs).first()  # one row
-        if not r or not r["sn"]:
-            break
-        new_lam = min(max(r["sg"] / r["sn"], 1e-6), 1 - 1e-6)
-        new_m = [[max((r[f"m{i}_{lvl}"] or 0) / max(r[f"mn{i}"] or 0, 1e-12), 1e-6) for lvl in range(4)] for i in range(k)]
-        new_u = [[max((r[f"u{i}_{lvl}"] or 0) / max(r[f"un{i}"] or 0, 1e-12), 1e-6) for lvl in range(4)] for i in range(k)]
-        change = max([abs(new_lam - lam)] + [abs(a - b) for x, y in zip(new_m + new_u, m + u) for a, b in zip(x, y)])
+        lm = np.full(len(cnt), math.log(lam))
+        lu = np.full(len(cnt), math.log(1 - lam))
+        for i in range(k):
+            seen = lev[:, i] >= 0
+            lm[seen] += np.log(m[i, lev[seen, i]])
+            lu[seen] += np.log(u[i, lev[seen, i]])
+        g = 1.0 / (1.0 + np.exp(lu - lm))
+        new_lam = min(max((cnt * g).sum() / max(cnt.sum(), 1.0), 1e-6), 1 - 1e-6)
+        new_m, new_u = np.empty_like(m), np.empty_like(u)
+        for i in range(k):
+            seen = lev[:, i] >= 0
+            wm, wu = (cnt * g)[seen], (cnt * (1 - g))[seen]
+            for x in range(4):
+                hit = lev[seen, i] == x
+                new_m[i, x] = max(wm[hit].sum() / max(wm.sum(), 1e-12), 1e-6)
+                new_u[i, x] = max(wu[hit].sum() / max(wu.sum(), 1e-12), 1e-6)
+        change = max(abs(new_lam - lam), float(np.abs(new_m - m).max()), float(np.abs(new_u - u).max()))
         lam, m, u = new_lam, new_m, new_u
         if change < tol:
             break
-    _ = tot
     w = F.lit(0.0)
     for i, c in enumerate(lv):
-        ratios = F.array(*[F.lit(math.log2(max(m[i][x], 1e-12) / max(u[i][x], 1e-12))) for x in range(4)])
+        ratios = F.array(*[F.lit(float(math.log2(m[i, x] / u[i, x]))) for x in range(4)])
         w = w + F.coalesce(F.element_at(ratios, F.col(c) + 1), F.lit(0.0))
     out = leveled.withColumn("match_weight", w)
     two = F.pow(F.lit(2.0), F.col("match_weight"))
     out = out.withColumn("match_probability", F.lit(prior) * two / (1 - prior + prior * two))
-    return out, {"lambda": lam, "m": m, "u": u}
+    return out, {"lambda": lam, "m": m.tolist(), "u": u.tolist()}
 
 
 # ---------------------------------------------------------------- D8 vectors

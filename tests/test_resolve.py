@@ -144,3 +144,14 @@ def test_no_cartesian_or_nested_loop(spark):
     for df in (R.similar_values(vals, 0.8), R.similar_values(vals, 0.85, "jaro_winkler")):
         p = _plan(df)
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_fellegi_sunter_separates_matches(spark):
+    from pyspark.sql import functions as F
+    rows = [(i, 1.0, 1.0) for i in range(50)] + [(100 + i, 0.3, 0.0) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, s1 double, s2 double")
+    lv = R.comparison_levels(df, ["s1", "s2"])
+    out, params = R.fellegi_sunter(lv, ["s1", "s2"])
+    p = {r["id"]: r["match_probability"] for r in out.select("id", "match_probability").collect()}
+    assert min(p[i] for i in range(50)) > 0.5 > max(p[100 + i] for i in range(500))
+    assert 0 < params["lambda"] < 1
