@@ -1,7 +1,7 @@
 """Row audit, circuit breaker and job roll-ups (H2-H9).
 
-The audit is one aggregation per side (or one when the caller hands in an
-``Observation``); the breaker is a ``when`` chain over that one-row result, so
+The audit is one aggregation over both sides (a union of marker rows);
+the breaker is a ``when`` chain over that one-row result, so
 a guard never pulls data to the driver beyond a single row.
 """
 
@@ -38,13 +38,20 @@ def delta_rate(before: Column, after: Column) -> Column:
 
 
 def audit(before: DataFrame, after: DataFrame) -> DataFrame:
-    """One-row audit: ``rows_before, rows_after, row_delta_rate, flagged_record_count`` (H2, H3)."""
-    b = before.agg(F.count(F.lit(1)).alias("rows_before"))
-    a = after.agg(F.count(F.lit(1)).alias("rows_after"), flagged_count(after).alias("flagged_record_count"))
-    return b.crossJoin(a).select(  # 1 x 1 rows
-        "rows_before", "rows_after",
-        delta_rate(F.col("rows_before"), F.col("rows_after")).alias("row_delta_rate"),
-        "flagged_record_count")
+    """One-row audit: ``rows_before, rows_after, row_delta_rate, flagged_record_count`` (H2, H3).
+
+    Both sides are reduced to marker rows and counted in one aggregation over
+    their union: each side is scanned once and nothing is joined.
+    """
+    fl = (F.coalesce(F.col(FLAG).cast("boolean"), F.lit(False)) if FLAG in after.columns else F.lit(False))
+    b = before.select(F.lit(True).alias("__before"), F.lit(False).alias("__fl"))
+    a = after.select(F.lit(False).alias("__before"), fl.alias("__fl"))
+    u = b.unionByName(a).agg(F.count_if(F.col("__before")).alias("rows_before"),
+                             F.count_if(~F.col("__before")).alias("rows_after"),
+                             F.count_if(F.col("__fl")).alias("flagged_record_count"))
+    return u.select("rows_before", "rows_after",
+                    delta_rate(F.col("rows_before"), F.col("rows_after")).alias("row_delta_rate"),
+                    "flagged_record_count")
 
 
 def breaker_exprs(rows_before: Column, delta: Column, flagged: Column,

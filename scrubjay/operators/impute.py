@@ -3,10 +3,10 @@
 Fill statistics are aggregations that combine map-side (value counts for the
 mode; Spark's exact ``median`` keeps a value->count map, so its memory follows
 the number of distinct values, not rows; ``approx=True`` switches to the
-bounded ``percentile_approx`` sketch). Global statistics are one row and are
-attached with a broadcast cross join; per-group statistics are one row per
+bounded ``percentile_approx`` sketch). Per-group statistics are one row per
 group and joined on the group key (AQE turns it into a broadcast join when
-the group table is small at run time).
+the group table is small at run time). Global statistics are one row, read
+once and inlined as literals (no join at all).
 """
 
 from __future__ import annotations
@@ -90,11 +90,13 @@ def impute(df: DataFrame, strategy_map: dict[str, str] | None = None, columns: l
     strategy_map = {**auto_strategy(df, columns), **(strategy_map or {})}
     for i, c in enumerate(columns):
         strat = strategy_map[c]
-        glob = fill_statistics(df, c, strat, approx=approx).select(
-            F.col("fill").alias(f"__gf{i}"), F.col("confidence").alias(f"__gc{i}"))
-        df = df.crossJoin(F.broadcast(glob))  # one row
-        fill, conf = F.col(f"__gf{i}"), F.col(f"__gc{i}")
-        drop = [f"__gf{i}", f"__gc{i}"]
+        # the global statistic is one row: read it and inline it as literals
+        g = fill_statistics(df.select(c), c, strat, approx=approx).select("fill", "confidence").first()
+        g_fill = g["fill"] if g is not None else None
+        g_conf = g["confidence"] if g is not None else None
+        fill = F.lit(g_fill).cast(types[c] if strat == "mode" else "double")
+        conf = F.lit(g_conf).cast("double")
+        drop = []
         if group_by:
             grp = fill_statistics(df.select(group_by, c), c, strat, group_by=group_by, approx=approx).select(
                 F.col(group_by).alias(f"__k{i}"), F.col("fill").alias(f"__lf{i}"), F.col("confidence").alias(f"__lc{i}"))

@@ -133,8 +133,8 @@ def edit_candidates(values: DataFrame, threshold: float, q: int = 3) -> DataFram
     tau = F.floor((1 - threshold) * longer + EPS)
     cls = per_value.select("vid", F.least("len", "partner").alias("lo"), longer.alias("hi"),
                            (F.col("len") - longer + q * tau + 1).alias("plen"))
-    pre = (ranked.join(cls, "vid").filter(F.col("rank") <= F.col("plen"))
-           .select("vid", "blk", "len", "lo", "hi", "token"))
+    pre = cut_lineage(ranked.join(cls, "vid").filter(F.col("rank") <= F.col("plen"))
+                      .select("vid", "blk", "len", "lo", "hi", "token"))  # both sides of the self-join
     a = pre.select(F.col("vid").alias("va"), "blk", F.col("len").alias("la"), "lo", "hi", "token")
     b = pre.select(F.col("vid").alias("vb"), "blk", F.col("len").alias("lb"), "lo", "hi", "token")
     j = a.join(b, ["blk", "token", "lo", "hi"]).filter(
@@ -155,7 +155,7 @@ def jaro_winkler_candidates(values: DataFrame, threshold: float) -> DataFrame:
     ratio = max(3 * j - 2, 0.0)
     lmin = F.greatest(F.lit(1.0), F.ceil(ratio * s - EPS).cast("double"))
     alpha = F.greatest(F.lit(1), F.ceil((3 * j - 1) * s * lmin / (s + lmin) - EPS).cast("int"))
-    pre = _prefixes(tok, F.col("len") - alpha + 1)
+    pre = cut_lineage(_prefixes(tok, F.col("len") - alpha + 1))
     return _candidate_join(pre, lambda la, lb: F.least(la, lb) >= ratio * F.greatest(la, lb) - EPS)
 
 
@@ -167,6 +167,7 @@ def similar_values(values: DataFrame, threshold: float, method: str = "levenshte
 
     Jaro-Winkler runs as a pandas UDF over the distinct candidate pairs only.
     """
+    values = cut_lineage(values)  # read by the token, candidate and verification stages
     if method == "levenshtein":
         cand = edit_candidates(values, threshold, q)
     elif method == "jaro_winkler":
@@ -232,7 +233,6 @@ def fuzzy_clusters(df: DataFrame, id_col: str, column: str, threshold: float = 0
     """
     value = normalize_ws(F.col(column)) if normalize else F.col(column)
     vals = value_groups(df, id_col, value, block)
-    vals = cut_lineage(vals)
     pairs = similar_values(vals, threshold, method)
     comp = connected_components(pairs, "va", "vb")
     rv = record_values(df, id_col, value, block)

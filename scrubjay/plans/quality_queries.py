@@ -372,8 +372,8 @@ def h6_quality_delta(spark, sf):
           "SELECT count_if(p_brand IS NULL AND s.conf < 0.65) AS gated FROM part_nulls, s")
 def h9_confidence_gate(spark, sf):
     df = dirty(spark, sf, "part_nulls").select("p_partkey", "p_brand")
-    stats = IM.fill_statistics(df, "p_brand", "mode").select(F.col("confidence").alias("__c"))
-    x = df.filter(F.col("p_brand").isNull()).crossJoin(F.broadcast(stats))  # one-row stats
+    conf = IM.fill_statistics(df, "p_brand", "mode").first()["confidence"]  # one row
+    x = df.filter(F.col("p_brand").isNull()).withColumn("__c", F.lit(conf).cast("double"))
     gated = G.confidence_gate(x, "__c", IM.DEFAULT_MIN_CONFIDENCE)
     return gated.agg(F.count_if(F.col(FLAG)).alias("gated"))
 
