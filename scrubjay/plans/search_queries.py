@@ -27,8 +27,8 @@ def _memories(spark, sf):
           "(SELECT max(ts) FROM events) - ts > INTERVAL 24 HOURS)")
 def j1_ttl_filter(spark, sf):
     m = _memories(spark, sf)
-    now = m.agg(F.max("created_at")).first()[0]  # one value, derived from the data
-    kept = J.ttl_filter(m, F.lit(now).cast("timestamp_ntz"))
+    now = m.agg(F.max("created_at").cast("string")).first()[0]  # one value, derived from the data
+    kept = J.ttl_filter(m, F.lit(now).cast("timestamp_ntz"))  # text -> NTZ does not depend on time zones
     return kept.select("id", "type")
 
 

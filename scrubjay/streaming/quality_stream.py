@@ -29,10 +29,21 @@ def stream_checkpoint(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
 
 
+def _session_tz(df: DataFrame) -> str:
+    return df.sparkSession.conf.get("spark.sql.session.timeZone")
+
+
 def _event_time(stream: DataFrame, ts_col: str) -> DataFrame:
     """Watermarks need TIMESTAMP; local date-times (TIMESTAMP_NTZ) are read as
-    UTC instants in ``__event_time``."""
-    return stream.withColumn("__event_time", F.col(ts_col).cast("timestamp"))
+    UTC instants in ``__event_time``, whatever the session time zone."""
+    tz = _session_tz(stream)
+    et = F.convert_timezone(F.lit("UTC"), F.lit(tz), F.col(ts_col).cast("timestamp_ntz")).cast("timestamp")
+    return stream.withColumn("__event_time", et)
+
+
+def _utc_wall_clock(instant, tz: str):
+    """An instant rendered as a UTC local date-time (TIMESTAMP_NTZ)."""
+    return F.convert_timezone(F.lit(tz), F.lit("UTC"), instant.cast("timestamp_ntz"))
 
 
 def dedup_stream(stream: DataFrame, keys: list[str], ts_col: str, watermark: str = "1 hour") -> DataFrame:
@@ -47,10 +58,11 @@ def windowed_quality(stream: DataFrame, ts_col: str, columns: list[str], window:
     aggs = [F.count(F.lit(1)).alias("rows")]
     aggs += [F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in columns]
     aggs.append(flagged_count(stream).alias("flagged"))
+    tz = _session_tz(stream)
     return (_event_time(stream, ts_col).withWatermark("__event_time", watermark)
             .groupBy(F.window("__event_time", window).alias("w")).agg(*aggs)
-            .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                    F.col("w.end").cast("timestamp_ntz").alias("window_end"), *[
+            .select(_utc_wall_clock(F.col("w.start"), tz).alias("window_start"),
+                    _utc_wall_clock(F.col("w.end"), tz).alias("window_end"), *[
                 c for c in ["rows"] + [f"nulls_{c}" for c in columns] + ["flagged"]]))
 
 

@@ -43,3 +43,18 @@ def test_query_matches_oracle(spark, duck, name):
     assert sorted(dcols) == cols
     drows = sorted((tuple(norm(dict(zip(dcols, r))[c]) for c in cols) for r in cur.fetchall()), key=repr)
     assert srows == drows
+
+
+@pytest.mark.parametrize("name", ["j1_ttl_filter", "s2_windowed_quality", "e1_standardize_dates"])
+def test_results_do_not_depend_on_session_time_zone(spark, name):
+    def run():
+        df = queries()[name](spark, SF_SMALL)
+        return sorted(tuple(str(r[c]) for c in sorted(df.columns)) for r in df.collect())
+    base = run()
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        other = run()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert base == other
