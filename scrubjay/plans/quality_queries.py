@@ -491,3 +491,19 @@ def i13_task_scores(spark, sf):
           "FROM scores")
 def i14_overall_score(spark, sf):
     return M.overall_score(M.task_scores(_task_metric_rows(spark, sf)), min_score=0.85)
+
+
+@register("i9_null_rate_delta", _H6_SQL + "SELECT round(avg(null_rate_after - null_rate_before), 6) AS null_rate_delta FROM d")
+def i9_null_rate_delta(spark, sf):
+    d, _ = _part_delta(spark, sf)
+    return M.null_rate_delta(d).select(F.round("null_rate_delta", 6).alias("null_rate_delta"))
+
+
+@register("i8_format_compliance_after", duck_cte("orders_dates") +
+          "SELECT round(avg(CASE WHEN regexp_matches(strftime(try_strptime(trim(order_date), " + _DUCK_FMTS + "), "
+          "'%Y-%m-%d'), '^\\d{4}-\\d{2}-\\d{2}$') THEN 1.0 ELSE 0.0 END), 6) AS format_compliance_rate "
+          "FROM orders_dates WHERE try_strptime(trim(order_date), " + _DUCK_FMTS + ") IS NOT NULL")
+def i8_format_compliance_after(spark, sf):
+    out = S.standardize_dates(dirty(spark, sf, "orders_dates"), "order_date", DATE_FORMATS)
+    r = S.compliance_rate(out, "order_date", r"^\d{4}-\d{2}-\d{2}$")
+    return r.select(F.round("format_compliance_rate", 6).alias("format_compliance_rate"))
