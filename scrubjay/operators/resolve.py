@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from scrubjay.functions.similarity import cosine_sim, exact_sim, jaro_winkler, levenshtein_sim
 from scrubjay.functions.text import normalize_ws
-from scrubjay.session import cut_lineage, spread
+from scrubjay.session import cut_lineage, ship_package, spread
 
 EPS = 1e-9
 
@@ -167,6 +167,7 @@ def similar_values(values: DataFrame, threshold: float, method: str = "levenshte
 
     Jaro-Winkler runs as a pandas UDF over the distinct candidate pairs only.
     """
+    ship_package(values.sparkSession)  # Jaro-Winkler is a pandas UDF
     values = cut_lineage(values)  # read by the token, candidate and verification stages
     if method == "levenshtein":
         cand = edit_candidates(values, threshold, q)
@@ -285,6 +286,7 @@ def minhash_signatures(hashes: DataFrame, num_hashes: int = 128, seed: int = 1)
     from pyspark.sql.functions import pandas_udf
     from pyspark.sql.types import ArrayType, LongType
 
+    ship_package(hashes.sparkSession)
     seeds = _splitmix(np.arange(num_hashes, dtype=np.uint64) + np.uint64(seed * 1_000_003))
 
     @pandas_udf(ArrayType(LongType()))
@@ -376,6 +378,7 @@ def score_pairs(pairs: DataFrame, fields: list[tuple[str, str, float]], left: st
     ``jaro_winkler``, ``exact``, ``cosine``. Pair rows carry ``l_<col>`` and
     ``r_<col>``. Adds ``sim_<col>`` and ``score`` (0 when no field compares).
     """
+    ship_package(pairs.sparkSession)
     comp = {"levenshtein": levenshtein_sim, "jaro_winkler": jaro_winkler, "exact": exact_sim, "cosine": cosine_sim}
     num, den = F.lit(0.0), F.lit(0.0)
     out = pairs
@@ -495,6 +498,7 @@ def hyperplane_codes(df: DataFrame, id_col: str, vec_col: str, tables: int, bits
     from pyspark.sql.functions import pandas_udf
     from pyspark.sql.types import ArrayType, LongType
 
+    ship_package(df.sparkSession)
     weights = (1 << np.arange(bits, dtype=np.int64))
 
     @pandas_udf(ArrayType(LongType()))

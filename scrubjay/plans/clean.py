@@ -111,6 +111,8 @@ def apply_custom(df: DataFrame, fn: Callable[[DataFrame], DataFrame], max_row_re
 def apply_custom_arrow(df: DataFrame, fn, schema) -> DataFrame:
     """Per-partition form of L3: ``fn`` maps an iterator of Arrow record batches
     (``mapInArrow``), for logic that has no DataFrame expression."""
+    from scrubjay.session import ship_package
+    ship_package(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
