@@ -181,7 +181,7 @@ def issues_expr(null_rate: Column, unique_rate: Column, total: Column, has_ws: C
 
 
 def profile_columns(df: DataFrame, order_by: list | None = None, sample_size: int | None = None,
-                    approx: bool = False, with_patterns: bool = True) -> DataFrame:
+                    approx: bool = False, with_patterns: bool = True, with_samples: bool = True) -> DataFrame:
     """Full column-profile table, one row per column.
 
     ``name, dtype, null_rate, unique_rate, sample_values, detected_issues,
@@ -196,10 +196,12 @@ def profile_columns(df: DataFrame, order_by: list | None = None, sample_size: in
         uniq = stats.select("ordinal", F.col("approx_unique").alias("n_unique"))
     else:
         uniq = distinct_counts(df)
-    samples = sample_values(df, order_by)
-    # all three inputs are one row per column: tiny, so broadcast joins
-    prof = (stats.join(F.broadcast(uniq), "ordinal", "left")
-            .join(F.broadcast(samples), "ordinal", "left"))
+    # all inputs are one row per column: tiny, so broadcast joins
+    prof = stats.join(F.broadcast(uniq), "ordinal", "left")
+    if with_samples:
+        prof = prof.join(F.broadcast(sample_values(df, order_by)), "ordinal", "left")
+    else:
+        prof = prof.withColumn("sample_values", F.lit(None).cast("array<string>"))
     if with_patterns:
         prof = prof.join(F.broadcast(format_patterns(df)), "ordinal", "left")
     else:

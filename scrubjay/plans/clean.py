@@ -48,7 +48,7 @@ def run_task(df: DataFrame, task: str, **params) -> tuple[DataFrame, dict]:
     """The cleaning step of one task; returns (output, parameters actually used)."""
     if task == "deduplication":
         keys = params.get("key_fields") or D.infer_key_fields(
-            P.profile_columns(df, order_by=params.get("order_by"), with_patterns=False))
+            P.profile_columns(df, order_by=params.get("order_by"), with_patterns=False, with_samples=False))
         if params.get("mode", "exact") == "fuzzy" and params.get("fuzzy_field"):
             out = R.fuzzy_dedup(df, params["id_col"], params["fuzzy_field"], params.get("fuzzy_threshold", 0.90))
         else:
