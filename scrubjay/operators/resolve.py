@@ -185,20 +185,27 @@ def similar_values(values: DataFrame, threshold: float, method: str = "levenshte
 
 # ---------------------------------------------------------------- connected components
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 200) -> DataFrame:
     """``node, component`` (component = smallest node id) for every node on an edge.
 
     Alternating large-star / small-star rounds (Kiveris et al., 2014): each
     round is two grouped minima and two joins; every round is cut by a
     reliable checkpoint to the shared checkpoint folder, so lost executors
-    re-read the last round instead of replaying the lineage. Stops when the
-    graph is a set of stars rooted at component minima.
+    re-read the last round instead of replaying the lineage.
+
+    The fixpoint is a set of stars rooted at component minima: every child has
+    exactly one parent and no parent is itself a child. Both halves are tested
+    (a child with two parents still joins two components). The algorithm needs
+    O(log^2 n) rounds; reaching ``max_rounds`` raises instead of returning an
+    unfinished labelling. NULL ends and self-loops carry no link and are ignored.
     """
     e = (edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v"))
          .filter(F.col("u") != F.col("v"))
          .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     e = cut_lineage(e)
     for _ in range(max_rounds):
+        if _is_star_forest(e):
+            return _star_labels(e)
         # large star: every node links its larger neighbours to its neighbourhood minimum
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -211,14 +218,21 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
              .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
              .filter(F.col("u") != F.col("v")).distinct())
         e = cut_lineage(e)
-        # converged when no parent has a parent of its own
-        parents = e.select(F.col("v").alias("p")).distinct()
-        if parents.join(e, parents["p"] == e["u"], "left_semi").limit(1).count() == 0:
-            break
-    nodes = e.select("u").union(e.select("v")).distinct().withColumnRenamed("u", "node")
-    lab = e.groupBy("u").agg(F.min("v").alias("m"))
-    return (nodes.join(lab, nodes["node"] == lab["u"], "left")
-            .select("node", F.coalesce(F.col("m"), F.col("node")).alias("component")))
+    raise RuntimeError(f"connected_components: no fixpoint after {max_rounds} rounds")
+
+
+def _is_star_forest(e: DataFrame) -> bool:
+    """True when each child ``u`` has one parent ``v`` and no parent is a child
+    (``e`` holds distinct edges with u > v)."""
+    degree = e.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        e.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    per = degree.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return per.filter((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).limit(1).count() == 0
+
+
+def _star_labels(e: DataFrame) -> DataFrame:
+    return (e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            .unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
 
 
 # ---------------------------------------------------------------- C4 / C6

@@ -155,3 +155,49 @@ def test_fellegi_sunter_separates_matches(spark):
     p = {r["id"]: r["match_probability"] for r in out.select("id", "match_probability").collect()}
     assert min(p[i] for i in range(50)) > 0.5 > max(p[100 + i] for i in range(500))
     assert 0 < params["lambda"] < 1
+
+
+def _union_find(edges):
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        ra, rb = find(a), find(b)
+        parent[max(ra, rb)] = min(ra, rb)
+    return {x: find(x) for x in list(parent)}
+
+
+def test_components_child_with_two_parents(spark):
+    from scrubjay.operators.resolve import connected_components
+    edges = [(1, 4), (4, 3), (3, 5), (5, 2)]
+    got = connected_components(spark.createDataFrame(edges, "src long, dst long"))
+    assert {r["node"]: r["component"] for r in got.collect()} == {i: 1 for i in range(1, 6)}
+
+
+def test_components_random_sparse_graphs(spark):
+    """Sixty sparse random graphs, laid side by side in disjoint id ranges, equal union-find."""
+    import random
+
+    from scrubjay.operators.resolve import connected_components
+    rnd = random.Random(5)
+    edges = []
+    for g in range(60):
+        n = rnd.randint(2, 40)
+        edges += [(g * 1000 + rnd.randrange(n), g * 1000 + rnd.randrange(n)) for _ in range(rnd.randint(1, n))]
+    got = connected_components(spark.createDataFrame(edges, "src long, dst long"))
+    want = {k: v for k, v in _union_find([e for e in edges if e[0] != e[1]]).items()}
+    assert {r["node"]: r["component"] for r in got.collect()} == want
+
+
+def test_components_round_limit_raises(spark):
+    import pytest
+
+    from scrubjay.operators.resolve import connected_components
+    chain = spark.createDataFrame([(i, i + 1) for i in range(64)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        connected_components(chain, max_rounds=1)
