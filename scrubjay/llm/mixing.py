@@ -1,10 +1,10 @@
 """Mixing documents to target weights of domains, with soft membership.
 
-1. Classifier. Naive Bayes over the words of a text (as present or not) and a few marks of its make-up (``#upper``, ``#symbols``,
+1. Classifier. Multinomial naive Bayes over the distinct words of a text (those outside the vocabulary count as one kind) and a few marks of its make-up (``#upper``, ``#symbols``,
    ``#repeats``). It is fitted on at most ``max_labelled`` labelled rows (smallest hash of the id); its vocabulary is the ``vocabulary``
    features that tell the domains apart best. Scoring explodes each text's distinct words and joins that bounded vocabulary by
-   broadcast; sums combine before the shuffle. The log odds are divided by the root of the number of features seen, which keeps
-   posteriors soft for long texts.
+   broadcast; sums combine before the shuffle. The log odds are divided by the fourth root of the number of features seen, which keeps
+   posteriors of long texts from saturating.
 2. Rates. Nonnegative rates r(d) minimise
 
        1/2 sum_k w_k (S_k - T_k)^2 + lambda/2 sum_d n_d (r_d - 1)^2 / N,   S_k = sum_d r_d n_d p_dk / N
@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from scrubjay.session import cut_lineage
 
 DOMAINS = ["clean", "toxic", "junk"]
-TARGETS = {"clean": 0.97, "toxic": 0.01, "junk": 0.02}
+TARGETS = {"clean": 0.92, "toxic": 0.04, "junk": 0.04}
 SPACE = r"[\x20\x09-\x0D]+"
-ALWAYS = "#any"
+ALWAYS, OTHER = "#any", "#other"
 
 
 def domain_of_labels(labels: DataFrame, id_col: str = "doc_id", max_labelled: int = 20_000) -> DataFrame:
@@ -46,45 +46,51 @@ def features(docs: DataFrame) -> DataFrame:
     d = d.select("id", F.xxhash64("text").alias("h"), "text", F.filter(F.split(F.lower("text"), SPACE), lambda w: w != "").alias("all"))
     d = d.select("id", "h", "text", F.size("all").cast("long").alias("n"), F.array_distinct("all").alias("words"))
     letters = F.length(F.regexp_replace("text", r"[^A-Z]", "")), F.length(F.regexp_replace("text", r"[^a-z]", ""))
-    marks = [F.when(letters[0] > letters[1], F.lit("#upper")),
+    marks = [F.lit(OTHER), F.when(letters[0] > letters[1], F.lit("#upper")),
              F.when(4 * F.length(F.regexp_replace("text", r"[^#*$%&|<>!]", "")) > F.col("n"), F.lit("#symbols")),
              F.when(10 * F.size("words") < 4 * F.col("n"), F.lit("#repeats")), F.lit(ALWAYS)]
     return d.select("id", "h", "n", F.concat("words", F.filter(F.array(*marks), lambda m: m.isNotNull())).alias("words"))
 
 
 def fit_classifier(docs: DataFrame, labelled: DataFrame, vocabulary: int = 4096) -> DataFrame:
-    """``w, lw``: the chosen features with their log weight per domain; the row of ``ALWAYS`` has the log priors.
-
-    At most ``vocabulary`` + 1 rows."""
+    """``w, lw``: the chosen features with their log weight per domain; ``ALWAYS`` has the log priors and ``OTHER`` the log
+    weights of all words outside the vocabulary. At most ``vocabulary`` + 2 rows."""
     n_dom = len(DOMAINS)
     seen = features(docs.join(F.broadcast(labelled), "id").dropDuplicates(["id"]))  # labelled has at most max_labelled rows
     rows = seen.join(F.broadcast(labelled), "id").select("k", F.explode("words").alias("w"))
-    counts = rows.groupBy("w").agg(*[F.sum((F.col("k") == k).cast("long")).alias(f"c{k}") for k in range(n_dom)])
-    counts = cut_lineage(counts.filter(" + ".join(f"c{k}" for k in range(n_dom)) + " >= 3"))
-    total = counts.filter(F.col("w") == ALWAYS).first()
-    sizes = [int(total[f"c{k}"]) if total else 0 for k in range(n_dom)]
-    p = [(F.col(f"c{k}") + 0.5) / (sizes[k] + 1.0) for k in range(n_dom)]
-    every = sum((F.col(f"c{k}") for k in range(n_dom)), F.lit(0)) / max(1, sum(sizes))
-    gain = sum((F.col(f"c{k}") * F.log(p[k] / (every + 1e-9)) for k in range(n_dom)), F.lit(0.0))
-    best = counts.filter(F.col("w") != ALWAYS).orderBy(F.desc(gain), "w").limit(vocabulary)
-    prior = F.array(*[F.log(F.lit((sizes[k] + 1.0) / (sum(sizes) + n_dom))) for k in range(n_dom)])
+    counts = cut_lineage(rows.groupBy("w").agg(*[F.sum((F.col("k") == k).cast("long")).alias(f"c{k}") for k in range(n_dom)]))
+    special = F.col("w").isin(ALWAYS, OTHER)
+    docs_of = counts.filter(F.col("w") == ALWAYS).first()
+    sizes = [int(docs_of[f"c{k}"]) if docs_of else 0 for k in range(n_dom)]
+    total = counts.filter(~special).agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(n_dom)]).first()
+    words = [int(total[f"c{k}"] or 0) for k in range(n_dom)]
+    p = [(F.col(f"c{k}") + 0.5) / (words[k] + 0.5 * vocabulary + 1) for k in range(n_dom)]
+    every = sum((F.col(f"c{k}") for k in range(n_dom)), F.lit(0)) / max(1, sum(words))
+    gain = sum((F.col(f"c{k}") * F.log(p[k] / (every + 1e-12)) for k in range(n_dom)), F.lit(0.0))
+    often = " + ".join(f"c{k}" for k in range(n_dom)) + " >= 3"
+    best = cut_lineage(counts.filter(~special).filter(often).orderBy(F.desc(gain), "w").limit(vocabulary))
+    inside = best.agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(n_dom)]).first()
+    rest = [(words[k] - int(inside[f"c{k}"] or 0) + 0.5) / (words[k] + 0.5 * vocabulary + 1) for k in range(n_dom)]
     spark = docs.sparkSession
-    return best.select("w", F.array(*[F.log(x) for x in p]).alias("lw")).unionByName(
-        spark.range(1).select(F.lit(ALWAYS).alias("w"), prior.alias("lw")))
+    one = lambda name, values: spark.range(1).select(F.lit(name).alias("w"), F.array(*[F.log(F.lit(v)) for v in values]).alias("lw"))
+    return (best.select("w", F.array(*[F.log(x) for x in p]).alias("lw")).unionByName(one(OTHER, rest))
+            .unionByName(one(ALWAYS, [(n + 1.0) / (sum(sizes) + n_dom) for n in sizes])))
 
 
 def posteriors(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``id, h, rows, n, p``: one row per distinct (id, text) with its multiplicity, tokens and domain posteriors."""
     n_dom = len(DOMAINS)
-    hits = features(docs).select("id", "h", "n", F.explode("words").alias("w")).join(F.broadcast(vocabulary), "w")
-    always = (F.col("w") == ALWAYS).cast("long")
+    hits = features(docs).select("id", "h", "n", F.size("words").alias("m"), F.explode("words").alias("w")).join(F.broadcast(vocabulary), "w")
+    word = ~F.col("w").isin(ALWAYS, OTHER)
     per = hits.groupBy("id", "h").agg(
-        F.sum(always).alias("rows"), F.max("n").alias("n"), F.sum(1 - always).alias("hits"),
-        *[F.sum(F.when(F.col("w") == ALWAYS, 0.0).otherwise(F.col("lw")[k])).alias(f"s{k}") for k in range(n_dom)],
-        *[F.max(F.when(F.col("w") == ALWAYS, F.col("lw")[k])).alias(f"b{k}") for k in range(n_dom)])
+        F.sum((F.col("w") == ALWAYS).cast("long")).alias("rows"), F.max("n").alias("n"), F.max("m").alias("m"), F.sum(word.cast("long")).alias("hits"),
+        *[F.sum(F.when(word, F.col("lw")[k]).otherwise(0.0)).alias(f"s{k}") for k in range(n_dom)],
+        *[F.max(F.when(F.col("w") == ALWAYS, F.col("lw")[k])).alias(f"b{k}") for k in range(n_dom)],
+        *[F.max(F.when(F.col("w") == OTHER, F.col("lw")[k])).alias(f"o{k}") for k in range(n_dom)])
     # repeated rows add up alike, so sums are divided by their number
-    soft = F.sqrt(F.greatest(F.lit(1.0), F.col("hits") / F.col("rows")))
-    score = [F.col(f"b{k}") + F.col(f"s{k}") / F.col("rows") / soft for k in range(n_dom)]
+    seen = F.col("hits") / F.col("rows")
+    soft = F.sqrt(F.sqrt(F.greatest(F.lit(1.0), seen)))
+    score = [F.col(f"b{k}") + (F.col(f"s{k}") / F.col("rows") + (F.col("m") - 2 - seen) * F.col(f"o{k}")) / soft for k in range(n_dom)]
     d = per.select("id", "h", "rows", "n", F.array(*score).alias("s"))
     e = F.transform("s", lambda x: F.exp(x - F.array_max("s")))
     d = d.select("id", "h", "rows", "n", e.alias("e"))
