@@ -77,25 +77,32 @@ def diff_branches(a: Column, b: Column) -> Column:
     return F.filter(F.transform(part(a), lambda x, i: section(x, F.get(part(b), i), i)), lambda s: s.isNotNull())
 
 
-def with_next(docs: DataFrame, id_col: str, ranges: int = 64) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, range_rows: int = 4000, max_ranges: int = 4096) -> DataFrame:
     """``docs`` with ``next``: a struct of all columns of the document that follows in descending id order
     (the first again after the last).
 
-    ``ranges`` quantiles of the ids bound the rows of a window; a range's rows are spilled, not held.
+    Quantiles of the ids cut the rows into ranges of about ``range_rows`` (larger ones beyond ``max_ranges``, which bounds the list of
+    quantiles); a range's rows are sorted with spill, not held.
     """
     cols = docs.columns
-    bounds = docs.agg(F.percentile_approx(id_col, [k / ranges for k in range(1, ranges)], 10_000).alias("b")).first()["b"] or []
+    ranges = min(max_ranges, docs.select(id_col).count() // range_rows + 1)
+    cuts = [k / ranges for k in range(1, ranges)] or [1.0]
+    bounds = docs.agg(F.percentile_approx(id_col, cuts, max(10_000, 4 * ranges)).alias("b")).first()["b"] or []
     bounds = sorted(set(bounds))
     low = F.lit(0)
-    for b in bounds:  # ranges are counted from the highest ids
-        low = low + (F.col(id_col) <= F.lit(b)).cast("int")
+    if bounds:  # ranges are counted from the highest ids
+        low = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: F.col(id_col) <= b))
     d = docs.withColumn("__range", F.when(F.col(id_col).isNull(), len(bounds) + 1).otherwise(low))
     # the highest id of each range: at most ranges + 1 rows
     heads = sorted((r["__range"], r["head"]) for r in d.groupBy("__range").agg(F.max(id_col).alias("head")).collect())
-    also = F.lit(None).cast("int")
-    for k, (r, head) in enumerate(heads):
-        first = (F.col("__range") == r) & F.col(id_col).eqNullSafe(F.lit(head))
-        also = F.when(first, heads[k - 1][0]).otherwise(also)  # the last range is above the first one: all start again
+    # the first document of a range also goes to the end of the range above; the last range is above the first one
+    n = (heads[-1][0] if heads else 0) + 1
+    head, above = [None] * n, [None] * n
+    for k, (r, first) in enumerate(heads):
+        head[r], above[r] = first, heads[k - 1][0]
+    key = docs.schema[id_col].dataType
+    of = lambda values, kind: F.array(*[F.lit(v).cast(kind) for v in values])[F.col("__range")]
+    also = F.when(F.col(id_col).eqNullSafe(of(head, key)), of(above, "int"))
     here = F.struct(F.col("__range").alias("range"), F.lit(0).alias("guest"))
     guest = F.struct(also.alias("range"), F.lit(1).alias("guest"))
     d = d.withColumn("__at", F.explode(F.when(also.isNull(), F.array(here)).otherwise(F.array(here, guest))))
