@@ -66,6 +66,11 @@ def _tiles(text: Column, pattern: str, kind: int, keep=None) -> Column:
     return F.aggregate(tiles, start, step, lambda acc: acc["out"])
 
 
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once (as the variable of a one-element transform)."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _none() -> Column:
     return F.array().cast(_SPAN)
 
@@ -89,7 +94,10 @@ def _clogc(c: Column) -> Column:
 def entropy_window(text: Column, window: int = WINDOW, threshold: Column | float = 3.7) -> Column:
     """``struct(first, last)``: places (from 0) of the first and the last window of the string whose entropy is at least the
     threshold; -1 without one. The sum of c*log2(c) is updated by the two counts that change."""
-    chars = F.split(text, "")
+    return _bind(F.split(text, ""), lambda chars: _slide(chars, window, threshold))
+
+
+def _slide(chars: Column, window: int, threshold: Column | float) -> Column:
     need = (F.lit(math.log2(window)) - threshold) * window + F.lit(1e-9)  # entropy >= threshold  <=>  sum <= need
     at = lambda i, x: F.size(F.filter(F.slice(chars, i + 1, window), lambda y: y == x))
     first = F.slice(chars, 1, window)
@@ -114,17 +122,19 @@ def entropy_spans(text: Column, base: Column, allow: tuple[str, ...] = ()) -> Co
     likely = text.rlike(r"[0-9][A-Za-z+/]|[A-Za-z+/][0-9]") & text.rlike(CANDIDATE)
     raw = _tiles(text, CANDIDATE, 3)
 
-    def inside(span):
-        word = F.substring(text, span["start"] + 1, span["end"] - span["start"])
+    def judge(word, span):
         open_ = (word.rlike("[0-9]") & word.rlike("[A-Za-z]") & ~word.rlike(UUID) & ~word.rlike(STAMP) & ~word.rlike(PLAIN_PATH)
                  & ~F.exists(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"])))
         if allow:
             open_ = open_ & ~word.isin(*allow)
         limit = (F.when(word.rlike("^[0-9A-Fa-f]+$"), THRESHOLDS["hex"]).when(word.rlike("^[A-Za-z0-9]+$"), THRESHOLDS["alnum"])
                  .otherwise(THRESHOLDS["base64"]))
-        hit = F.when(open_, entropy_window(word, WINDOW, limit))
-        return F.when(hit["first"] >= 0, F.struct((span["start"] + hit["first"]).alias("start"), F.lit(3).alias("kind"),
-                                                  (span["start"] + hit["last"] + WINDOW).alias("end")))
+        found = lambda hit: F.when(hit["first"] >= 0, F.struct((span["start"] + hit["first"]).alias("start"), F.lit(3).alias("kind"),
+                                                               (span["start"] + hit["last"] + WINDOW).alias("end")))
+        return F.when(open_, _bind(limit, lambda x: _bind(entropy_window(word, WINDOW, x), found)))
+
+    def inside(span):
+        return _bind(F.substring(text, span["start"] + 1, span["end"] - span["start"]), lambda word: judge(word, span))
 
     spans = F.filter(F.transform(raw, inside), lambda s: s.isNotNull())
     return F.when(likely, spans).otherwise(_none())
