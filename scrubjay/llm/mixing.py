@@ -1,7 +1,7 @@
 """Mixing documents to target weights of domains, with soft membership.
 
-1. Classifier. Multinomial naive Bayes over the distinct words of a text (those outside the vocabulary count as one kind) and a few marks of its make-up (``#upper``, ``#symbols``,
-   ``#repeats``). It is fitted on at most ``max_labelled`` labelled rows (smallest hash of the id); its vocabulary is the ``vocabulary``
+1. Classifier. Multinomial naive Bayes over the distinct words of a text (those outside the vocabulary count as one kind) and a mark of texts that repeat
+   their words (``#repeats``). It is fitted on at most ``max_labelled`` labelled rows (smallest hash of the id); its vocabulary is the ``vocabulary``
    features that tell the domains apart best. Scoring explodes each text's distinct words and joins that bounded vocabulary by
    broadcast; sums combine before the shuffle. The log odds are divided by the fourth root of the number of features seen, which keeps
    posteriors of long texts from saturating.
@@ -29,7 +29,6 @@ from scrubjay.session import cut_lineage
 
 DOMAINS = ["clean", "toxic", "junk"]
 TARGETS = {"clean": 0.92, "toxic": 0.04, "junk": 0.04}
-SPACE = r"[\x20\x09-\x0D]+"
 ALWAYS, OTHER = "#any", "#other"
 
 
@@ -42,13 +41,12 @@ def domain_of_labels(labels: DataFrame, id_col: str = "doc_id", max_labelled: in
 
 def features(docs: DataFrame) -> DataFrame:
     """``id, h, n, words`` of rows ``id, text``: hash of the text, number of words, distinct features."""
-    d = docs.select("id", F.coalesce("text", F.lit("")).alias("text"))
-    d = d.select("id", F.xxhash64("text").alias("h"), "text", F.filter(F.split(F.lower("text"), SPACE), lambda w: w != "").alias("all"))
-    d = d.select("id", "h", "text", F.size("all").cast("long").alias("n"), F.array_distinct("all").alias("words"))
-    letters = F.length(F.regexp_replace("text", r"[^A-Z]", "")), F.length(F.regexp_replace("text", r"[^a-z]", ""))
-    marks = [F.lit(OTHER), F.when(letters[0] > letters[1], F.lit("#upper")),
-             F.when(4 * F.length(F.regexp_replace("text", r"[^#*$%&|<>!]", "")) > F.col("n"), F.lit("#symbols")),
-             F.when(10 * F.size("words") < 4 * F.col("n"), F.lit("#repeats")), F.lit(ALWAYS)]
+    text = F.lower(F.coalesce("text", F.lit("")))
+    for c in "\t\n\x0b\f\r":  # plain replacements and a one-character split cost far less than a pattern
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    d = docs.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.array_remove(F.split(text, " "), "").alias("all"))
+    d = d.select("id", "h", F.size("all").cast("long").alias("n"), F.array_distinct("all").alias("words"))
+    marks = [F.lit(OTHER), F.when(10 * F.size("words") < 4 * F.col("n"), F.lit("#repeats")), F.lit(ALWAYS)]
     return d.select("id", "h", "n", F.concat("words", F.filter(F.array(*marks), lambda m: m.isNotNull())).alias("words"))
 
 
@@ -139,10 +137,10 @@ def fit_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | No
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """``docs`` with each row repeated by its rate: the whole part always, the rest with its own probability, drawn from a hash of id and text.
     All columns stay."""
-    rates = fit_rates(docs, labels, targets, id_col, text_col, **params).select("id", "h", "rate")
+    r = fit_rates(docs, labels, targets, id_col, text_col, **params).select(
+        F.col("id").alias("__id"), F.col("h").alias("__hash"), F.col("rate").alias("__rate"))
     d = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    j = d.join(rates, d[id_col].eqNullSafe(rates["id"]) & (d["__h"] == rates["h"]), "left")
+    j = d.join(r, d[id_col].eqNullSafe(r["__id"]) & (d["__h"] == r["__hash"]), "left")
     draw = F.pmod(F.xxhash64(F.lit("mix"), F.col(id_col), F.col("__h")), F.lit(1 << 20)) / float(1 << 20)
-    copies = (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
-    return j.withColumn("__copies", F.coalesce(copies, F.lit(1))).withColumn("__c", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(
-        *[d[c] for c in docs.columns])
+    copies = (F.floor("__rate") + (draw < F.col("__rate") - F.floor("__rate")).cast("int")).cast("int")
+    return j.withColumn("__c", F.explode(F.array_repeat(F.lit(1), F.coalesce(copies, F.lit(1))))).select(*docs.columns)
