@@ -12,16 +12,17 @@ banded buckets and star-shaped candidate edges, confirmed on the full sets.
 3. Each band of each representative is a bucket key. A bucket links its members
    to its smallest member only (a star): pairs grow with the members, never with
    their square.
-4. A star misses a pair of which neither is the centre. So buckets that still hold
-   more than one component after the first round get an exact second look: pairs
-   across components, inside the bucket, pass one 256-bit sketch test within the
-   join and only the survivors leave it.
+4. A star misses a pair of which neither is the centre. So buckets that still hold more
+   than one component get further stars from other centres, of which each pair of components
+   tries its most alike pair; when those find nothing more, or after ``STAR_ROUNDS``, the rest gets an
+   exact look: all pairs across components inside the bucket pass a 252-bit sketch test within
+   the join, and only the survivors leave it.
 5. Every surviving pair is confirmed on the two full shingle sets by
    ``100 * intersection >= percent * union``; components are resolved by star rounds.
 
 With 42 bands of 6 rows a pair with similarity 0.8 is missed with probability
 (1 - 0.8^6)^42 = 3e-6. The sketch test asks for at least ``SKETCH_MIN`` of 252 equal
-low bits, over six standard deviations below the mean at similarity 0.8.
+low bits, five standard deviations below the mean at similarity 0.8.
 
 Defined cases: null, empty and blank texts have an empty set, n_shingles 0 and
 no link; a text with fewer words than the shingle has its whole sequence as
@@ -43,7 +44,8 @@ from scrubjay.operators.resolve import connected_components
 from scrubjay.session import cut_lineage, ship_package
 
 BANDS, ROWS = 42, 6
-SKETCH_MIN = 196
+STAR_ROUNDS = 4
+SKETCH_MIN = 202
 _U = np.uint64
 _EMPTY = np.iinfo(np.uint64).max
 
@@ -192,11 +194,23 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return j.mapInArrow(run, "a long, b long")
 
 
+def _differ(a: str, b: str):
+    """Number of sketch bits in which two representatives differ."""
+    return sum((F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(4)), F.lit(0))
+
+
 def _sketch(a: str, b: str, percent: int):
     """Size bound (exact) and sketch agreement of two representatives."""
-    differ = sum((F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(4)), F.lit(0))
     small, large = F.least(f"{a}.n_shingles", f"{b}.n_shingles"), F.greatest(f"{a}.n_shingles", f"{b}.n_shingles")
-    return (100 * small >= percent * large) & (differ <= 252 - SKETCH_MIN)
+    return (100 * small >= percent * large) & (_differ(a, b) <= 252 - SKETCH_MIN)
+
+
+def _merge(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """``id, comp`` after the links ``found`` (a, b): components are joined as nodes of a graph of their own."""
+    ends = (found.join(nodes.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a")
+            .join(nodes.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b"))
+    label = connected_components(ends, "ca", "cb")
+    return cut_lineage(nodes.join(label, nodes["comp"] == label["node"], "left").select("id", F.coalesce("component", "comp").alias("comp")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80,
@@ -223,26 +237,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .join(sketch.select(F.col("id").alias("b"), F.struct("*").alias("y")), "b")
             .filter(_sketch("x", "y", percent)).select("a", "b"))
     links = cut_lineage(_confirm(cut_lineage(star), texts, width, percent))
-    label = connected_components(links, "a", "b")
 
-    # round 2: pairs across the components that still share a bucket
-    placed = crowded.select("key", "id").join(label, crowded["id"] == label["node"], "left").select(
-        "key", "id", F.coalesce("component", "id").alias("comp"))
+    # more stars: only between components, from another centre in each bucket
+    nodes = cut_lineage(crowded.select("id").distinct().join(connected_components(links, "a", "b").withColumnRenamed("node", "id"), "id", "left")
+                        .select("id", F.coalesce("component", "id").alias("comp")))
+    for r in range(STAR_ROUNDS):
+        placed = crowded.select("key", "id").join(nodes, "id")
+        mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(
+            F.struct(F.xxhash64("key", "id", F.lit(r)).alias("draw"), "id", "comp")).alias("c")).filter("lo <> hi").select("key", "c")
+        star = placed.join(mixed, "key").filter("comp <> c.comp").select(
+            F.col("c.id").alias("a"), F.col("id").alias("b"), F.col("c.comp").alias("ca"), F.col("comp").alias("cb")).distinct()
+        star = (star.join(sketch.select(F.col("id").alias("a"), F.struct("*").alias("x")), "a")
+                .join(sketch.select(F.col("id").alias("b"), F.struct("*").alias("y")), "b").filter(_sketch("x", "y", percent)))
+        # two components need one link: try their most alike pair
+        best = star.groupBy(F.least("ca", "cb").alias("c1"), F.greatest("ca", "cb").alias("c2")).agg(
+            F.min(F.struct(_differ("x", "y").alias("d"), "a", "b")).alias("p"))
+        found = cut_lineage(_confirm(cut_lineage(best.select("p.a", "p.b")), texts, width, percent))
+        if found.limit(1).count() == 0:
+            break
+        nodes = _merge(nodes, found)
+
+    # what is left: all pairs across components that still share a bucket
+    placed = crowded.select("key", "id").join(nodes, "id")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
-    mixed = mixed.filter("lo <> hi and n > 2").select("key")
-    rest = cut_lineage(placed.join(mixed, "key").join(sketch, "id")
+    rest = cut_lineage(placed.join(mixed.filter("lo <> hi and n > 2").select("key"), "key").join(sketch, "id")
                        .select("key", "id", "comp", F.struct("n_shingles", "s0", "s1", "s2", "s3").alias("s")))
     x, y = rest.select("key", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("s").alias("x")), rest.select(
         "key", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("s").alias("y"))
     across = x.join(y, (x["key"] == y["key"]) & (F.col("ca") < F.col("cb")) & _sketch("x", "y", percent))
     more = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = links.unionByName(_confirm(cut_lineage(more), texts, width, percent))
-    label = cut_lineage(connected_components(links, "a", "b"))
+    nodes = _merge(nodes, cut_lineage(_confirm(cut_lineage(more), texts, width, percent)))
 
     # class members take the component of their representative; a class of one that
     # no link reached is its own component and needs no join partner
-    named = reps.join(label, reps["id"] == label["node"], "left").select(
-        "fp1", "fp2", "n_shingles", "members", "id", F.coalesce("component", "id").alias("comp"))
+    named = reps.join(nodes, "id", "left").select("fp1", "fp2", "n_shingles", "members", "id", F.coalesce("comp", "id").alias("comp"))
     told = named.filter("members > 1 or comp <> id")
     out = sig.join(told.select("fp1", "fp2", "n_shingles", "comp"), ["fp1", "fp2", "n_shingles"], "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("comp", "id").alias("component_id"),
