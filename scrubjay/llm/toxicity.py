@@ -307,13 +307,6 @@ def fit_curve(top: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
     return w
 
 
-def _balanced(y: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(y))
-    for v in (-1, 1):
-        out[y == v] = 0.5 / max(1, (y == v).sum())
-    return out
-
-
 def _choose_landmarks(sample: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
     """Words by how much more often documents of the toxic class hold them, then the
     clean class's words that look most like those."""
@@ -372,61 +365,70 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for b in batches:
                 ids, toxic = b.column(0).to_numpy(), b.column(1).to_numpy()
                 for c in chunks(b.column(2)):
-                    doc, sims = near_units(land, c)
+                    doc, units = near_units(land, c)
                     blank = np.setdiff1d(np.arange(c.n), doc)  # a document without near units: one blank unit
-                    doc, x = np.concatenate([doc, blank]), np.concatenate([sims, np.zeros((len(blank), len(land.words)), np.float32)])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[c.lo + doc]), pa.array(toxic[c.lo + doc]), pa.array(list(x), pa.list_(pa.float32()))], names=["id", "toxic", "x"])
+                    doc, units = np.concatenate([doc, blank]), units + [""] * len(blank)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[c.lo + doc]), pa.array(toxic[c.lo + doc]), pa.array(units, pa.string())], names=["id", "toxic", "unit"])
 
-        got = sample.select("id", "toxic", "text").mapInArrow(features, "id long, toxic int, x array<float>").orderBy(
-            F.xxhash64("id", "x")).limit(max_units).toArrow()
+        got = sample.select("id", "toxic", "text").mapInArrow(features, "id long, toxic int, unit string").orderBy(
+            F.xxhash64("id", "unit"), "id", "unit").limit(max_units).toArrow()
     finally:
         sample.unpersist()
     ids, y = got["id"].to_numpy(), got["toxic"].to_numpy() * 2.0 - 1
-    x = got["x"].combine_chunks().flatten().to_numpy().reshape(len(ids), len(words)).astype(np.float64)
+    units, unit = np.unique(np.array(got["unit"].to_pylist(), object), return_inverse=True)
     _, doc = np.unique(ids, return_inverse=True)
     label = np.zeros(doc.max() + 1)
     label[doc] = y
-    return _train(Landmarks(words), x, doc, label)
+    return _train(Landmarks(words), units.tolist(), unit, doc, label)
 
 
-def near_units(land: Landmarks, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Document and landmark similarities of the two units of each sentence that come nearest to any landmark."""
+def near_units(land: Landmarks, c: Chunk) -> tuple[np.ndarray, list[str]]:
+    """Document and text of the two units of each sentence that come nearest to any landmark."""
     u = units_of(c)
-    sims = np.zeros((len(u.keys), len(land.words)), np.float32)
+    near = np.zeros(len(u.keys), np.float32)
     for part, rows in u.blocks(np.arange(len(u.keys)), 512):
-        sims[part] = land.similar(rows)
-    near = sims.max(axis=1, initial=0)
+        near[part] = land.similar(rows).max(axis=1, initial=0)
     hit = np.flatnonzero(near[u.unit] > NEAR)
     s, unit = np.unique(np.stack([u.sentence[hit], u.unit[hit]]), axis=1)
     order = np.lexsort((-near[unit], s))
     s, unit = s[order], unit[order]
     two = np.arange(len(s)) - np.searchsorted(s, s) < 2
-    return np.searchsorted(u.sentence_first, s[two], "right") - 1, sims[unit[two]]
+    raw = u.buf.tobytes()
+    return np.searchsorted(u.sentence_first, s[two], "right") - 1, [raw[u.starts[i]:u.ends[i]].decode("utf-8", "replace") for i in unit[two]]
 
 
-def _train(marks: Landmarks, x: np.ndarray, doc: np.ndarray, label: np.ndarray) -> Model:
+def _train(marks: Landmarks, units: list[str], unit: np.ndarray, doc: np.ndarray, label: np.ndarray) -> Model:
+    """Fit on (document, unit) pairs; equal units are one row, weighted by how often they stand for a label."""
     gram = marks.similar(rows_of(marks.words)).astype(np.float64)
     value, vec = np.linalg.eigh((gram + gram.T) / 2)
     root = vec @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vec.T
-    z = x @ root
-    blank = np.zeros((1, z.shape[1]))
+    z = marks.similar(rows_of(units + [""])) @ root  # the last row is the blank unit
     positive, negative = np.flatnonzero(label[doc] > 0), np.flatnonzero(label[doc] < 0)
     n_clean = max(1, (label < 0).sum())
-    # at first a unit speaks for its label as often as its like are found there
-    xs, ys = np.concatenate([z, blank]), np.concatenate([label[doc], [-1.0]])
-    w, bias = fit_svm(xs, ys, _balanced(ys))
+    clean = np.bincount(unit[negative], minlength=len(z)).astype(float)
+    clean_weight = 0.5 * clean / n_clean
+    clean_weight[-1] += 0.5
+    # at first a unit speaks for its label as often as it is found there
+    toxic = np.bincount(unit[positive], minlength=len(z)).astype(float)
+    start = 0.5 * np.concatenate([toxic / max(1, toxic.sum()), clean / max(1, clean.sum())])
+    w, bias = _fit_units(z, start)
     for _ in range(4):
-        f = z @ w + bias
+        f = (z @ w + bias)[unit]
         witness = positive[np.lexsort((-f[positive], doc[positive]))]
         d = doc[witness]
         witness = witness[(np.arange(len(d)) - np.searchsorted(d, d) < 2) & (f[witness] > bias)]
-        take = np.concatenate([witness, negative])
-        xs, ys = np.concatenate([z[take], blank]), np.concatenate([label[doc[take]], [-1.0]])
-        weight = np.concatenate([np.full(len(witness), 0.5 / max(1, len(witness))), np.full(len(negative), 0.5 / n_clean), [0.5]])
-        w, bias = fit_svm(xs, ys, weight)
-    f = z @ w + bias
+        toxic = np.bincount(unit[witness], minlength=len(z)).astype(float)
+        w, bias = _fit_units(z, np.concatenate([0.5 * toxic / max(1, len(witness)), clean_weight]))
+    f = (z @ w + bias)[unit]
     curve = fit_curve(top_values(doc, f, len(label)), (label > 0).astype(float))
-    return Model((marks.table.astype(np.float64) @ (root @ w)).astype(np.float32), bias, curve, serial=int(np.random.default_rng().integers(1 << 60)))
+    serial = int(np.random.default_rng().integers(1 << 60))
+    return Model((marks.table.astype(np.float64) @ (root @ w)).astype(np.float32), bias, curve, serial=serial)
+
+
+def _fit_units(z: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """SVM over units, each as a toxic and as a clean row; rows without weight are left out."""
+    at = np.flatnonzero(weight)
+    return fit_svm(z[at % len(z)], np.where(at < len(z), 1.0, -1.0), weight[at])
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 0) -> DataFrame:
