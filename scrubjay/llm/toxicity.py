@@ -357,7 +357,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         share = nt / (nt + nc) if nt + nc else 0.0
         words = _choose_landmarks(sample, nt, nc) if nt and nc else []
         if not words:
-            return Model(None, np.zeros(0), 0.0, np.zeros(4), share)
+            return Model(None, 0.0, np.zeros(4), share)
         marks = docs.sparkSession.sparkContext.broadcast(words)
 
         def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
