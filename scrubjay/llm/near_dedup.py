@@ -15,14 +15,14 @@ banded buckets and star-shaped candidate edges, confirmed on the full sets.
 4. A star misses a pair of which neither is the centre. So buckets that still hold more
    than one component get further stars from other centres, of which each pair of components
    tries its most alike pair; when those find nothing more, or after ``STAR_ROUNDS``, the rest gets an
-   exact look: all pairs across components inside the bucket pass a 252-bit sketch test within
-   the join, and only the survivors leave it.
+   exact look: all pairs across components inside the bucket pass a coarse (252 bits) and a fine (252 times
+   4 bits) sketch test within the join, and only the survivors leave it, each pair once, from its first shared bucket.
 5. Every surviving pair is confirmed on the two full shingle sets by
    ``100 * intersection >= percent * union``; components are resolved by star rounds.
 
 With 42 bands of 6 rows a pair with similarity 0.8 is missed with probability
-(1 - 0.8^6)^42 = 3e-6. The sketch test asks for at least ``SKETCH_MIN`` of 252 equal
-low bits, five standard deviations below the mean at similarity 0.8.
+(1 - 0.8^6)^42 = 3e-6. The sketch tests ask for at least ``SKETCH_MIN`` of 252 equal low
+bits and ``FINE_MIN`` of 252 equal 4-bit values, five standard deviations below the mean at similarity 0.8.
 
 Defined cases: null, empty and blank texts have an empty set, n_shingles 0 and
 no link; a text with fewer words than the shingle has its whole sequence as
@@ -46,6 +46,7 @@ from scrubjay.session import cut_lineage, ship_package
 BANDS, ROWS = 42, 6
 STAR_ROUNDS = 4
 SKETCH_MIN = 202
+FINE_MIN, FINE_WORDS = 173, 16
 _U = np.uint64
 _EMPTY = np.iinfo(np.uint64).max
 
@@ -111,11 +112,11 @@ def signatures(sh: np.ndarray, first: np.ndarray, bins: int) -> np.ndarray:
     return sig
 
 
-_SIG_SCHEMA = "id long, n_shingles long, fp1 long, fp2 long, bands array<long>, s0 long, s1 long, s2 long, s3 long"
+_SIG_SCHEMA = "id long, n_shingles long, fp1 long, fp2 long, bands array<long>, s0 long, s1 long, s2 long, s3 long, fine array<long>"
 
 
 def signature_rows(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """``_SIG_SCHEMA`` per document (``id, text`` in). Bands and sketch are null for empty sets."""
+    """``_SIG_SCHEMA`` per document (``id, text`` in). The sketch is null and bands are empty for empty sets."""
     bins = bands * rows
     if bins > 256:
         raise ValueError("bands * rows must not exceed 256, the size of the sketch")
@@ -133,6 +134,9 @@ def signature_rows(docs: DataFrame, width: int, bands: int, rows: int) -> DataFr
                 bits = np.zeros((len(some), 256), np.uint8)
                 bits[:, :bins] = (mix(sig) & _U(1)).astype(np.uint8)
                 words = np.packbits(bits, axis=1).view(np.uint64)
+                nibbles = np.zeros((len(some), 256), np.uint8)
+                nibbles[:, :bins] = (mix(sig) >> _U(1) & _U(15)).astype(np.uint8)
+                fine = (nibbles[:, ::2] << 4 | nibbles[:, 1::2]).view(np.uint64)
                 f1, f2 = (np.zeros(len(some), np.uint64) for _ in range(2))
                 if len(some):
                     starts = first[:-1][some]
@@ -145,13 +149,15 @@ def signature_rows(docs: DataFrame, width: int, bands: int, rows: int) -> DataFr
                     mask[some] = False
                     return pa.array(out, mask=mask)
 
-                filled = np.zeros(c.n + 1, np.int64)
-                filled[some + 1] = bands
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(filled).astype(np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
+                def lists(values: np.ndarray) -> pa.Array:
+                    filled = np.zeros(c.n + 1, np.int64)
+                    filled[some + 1] = values.shape[1]
+                    return pa.ListArray.from_arrays(pa.array(np.cumsum(filled).astype(np.int32)), pa.array(values.reshape(-1).view(np.int64)))
+
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(c.lo, c.n), pa.array(np.diff(first).astype(np.int64)), put(f1), put(f2), lists,
-                     *[put(np.ascontiguousarray(words[:, k])) for k in range(4)]],
-                    names=["id", "n_shingles", "fp1", "fp2", "bands", "s0", "s1", "s2", "s3"])
+                    [b.column(0).slice(c.lo, c.n), pa.array(np.diff(first).astype(np.int64)), put(f1), put(f2), lists(keys),
+                     *[put(np.ascontiguousarray(words[:, k])) for k in range(4)], lists(fine)],
+                    names=["id", "n_shingles", "fp1", "fp2", "bands", "s0", "s1", "s2", "s3", "fine"])
 
     return docs.mapInArrow(run, _SIG_SCHEMA)
 
@@ -205,6 +211,17 @@ def _sketch(a: str, b: str, percent: int):
     return (100 * small >= percent * large) & (_differ(a, b) <= 252 - SKETCH_MIN)
 
 
+def _fine(a: str, b: str):
+    """Agreement of the 4-bit values of two representatives: a differing value leaves one bit set."""
+    low = F.lit(0x1111111111111111)
+    differ = F.lit(0)
+    for k in range(FINE_WORDS):
+        z = F.col(f"{a}.fine")[k].bitwiseXOR(F.col(f"{b}.fine")[k])
+        two = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        differ = differ + F.bit_count(two.bitwiseOR(F.shiftrightunsigned(two, 2)).bitwiseAND(low))
+    return differ <= 252 - FINE_MIN
+
+
 def _merge(nodes: DataFrame, found: DataFrame) -> DataFrame:
     """``id, comp`` after the links ``found`` (a, b): components are joined as nodes of a graph of their own."""
     ends = (found.join(nodes.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a")
@@ -225,7 +242,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     real = sig.filter("n_shingles > 0 and id is not null")
     reps = cut_lineage(real.groupBy("fp1", "fp2", "n_shingles").agg(
         F.min("id").alias("id"), F.count(F.lit(1)).alias("members"),
-        *[F.first(k).alias(k) for k in ("s0", "s1", "s2", "s3", "bands")]))
+        *[F.first(k).alias(k) for k in ("s0", "s1", "s2", "s3", "bands", "fine")]))
     sketch = reps.select("id", "n_shingles", "s0", "s1", "s2", "s3")
     entries = reps.select("id", F.explode("bands").alias("key"))
 
@@ -260,12 +277,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # what is left: all pairs across components that still share a bucket
     placed = crowded.select("key", "id").join(nodes, "id")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
-    rest = cut_lineage(placed.join(mixed.filter("lo <> hi and n > 2").select("key"), "key").join(sketch, "id")
-                       .select("key", "id", "comp", F.struct("n_shingles", "s0", "s1", "s2", "s3").alias("s")))
+    rest = cut_lineage(placed.join(mixed.filter("lo <> hi and n > 2").select("key"), "key").join(reps, "id")
+                       .select("key", "id", "comp", F.struct("n_shingles", "s0", "s1", "s2", "s3", "fine", "bands").alias("s")))
     x, y = rest.select("key", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("s").alias("x")), rest.select(
         "key", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("s").alias("y"))
-    across = x.join(y, (x["key"] == y["key"]) & (F.col("ca") < F.col("cb")) & _sketch("x", "y", percent))
-    more = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    first_shared = F.array_intersect("x.bands", "y.bands")[0] == x["key"]
+    across = x.join(y, (x["key"] == y["key"]) & (F.col("ca") < F.col("cb")) & _sketch("x", "y", percent) & _fine("x", "y") & first_shared)
+    more = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     nodes = _merge(nodes, cut_lineage(_confirm(cut_lineage(more), texts, width, percent)))
 
     # class members take the component of their representative; a class of one that
