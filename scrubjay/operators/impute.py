@@ -81,7 +81,7 @@ def impute(df: DataFrame, strategy_map: dict[str, str] | None = None, columns: l
     ``min_confidence`` flags the row ``imputation:<col>``; an all-NULL column
     is left unchanged and its rows flagged ``imputation_failed:<col>``.
     Adds ``__imputed_confidence`` (mean confidence over the cells filled in
-    the row, NULL when none).
+    the row, NULL when none) and ``__imputed_cells`` (how many were filled).
     """
     df = ensure_flags(df)
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -115,7 +115,7 @@ def impute(df: DataFrame, strategy_map: dict[str, str] | None = None, columns: l
     conf_cols = [F.col(f"__conf{i}") for i in range(len(columns))]
     filled = F.filter(F.array(*conf_cols), lambda x: x.isNotNull())
     df = df.withColumn("__imputed_confidence", F.when(F.size(filled) > 0, F.aggregate(
-        filled, F.lit(0.0), lambda a, x: a + x) / F.size(filled)))
+        filled, F.lit(0.0), lambda a, x: a + x) / F.size(filled))).withColumn("__imputed_cells", F.size(filled))
     return df.drop(*[f"__conf{i}" for i in range(len(columns))])
 
 

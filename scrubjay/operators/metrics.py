@@ -137,8 +137,14 @@ def first_pass_rate(attempts: DataFrame) -> DataFrame:
 
 
 def imputation_confidence_score(imputed: DataFrame) -> DataFrame:
-    """Mean confidence over rows with imputed cells; 0.75 when none."""
-    return imputed.agg(F.coalesce(F.avg("__imputed_confidence"), F.lit(DEFAULT_IMPUTATION_CONFIDENCE))
+    """Mean confidence over imputed cells; 0.75 when none.
+
+    A row counts once per cell filled in it (``__imputed_cells``, as :func:`impute.impute`
+    adds it; without that column one cell a row).
+    """
+    conf = F.col("__imputed_confidence")
+    cells = F.col("__imputed_cells") if "__imputed_cells" in imputed.columns else F.lit(1)
+    return imputed.agg(F.coalesce(F.sum(conf * cells) / F.sum(F.when(conf.isNotNull(), cells)), F.lit(DEFAULT_IMPUTATION_CONFIDENCE))
                        .alias("imputation_confidence_score"))
 
 

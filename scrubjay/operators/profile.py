@@ -54,6 +54,14 @@ def value_text(c: Column, dtype: T.DataType) -> Column:
     return c.cast("string")
 
 
+def _one_form(df: DataFrame) -> DataFrame:
+    """Equal values in one form, so that their text is equal too: -0.0 as 0.0, map entries sorted."""
+    out = groupable(df)
+    zero = {f.name: F.col(f"`{f.name}`") + F.lit(0.0).cast(f.dataType)
+            for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    return out.withColumns(zero) if zero else out
+
+
 def _restrict(df: DataFrame, sample_size: int | None, order_by) -> DataFrame:
     if sample_size is None:
         return df
@@ -107,11 +115,11 @@ def melt(df: DataFrame, columns: list[str] | None = None, keep: list[str] | None
 
 
 def distinct_counts(df: DataFrame) -> DataFrame:
-    """Exact distinct count per column, NULL counted as one value.
+    """Exact distinct count per column, NULL counted as one value, 0.0 and -0.0 as one, maps by content.
 
     ``(ordinal, n_unique)``; two groupings over the melted table.
     """
-    return (melt(df).select("ordinal", "value").distinct()
+    return (melt(_one_form(df)).select("ordinal", "value").distinct()
             .groupBy("ordinal").agg(F.count(F.lit(1)).alias("n_unique")))
 
 

@@ -69,8 +69,8 @@ def phone_parts(c: Column, calling_code: Column, national_len: Column, subscribe
     d = F.regexp_replace(c, "[^0-9]", "")
     n = F.length(d)
     cc_len = F.length(calling_code)
-    d = (F.when(F.startswith(d, calling_code) & (n - cc_len >= national_len), F.substring(d, cc_len + 1, 10_000))
-         .when(F.startswith(d, F.lit("0")) & (n - 1 >= national_len), F.substring(d, 2, 10_000))
+    d = (F.when(F.startswith(d, calling_code) & (n - cc_len >= national_len), F.substr(d, cc_len + 1, n))
+         .when(F.startswith(d, F.lit("0")) & (n - 1 >= national_len), F.substr(d, F.lit(2), n))
          .otherwise(d))
     n = F.length(d)
     ok = n >= national_len

@@ -47,13 +47,14 @@ def _string_cols(df: DataFrame) -> list[str]:
 def run_task(df: DataFrame, task: str, **params) -> tuple[DataFrame, dict]:
     """The cleaning step of one task; returns (output, parameters actually used)."""
     if task == "deduplication":
+        if params.get("mode", "exact") == "fuzzy":
+            if not params.get("fuzzy_field") or not params.get("id_col"):
+                raise ValueError("mode='fuzzy' needs fuzzy_field and id_col")
+            out = R.fuzzy_dedup(df, params["id_col"], params["fuzzy_field"], params.get("fuzzy_threshold", 0.90))
+            return ensure_flags(out), {"fuzzy_field": params["fuzzy_field"]}
         keys = params.get("key_fields") or D.infer_key_fields(
             P.profile_columns(df, order_by=params.get("order_by"), with_patterns=False, with_samples=False))
-        if params.get("mode", "exact") == "fuzzy" and params.get("fuzzy_field"):
-            out = R.fuzzy_dedup(df, params["id_col"], params["fuzzy_field"], params.get("fuzzy_threshold", 0.90))
-        else:
-            out = D.dedup_exact(df, keys, order_by=params.get("order_by"))
-        return ensure_flags(out), {"key_fields": keys}
+        return ensure_flags(D.dedup_exact(df, keys, order_by=params.get("order_by"))), {"key_fields": keys}
     if task == "entity_resolution":
         cl = R.fuzzy_clusters(df, params["id_col"], params["match_field"], params.get("threshold", 0.85),
                               params.get("comparator", "levenshtein"))

@@ -349,7 +349,7 @@ def a10_split_flagged(spark, sf):
 def _part_delta(spark, sf):
     before = dirty(spark, sf, "part_nulls")
     after = IM.impute(before, {"p_size": "median", "p_brand": "mode"}, ["p_brand", "p_size"]).drop(
-        FLAG, REASON, "__imputed_confidence")
+        FLAG, REASON, "__imputed_confidence", "__imputed_cells")
     b = P.profile_columns(before, order_by=["p_partkey"], with_patterns=False)
     a = P.profile_columns(after, order_by=["p_partkey"], with_patterns=False)
     return IM.quality_delta(b, a), after
@@ -471,9 +471,9 @@ _I13_SQL = (
     "nr AS (SELECT avg(d) AS d FROM (SELECT -round(count_if(p_brand IS NULL) / count(*), 4) AS d FROM part_nulls "
     "UNION ALL SELECT -round(count_if(p_size IS NULL) / count(*), 4) FROM part_nulls UNION ALL SELECT 0.0 UNION ALL "
     "SELECT 0.0 UNION ALL SELECT 0.0 UNION ALL SELECT 0.0)), "
-    "ic AS (SELECT avg(c) AS r FROM (SELECT ((CASE WHEN p_brand IS NULL THEN mb.conf ELSE 0 END) + "
-    f"(CASE WHEN p_size IS NULL THEN {_MED_CONF.replace('hi', 'ms.hi').replace('lo', 'ms.lo').replace('p75', 'ms.p75').replace('p25', 'ms.p25')} ELSE 0 END)) / "
-    "((CASE WHEN p_brand IS NULL THEN 1 ELSE 0 END) + (CASE WHEN p_size IS NULL THEN 1 ELSE 0 END)) AS c "
+    "ic AS (SELECT sum(c) / sum(k) AS r FROM (SELECT ((CASE WHEN p_brand IS NULL THEN mb.conf ELSE 0 END) + "
+    f"(CASE WHEN p_size IS NULL THEN {_MED_CONF.replace('hi', 'ms.hi').replace('lo', 'ms.lo').replace('p75', 'ms.p75').replace('p25', 'ms.p25')} ELSE 0 END)) AS c, "
+    "((CASE WHEN p_brand IS NULL THEN 1 ELSE 0 END) + (CASE WHEN p_size IS NULL THEN 1 ELSE 0 END)) AS k "
     "FROM part_nulls, ms, mb WHERE p_brand IS NULL OR p_size IS NULL)), "
     "scores AS (SELECT 'deduplication' AS task, round(round(ded.r, 4) * 0.5 + round(ded.r, 4) * 0.3 + round(fp.r, 4) * 0.2, 4) "
     "AS weighted_score FROM ded, fp UNION ALL SELECT 'type_coercion', round(round(tc.r, 4) * 0.6 + round(tc.cs, 4) * 0.4, 4) "

@@ -71,36 +71,38 @@ def guarded_batches(clean_fn: Callable[[DataFrame], DataFrame], clean_path: str,
     """A ``foreachBatch`` function: clean, audit and route every micro-batch.
 
     The batch is persisted so the audit and the write read it once; the
-    audit is one row per batch. Writes are idempotent per batch id through
-    the audit row (a replayed batch appends the same audit row again, which
-    readers de-duplicate on ``batch_id``).
+    audit is one row per batch. Each batch overwrites its own folder
+    ``batch=<id>`` below the three paths, so a replayed batch replaces what it
+    wrote; readers of the paths get ``batch`` as a partition column.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
+        out = clean_fn(batch).persist()
+        own = f"batch={batch_id}"
         try:
-            out = clean_fn(batch).persist()
             audit = G.circuit_breaker(G.audit(batch, out), max_row_reduction).withColumn(
                 "batch_id", F.lit(batch_id).cast("long"))
             row = audit.first()
             if row["circuit_breaker_hit"]:
-                batch.write.mode("append").parquet(quarantine_path)
+                batch.write.mode("overwrite").parquet(f"{quarantine_path}/{own}")
             else:
-                out.write.mode("append").parquet(clean_path)
-            audit.write.mode("append").parquet(audit_path)
-            out.unpersist()
+                out.write.mode("overwrite").parquet(f"{clean_path}/{own}")
+            audit.write.mode("overwrite").parquet(f"{audit_path}/{own}")
         finally:
+            out.unpersist()
             batch.unpersist()
     return run
 
 
 def run_available(stream_writer, timeout_s: int = 600) -> None:
-    """Run a stream over everything available now, then stop (tests, back-fills)."""
+    """Run a stream over everything available now, then stop (tests, back-fills).
+
+    A failed stream raises its error; one that is not done in time is stopped and raises.
+    """
     q = stream_writer.trigger(availableNow=True).start()
-    q.awaitTermination(timeout_s)
-    if q.isActive:
+    if not q.awaitTermination(timeout_s):
         q.stop()
-    if q.exception():
-        raise q.exception()
+        raise TimeoutError(f"stream not done after {timeout_s} s; its sink holds a part only")
 
 
 def has_flag(df: DataFrame) -> bool:

@@ -93,3 +93,8 @@ def test_completeness_formula(spark):
     df = spark.range(1).select(M.completeness_rate(F.lit(-0.2)).alias("c"), M.completeness_rate(F.lit(0.3)).alias("d"))
     r = df.first()
     assert r["c"] == pytest.approx(0.8) and r["d"] == 1.0
+
+
+def test_imputation_confidence_counts_cells(spark):
+    df = spark.createDataFrame([(0.5, 2), (0.8, 1), (None, 0)], "__imputed_confidence double, __imputed_cells int")
+    assert abs(M.imputation_confidence_score(df).first()[0] - 0.6) < 1e-12

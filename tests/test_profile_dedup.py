@@ -64,3 +64,9 @@ def test_dedup_plan_has_no_window(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
     plan = D.dedup_exact(df, ["k"], order_by=["v"])._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "HashAggregate" in plan or "ObjectHashAggregate" in plan or "SortAggregate" in plan
+
+
+def test_distinct_counts_take_equal_values_as_one(spark):
+    df = spark.sql("SELECT * FROM VALUES (0.0D, map('a', 1, 'b', 2)), (-0.0D, map('b', 2, 'a', 1)), "
+                   "(double('NaN'), map('a', 2)), (double('NaN'), NULL), (NULL, NULL) AS t(x, m)")
+    assert {r["ordinal"]: r["n_unique"] for r in P.distinct_counts(df).collect()} == {0: 3, 1: 3}
