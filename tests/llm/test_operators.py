@@ -355,6 +355,24 @@ def test_mixing_meets_targets(docs, labels, texts):
     assert np.abs((p * (n * rate)[:, None]).sum(axis=0) / n.sum() - [0.88, 0.06, 0.06]).max() < 0.01
 
 
+def test_mixing_marks_of_make_up(docs, texts, hard, spark):
+    rows = [(1000, "BUY NOW OR NEVER ok"), (1001, "Buy now or never OK"), (1002, "buy now ### or **"), (1003, "eeee AAAA"), (1004, "eeee AAAAA"), (1005, "a #"), (1006, "ÉÉÉ É a"),
+            (1007, "AB\t\n CD e é"), (1008, "fine prose " * 9 + "!!!!!")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string")
+    for df, known in ((docs, list(texts.items())), (odd, rows), (hard, HARD)):
+        got = collections.Counter((r["id"], "#upper" in r["words"], "#symbols" in r["words"]) for r in mixing.features(df.select(F.col("doc_id").alias("id"), "text")).collect())
+        assert got == collections.Counter((i, len(re.findall("[A-Z]", t or "")) > len(re.findall("[a-z]", t or "")),
+                                           4 * len(re.findall("[#*$%&|<>!]", t or "")) > len(WORD.findall(t or ""))) for i, t in known)
+
+
+def test_mixing_junk_by_its_make_up(spark):
+    rows = [(i, f"Plain sentence w{i % 7} of prose number x{i}.") for i in range(40)] + [(100 + i, f"WIN W{i % 7} CASH X{i} #### $$$$") for i in range(40)]
+    lab = spark.createDataFrame([(i, int(i < 100), 0) for i, _ in rows if i % 2], "doc_id long, quality int, toxic int")
+    new = [(200, "UNSEEN CAPITALS ONLY"), (201, "Unseen words only")]  # no word of the labelled rows: their make-up alone tells them apart
+    got = {r["id"]: r["p"][2] for r in mixing.fit_rates(spark.createDataFrame(rows + new, "doc_id long, text string"), lab).collect()}
+    assert got[200] > got[201] + 0.3
+
+
 def test_mix_repeats_rows_by_rate(hard, labels, empty):
     out = mixing.mix(hard, labels)
     assert out.columns == hard.columns
