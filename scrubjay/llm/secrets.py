@@ -10,7 +10,8 @@ character that leaves and the one that enters, and the entropy is log2(window) -
 from the first window at the threshold to the last one.
 
 Allow-list. A candidate is no secret when it has no digit or no letter, is a UUID, holds a date stamp only, is a path of plain words, or
-equals an entry of ``allow``; entropy spans that overlap a span of a fixed pattern are left to it.
+equals an entry of ``allow``. A candidate that spans of fixed patterns overlap is cut at them: each part outside them, of
+``WINDOW`` characters or more, is a candidate of its own.
 
 Positions are code points. Spark has no regular-expression positions; they follow from splitting the text at the
 pattern: the pieces between matches and the matches tile the text. Texts without the pattern's key letters
@@ -117,14 +118,23 @@ def _slide(chars: Column, window: int, threshold: Column | float) -> Column:
     return F.aggregate(slides, begin, slide, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
+def _outside(span: Column, base: Column) -> Column:
+    """The parts of a span of ``WINDOW`` characters or more that no span of ``base`` (sorted by start) overlaps."""
+    hit = F.filter(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+    part = lambda lo, hi: F.when(hi - lo >= WINDOW, F.array(F.struct(lo.alias("start"), F.lit(3).alias("kind"), hi.alias("end")))).otherwise(_none())
+    begin = F.struct(span["start"].alias("at"), _none().alias("out"))
+    step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], part(acc["at"], b["start"])).alias("out"))
+    cut = F.aggregate(hit, begin, step, lambda acc: F.concat(acc["out"], part(acc["at"], span["end"])))
+    return F.when(F.size(hit) == 0, F.array(span)).otherwise(cut)
+
+
 def entropy_spans(text: Column, base: Column, allow: tuple[str, ...] = ()) -> Column:
-    """Entropy spans of the text that overlap no span of ``base``."""
+    """Entropy spans of the text outside the spans of ``base``."""
     likely = text.rlike(r"[0-9][A-Za-z+/]|[A-Za-z+/][0-9]") & text.rlike(CANDIDATE)
-    raw = _tiles(text, CANDIDATE, 3)
+    raw = F.flatten(F.transform(_tiles(text, CANDIDATE, 3), lambda span: _outside(span, base)))
 
     def judge(word, span):
-        open_ = (word.rlike("[0-9]") & word.rlike("[A-Za-z]") & ~word.rlike(UUID) & ~word.rlike(STAMP) & ~word.rlike(PLAIN_PATH)
-                 & ~F.exists(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"])))
+        open_ = (word.rlike("[0-9]") & word.rlike("[A-Za-z]") & ~word.rlike(UUID) & ~word.rlike(STAMP) & ~word.rlike(PLAIN_PATH))
         if allow:
             open_ = open_ & ~word.isin(*allow)
         limit = (F.when(word.rlike("^[0-9A-Fa-f]+$"), THRESHOLDS["hex"]).when(word.rlike("^[A-Za-z0-9]+$"), THRESHOLDS["alnum"])
