@@ -3,7 +3,8 @@ string kernel with Nystrom landmarks.
 
 Kernel. A unit is a word with a boundary mark on each side (ASCII letters in either case, Latin letters with marks,
 digits and signs that look like a letter as that letter; other characters take a place but match nothing),
-or a run of three or more one-character words read as one ("i d i o t"). Its features are all subsequences
+or a window of a run of one-character words (any signs, three or more letters) read as one ("i d i o t"), whatever the
+run's length. Its features are all subsequences
 of three symbols within ``SPAN`` places, each weighted by ``DECAY`` to the places it spans; the
 kernel of two units is the normalised dot product. Characters put between or left out of an insult only
 thin the weights, so "id-iot" and "idxiot" stay close to "idiot".
@@ -47,6 +48,7 @@ NEAR = 0.3        # similarity from which a unit of a training sentence is looke
 LEAST = -0.6      # unit values below this count as this
 CACHE_UNITS = 1 << 20
 WIDTH = 26       # places of a unit, boundary marks included; longer words are read in overlapping windows
+RUN_WINDOWS = (8, 16, 32)  # characters of a window of a run, moved on by a quarter: words of up to 7, 13 and 25 letters lie whole in one
 POSITIVE, NEGATIVE = 56, 40
 EDGE, NONE, SYMBOLS = 31, 32, 33
 
@@ -109,6 +111,43 @@ def _symbol_rows(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+def _run_windows(c: Chunk, ws: np.ndarray, we: np.ndarray, doc: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+    """``buf`` with the runs of one-character words behind it (one blank after each character), and per size of ``RUN_WINDOWS``
+    the starts, ends and sentences of their windows. A run may hold any signs, and at least three letters."""
+    lead = c.buf[ws]
+    single = we - ws == np.select([lead < 0x80, lead < 0xE0, lead < 0xF0], [1, 2, 3], 4)
+    letter = single & ((_SYMBOL[lead] < 26) | (we - ws == 2))
+    go = single[1:] & single[:-1] & (doc[1:] == doc[:-1])
+    run0 = np.flatnonzero(single & ~np.concatenate([[False], go]))
+    run1 = np.flatnonzero(single & ~np.concatenate([go, [False]])) + 1
+    letters = np.concatenate([[0], np.cumsum(letter)])
+    some = letters[run1] - letters[run0] >= 3
+    run0, n = run0[some], (run1 - run0)[some]
+    if not len(n):
+        return c.buf, []
+    begin = np.cumsum(n) - n
+    word = np.repeat(run0 - begin, n) + np.arange(n.sum())
+    other = we[word] - ws[word] > 2  # matches nothing; one sign takes its place
+    size = np.where(other, 1, we[word] - ws[word])
+    end = np.cumsum(size + 1) - 1
+    start = end - size
+    text = np.full(end[-1] + 1, 32, np.uint8)
+    text[start] = np.where(other, ord("-"), c.buf[ws[word]])
+    two = np.flatnonzero(size == 2)
+    text[start[two] + 1] = c.buf[ws[word[two]] + 1]
+    out = []
+    for i, width in enumerate(RUN_WINDOWS):
+        step = width // 4
+        fit = np.flatnonzero(n > RUN_WINDOWS[i - 1]) if i else np.arange(len(n))  # shorter runs are one window of the size before
+        if not len(fit):
+            break
+        many = 1 + np.maximum(0, -((width - n[fit]) // step))
+        w0 = np.repeat(begin[fit], many) + step * (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
+        w1 = np.minimum(w0 + width, np.repeat((begin + n)[fit], many))
+        out.append((len(c.buf) + start[w0], len(c.buf) + end[w1 - 1], sentence[word[w0]]))
+    return np.concatenate([c.buf, text]), out
+
+
 def units_of(c: Chunk) -> Units:
     """Units of a chunk. A sentence ends with a word that ends in ``.``, ``!`` or ``?`` or before a line break."""
     ws, we, first = word_bounds(c)
@@ -122,31 +161,26 @@ def units_of(c: Chunk) -> Units:
     stop[np.maximum(first[1:][np.diff(first) > 0] - 1, 0)] = True
     sentence = np.concatenate([[0], np.cumsum(stop)[:-1]])
     sentence_first = np.concatenate([[0], np.cumsum(stop)])[first]
-    # runs of one-character words become one unit more
-    length = we - ws
-    single = (length == 1) & (_SYMBOL[c.buf[ws]] < 26)
-    edge = np.diff(np.concatenate([[0], single.astype(np.int8), [0]]))
-    run0, run1 = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    long_run = (run1 - run0 >= 3) & (sentence[run0] == sentence[run1 - 1])
-    run0, run1 = run0[long_run], run1[long_run]
-    us, ue, s, kind = ws, we, sentence, None
+    # runs of one-character words become units more
+    buf, runs = _run_windows(c, ws, we, owners(first), sentence)
+    us, ue, s = ws, we, sentence
     body = WIDTH - 2
     long = we - ws > body
-    if len(run0) or long.any():  # runs, and overlapping windows of long words, are hashed in layers that do not overlap
+    if len(runs) or long.any():  # overlapping windows of runs and of long words are hashed in layers sorted by start and by end
         layers = [(ws[~long], we[~long], sentence[~long])]
-        layers += [(ws[run0], np.minimum(we[run1 - 1], ws[run0] + body), sentence[run0])]
         step = body // 2
         k, w0, w1, sl = 0, ws[long], we[long], sentence[long]
         while len(w0):
             layers.append((w0, np.minimum(w0 + body, w1), sl))
             more = w1 - w0 > body
             k, w0, w1, sl = k + 1, w0[more] + step, w1[more], sl[more]
-        h = np.concatenate([span_hashes(c.buf, a, b, lower=True) for a, b, _ in layers])
-        us, ue, s = (np.concatenate([x[i] for x in layers]) for i in range(3))
+        h = np.concatenate([span_hashes(c.buf, a, b, lower=True) for a, b, _ in layers]
+                           + [span_hashes(buf[len(c.buf):], a - len(c.buf), b - len(c.buf), lower=True) for a, b, _ in runs])
+        us, ue, s = (np.concatenate([x[i] for x in layers + runs]) for i in range(3))
     else:
         h = span_hashes(c.buf, us, ue, lower=True)
     keys, at, inv = np.unique(h, return_index=True, return_inverse=True)
-    return Units(c.buf, keys, us[at], ue[at], inv, s, sentence_first)
+    return Units(buf, keys, us[at], ue[at], inv, s, sentence_first)
 
 
 _PLACES: dict[int, tuple] = {}

@@ -401,6 +401,28 @@ def test_kernel_tolerates_gaps():
     assert near[0] == pytest.approx(1, abs=1e-5) and (near[1:5] > 0.85).all() and near[5] > 0.6 and (near[6:] < 0.3).all()
 
 
+def test_spaced_runs_are_read_to_their_end():
+    mark = toxicity.Landmarks(["idiot"])
+
+    def best(text):
+        c = next(iter(chunks(pa.array([text]))))
+        u = toxicity.units_of(c)
+        return max(float(mark.similar(rows)[:, 0].max()) for _, rows in u.blocks(np.arange(len(u.keys))))
+
+    assert best("i d i o t") > 0.85
+    for text in ("y o u a r e s u c h a n i d i o t", "w e a l l s a w t h a t y o u a r e a n i d i o t a n d s o o n w e l e f t", "i d * o t", "so i d \u2022 i o t", "i  d i\t o   t",
+                 "\u00e9 t \u00e9 i d i o t"):
+        assert best(text) > 0.5, text
+    assert best("l o n g r u n o f n o t h i n g m u c h") < 0.4 and best("a | b | - -") < 0.4
+    words = "abcdefghijklmnopqrstuvwx"  # each word of up to 24 letters lies whole in one window, wherever it begins
+    for n in range(3, 25):
+        for before in range(0, 40, 3):
+            c = next(iter(chunks(pa.array([" ".join("z" * before + words[:n] + "z" * 30)]))))
+            u = toxicity.units_of(c)
+            raw = u.buf.tobytes()
+            assert any(" ".join(words[:n]).encode() in raw[a:b] for a, b in zip(u.starts, u.ends))
+
+
 def test_toxicity_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     lab = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
