@@ -3,7 +3,8 @@ boilerplate rules, then reject documents that lose too much text.
 
 A line is a piece of the text between ``\\n``. A line fails when one of these holds:
 
-* boilerplate: it contains a phrase of ``BOILERPLATE`` (ASCII letters in either case);
+* boilerplate: phrases of ``BOILERPLATE`` (ASCII letters in either case, no letter or digit beside them) make up at least
+  ``phrase_pct`` percent of its words;
 * navigation: at least ``nav_pct`` percent of its words are bare separators (``|``, ``>``, ``/``, ...);
 * punctuation: at least ``symbol_pct`` percent of its words end in a symbol or in ``!!``, or the line has
   at least ``long_line`` words, ends in a letter or digit and no word of it ends in ``.``, ``!`` or ``?``;
@@ -46,6 +47,7 @@ _SEPARATOR_BYTES = np.isin(np.arange(256), list(SEPARATORS.encode()))
 _SHOUT_BYTES = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _STOP_BYTES = np.isin(np.arange(256), list(b".!?"))
 _OPEN_BYTES = np.isin(np.arange(256), list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+_LETTER_LEAD = (np.arange(256) >= 0xC3) & (np.arange(256) < 0xE0)  # first bytes of two-byte letters
 
 
 def _lines(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,18 +76,21 @@ def _repeated(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return later, any_
 
 
-def _phrase_positions(c: Chunk) -> list[int]:
-    """Byte positions of the boilerplate phrases in the lower-cased buffer. A phrase
+def _phrase_spans(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Byte spans of the boilerplate phrases in the lower-cased buffer, with no letter or digit on either side. A phrase
     has no line break; one that runs over a document's end belongs to no line of it."""
-    raw, out = LOWER_MAP[c.buf].tobytes(), []
+    raw, starts, ends = LOWER_MAP[c.buf].tobytes(), [], []
     for phrase in _PHRASES:
         at = raw.find(phrase)
         while at >= 0:
             i = int(np.searchsorted(c.offs, at, "right"))
-            if i > c.n or at + len(phrase) <= c.offs[i]:
-                out.append(at)
+            lo, hi, end = (int(c.offs[i - 1]), int(c.offs[i]), at + len(phrase)) if i <= c.n else (0, len(raw), at + len(phrase))
+            if (end <= hi and not (end < hi and (_OPEN_BYTES[raw[end]] or _LETTER_LEAD[raw[end]]))
+                    and not (at > lo and _OPEN_BYTES[raw[at - 1]]) and not (at - 1 > lo and raw[at - 1] >= 0x80 and _LETTER_LEAD[raw[at - 2]])):
+                starts.append(at)
+                ends.append(end)
             at = raw.find(phrase, at + 1)
-    return out
+    return np.asarray(starts, np.int64), np.asarray(ends, np.int64)
 
 
 def judge_chunk(c: Chunk, p: dict) -> dict:
@@ -133,11 +138,13 @@ def judge_chunk(c: Chunk, p: dict) -> dict:
         open_end = (size >= p["long_line"]) & _OPEN_BYTES[c.buf[we[lw1 - 1] - 1]] & (n_stop[lw1] == n_stop[lw0])
     again = np.concatenate([[0, 0], np.cumsum(h[1:] == h[:-1])]) if len(h) else np.zeros(1, np.int64)
     stutter = (size >= 4) & (100 * (again[lw1] - again[np.minimum(lw0 + 1, len(again) - 1)]) >= p["stutter_pct"] * size)
-    phrase = np.zeros(len(ls), bool)
-    at = np.asarray(_phrase_positions(c), np.int64)
-    if len(at) and len(ls):
-        i = np.searchsorted(ls, at, "right") - 1
-        phrase[i[(i >= 0) & (at < le[np.maximum(i, 0)])]] = True
+    in_phrase = np.zeros(len(ws) + 1, np.int64)
+    ps, pe = _phrase_spans(c)
+    np.add.at(in_phrase, np.searchsorted(we, ps, "right"), 1)
+    np.subtract.at(in_phrase, np.searchsorted(ws, pe), 1)
+    n_phrase = np.concatenate([[0], np.cumsum(np.cumsum(in_phrase)[:-1] > 0)])[:len(ws) + 1]
+    n_phrase = n_phrase[lw1] - n_phrase[lw0]
+    phrase = (n_phrase > 0) & (100 * n_phrase >= p["phrase_pct"] * size)
     bad = nav | loud | open_end | stutter | phrase | dup
     lost = np.bincount(ldoc[bad], weights=size[bad], minlength=c.n).astype(np.int64)
     kept = ~base_failed & (100 * lost <= p["max_loss_pct"] * n_words)
@@ -146,7 +153,7 @@ def judge_chunk(c: Chunk, p: dict) -> dict:
             "bad_lines": (ls[bad], le[bad], ldoc[bad])}
 
 
-DEFAULTS = {"min_words": 10, "max_repeat_pct": 20, "nav_pct": 30, "symbol_pct": 50, "long_line": 40, "stutter_pct": 30,
+DEFAULTS = {"min_words": 10, "max_repeat_pct": 20, "nav_pct": 30, "symbol_pct": 50, "long_line": 40, "stutter_pct": 30, "phrase_pct": 30,
             "max_loss_pct": 40}
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_words"]
 

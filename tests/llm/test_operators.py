@@ -181,6 +181,18 @@ def test_line_rules_and_cleaning(spark):
     assert out[0]["text"] == good + "Another line of prose, which is kept too.\n" and out[0]["n_chars"] == len(out[0]["text"])
 
 
+def test_boilerplate_phrases_are_words_and_a_share(spark):
+    rest = " It goes on with more plain words about nothing much at all, and then it stops there."
+    good = ["A blog in spring is pleasant.", "The design update is here.", "They spread more butter.", "Caf\u00e9log in Paris.", "The log\u00e9 read more\u00e9s here.", "Read more" + rest,
+            "When you log in, the page asks for your name, and you can sign up for the newsletter there."]
+    bad = ["Please click here, dear reader.", "Log in | Sign up", "\u201cRead more\u201d", "(c) 2020 X. All Rights Reserved.", "Log in, sign up, read more: " + "today ok."]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(good + bad)], "doc_id long, text string")
+    lost = {r["doc_id"]: r["lost_words"] for r in line_quality.line_quality(df).collect()}
+    assert {i: n > 0 for i, n in lost.items()} == {i: i >= len(good) for i in range(len(good + bad))}
+    both = spark.createDataFrame([(1, good[5]), (2, "ab log"), (3, "in cd")], "doc_id long, text string")
+    assert [r["text"] for r in line_quality.clean_documents(both).collect()] == [good[5]]
+
+
 def test_quality_keeps_clean_and_drops_junk(docs, labels):
     r = line_quality.line_quality(docs).join(labels, "doc_id").filter(~F.col("base_failed"))
     share = {x["quality"]: x["k"] for x in r.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
