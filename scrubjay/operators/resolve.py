@@ -319,19 +319,25 @@ def minhash_signatures(hashes: DataFrame, num_hashes: int = 128, seed: int = 1)
     return hashes.select("id", sig(F.col("hs")).alias("sig")).filter(F.col("sig").isNotNull())
 
 
+def _band_buckets(sigs: DataFrame, bands: int, rows: int) -> DataFrame:
+    """``id, band, key, sz, rep``: the buckets of each signature with their size and smallest member."""
+    bucket = F.explode(F.array(*[F.struct(F.lit(b).alias("band"),
+                                          F.xxhash64(F.lit(b), F.slice("sig", b * rows + 1, rows)).alias("key"))
+                                 for b in range(bands)]))
+    bk = sigs.select("id", bucket.alias("bk")).select("id", "bk.band", "bk.key")
+    size = bk.groupBy("band", "key").agg(F.count(F.lit(1)).alias("sz"), F.min("id").alias("rep"))
+    return bk.join(size, ["band", "key"])
+
+
 def lsh_candidates(sigs: DataFrame, bands: int = 16, rows: int = 8, max_bucket: int = 64) -> DataFrame:
     """Candidate pairs ``a < b`` sharing a band bucket.
 
     Buckets up to ``max_bucket`` members give all their pairs (bounded work
     per bucket); a larger bucket - a near-identical cluster - links each
-    member to the bucket minimum instead, so its cost stays linear.
+    member to the bucket minimum instead, so its cost stays linear. What these
+    stars miss is found by ``pairs_across``.
     """
-    bucket = F.explode(F.array(*[F.struct(F.lit(b).alias("band"),
-                                          F.xxhash64(F.lit(b), F.slice("sig", b * rows + 1, rows)).alias("key"))
-                                 for b in range(bands)]))
-    bk = sigs.select("id", bucket.alias("bk")).select("id", "bk.band", "bk.key")
-    size = bk.groupBy("band", "key").agg(F.count(F.lit(1)).alias("sz"), F.min("id").alias("rep"))
-    bk = bk.join(size, ["band", "key"])
+    bk = _band_buckets(sigs, bands, rows)
     small = bk.filter(F.col("sz") <= max_bucket)
     a = small.select(F.col("id").alias("a"), "band", "key")
     b = small.select(F.col("id").alias("b"), "band", "key")
@@ -341,6 +347,32 @@ def lsh_candidates(sigs: DataFrame, bands: int = 16, rows: int = 8, max_bucket:
     return pairs.unionByName(star).distinct()
 
 
+def pairs_across(sigs: DataFrame, sizes: DataFrame, comp: DataFrame, threshold: float, bands: int = 16, rows: int = 8,
+                 max_bucket: int = 64) -> DataFrame:
+    """Candidate pairs ``a < b`` of buckets over ``max_bucket`` members whose components differ.
+
+    ``comp`` (node, component) holds the links found so far, ``sizes`` (id, n) the set sizes; buckets within one component
+    are left out. The members of a bucket are dealt into tiles of about ``max_bucket``, and each pair of tiles is a join key of its own,
+    so no task holds more than two tiles of a key. A pair leaves the join, from its first shared bucket, unless the set sizes rule it out.
+    """
+    bk = _band_buckets(sigs, bands, rows).filter(F.col("sz") > max_bucket)
+    bk = bk.join(comp, bk["id"] == comp["node"], "left").select("id", "band", "key", "sz", F.coalesce("component", "id").alias("comp"))
+    mixed = bk.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("band", "key")
+    bk = bk.join(mixed, ["band", "key"], "left_semi").join(sizes, "id")
+    mine = bk.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("band", "key"))).alias("all"))  # at most one a band
+    n_tiles = F.ceil(F.col("sz") / max_bucket).cast("int")
+    bk = bk.join(mine, "id").withColumn("tile", F.pmod(F.xxhash64("id"), n_tiles).cast("int"))
+    tiles = bk.withColumn("other", F.explode(F.sequence(F.lit(0), n_tiles - 1)))
+    side = lambda x: tiles.select("band", "key", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"), "tile",
+                                  F.struct("id", "comp", "n", "all").alias(x), F.col("tile").alias(f"t{x}")).drop("tile")
+    j = side("x").filter("tx = ti").join(side("y").filter("ty = tj"), ["band", "key", "ti", "tj"])
+    first = F.array_intersect("x.all", "y.all")[0]
+    apart = (F.col("x.comp") != F.col("y.comp")) & (F.least("x.n", "y.n") / F.greatest("x.n", "y.n") >= threshold)
+    once = (F.col("ti") < F.col("tj")) | (F.col("x.id") < F.col("y.id"))
+    j = j.filter(apart & once & (first["band"] == F.col("band")))
+    return j.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+
 def jaccard_verify(pairs: DataFrame, hashes: DataFrame, threshold: float) -> DataFrame:
     """Exact Jaccard of the shingle sets of candidate pairs: ``a, b, jaccard`` >= threshold.
 
@@ -373,9 +405,12 @@ def near_duplicate_documents(df: DataFrame, id_col: str, text_col: str, threshol
     rv = normed.select("id", "k").join(rep, "k").select("id", "vid")
     reps = normed.join(rep.select(F.col("vid").alias("id")), "id", "left_semi")
     hs = cut_lineage(shingle_hashes(reps, "id", "t", normalized=True))
-    sigs = minhash_signatures(hs, num_hashes)
+    sigs = cut_lineage(minhash_signatures(hs, num_hashes))
     cand = lsh_candidates(sigs, bands, num_hashes // bands)
-    ver = jaccard_verify(cand, hs, threshold)
+    ver = cut_lineage(jaccard_verify(cand, hs, threshold))
+    sizes = hs.select("id", F.size("hs").alias("n"))
+    more = pairs_across(sigs, sizes, connected_components(ver, "a", "b"), threshold, bands, num_hashes // bands)
+    ver = ver.unionByName(jaccard_verify(more, hs, threshold))
     comp = connected_components(ver, "a", "b")
     out = (rv.join(comp, rv["vid"] == comp["node"], "left")
            .select("id", F.coalesce(F.col("component"), F.col("vid")).alias("canonical_id")))

@@ -118,6 +118,22 @@ def test_minhash_finds_near_duplicates(spark):
     assert all(out[i] == i for i in range(30))
 
 
+def test_near_duplicates_in_large_buckets(spark):
+    """Pairs alike each other but not the smallest member of a bucket of more than 64."""
+    rnd = random.Random(12)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for k in range(150):
+        t = list(base)
+        for j, at in enumerate(rnd.sample(range(298), 15)):
+            t[at] = f"p{k}x{j}"
+        rows += [(2 * k, " ".join(t)), (2 * k + 1, " ".join([*t[:-1], "zzz"]))]
+    df = spark.createDataFrame(rows, "id long, text string")
+    # four bands of one row: about half of the pairs meet in large buckets only
+    out = {r["id"]: r["canonical_id"] for r in R.near_duplicate_documents(df, "id", "text", 0.9, num_hashes=4, bands=4).collect()}
+    assert out == {i: i - i % 2 for i in range(300)}
+
+
 def test_vector_neighbours_recall(spark):
     import numpy as np
     rng = np.random.default_rng(3)
