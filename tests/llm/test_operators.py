@@ -111,6 +111,15 @@ def test_densified_signatures_estimate_similarity():
     assert abs((sig[0] == sig[1]).mean() - 72 / 88) < 0.12 and len(set(sig[2].tolist())) > 1
 
 
+def test_sketches_of_tiny_sets_pass():
+    """Pairs of four and five shingles, similarity 4/5."""
+    n, one = 4000, np.uint64(1)
+    u = np.random.default_rng(3).integers(0, 1 << 63, (n, 5)).astype(np.uint64)
+    a, b = (near_dedup.mix(near_dedup.signatures(np.sort(u[:, :k], axis=1).reshape(-1), np.arange(n + 1) * k, 252)) for k in (5, 4))
+    assert ((a & one) == (b & one)).sum(axis=1).min() >= near_dedup.SKETCH_MIN
+    assert (((a >> one & np.uint64(15)) == (b >> one & np.uint64(15))).sum(axis=1) < near_dedup.FINE_MIN).mean() < 0.002
+
+
 def test_language_model_counts_base_and_gain(docs, texts):
     got = {r["doc_id"]: r for r in pitman_yor.score_texts(docs, chains=2).collect()}
     tok = {i: WORD.findall(lower(t)) + ["\0end"] for i, t in texts.items()}
