@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubjay.llm import chat_format, line_quality, merkle, mixing, near_dedup, packing, pitman_yor, secrets, toxicity, url_rules
+from scrubjay.llm import (
+    chat_format, fill_middle, line_quality, merkle, mixing, near_dedup, packing, pitman_yor, ranked_search, repeats, secrets, toxicity, url_rules,
+)
 from scrubjay.session import ensure_checkpoint_dir
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -76,6 +78,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+    return r.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = fill_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+    sha = lambda x: F.sha2(x.cast("binary"), 256)
+    return r.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"),
+                    sha(fill_middle.restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_near_dedup, op2_pitman_yor, op3_line_quality, op4_packing, op5_url_rules, op6_secrets,
-                                    op7_merkle, op8_chat_format, op9_mixing, op10_toxicity)}
+                                    op7_merkle, op8_chat_format, op9_mixing, op10_toxicity, op11_ranked_search, op12_repeats, op13_fill_middle)}
