@@ -27,8 +27,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scrubjay.functions.flags import add_flags
 from scrubjay.functions.similarity import cosine_sim, exact_sim, jaro_winkler, levenshtein_sim
 from scrubjay.functions.text import normalize_ws
+from scrubjay.operators.neighbours import nearest_neighbours
 from scrubjay.session import cut_lineage, ship_package, spread
 
 EPS = 1e-9
@@ -530,96 +532,34 @@ def fellegi_sunter(leveled: DataFrame, sim_cols: list[str], max_rounds: int = 25
     return out, {"lambda": lam, "m": m.tolist(), "u": u.tolist()}
 
 
-# ---------------------------------------------------------------- D8 vectors
+# ---------------------------------------------------------------- D8 / F7 vectors
 
-def _planes(tables: int, bits: int, dim: int, seed: int):
-    return np.random.default_rng(seed).standard_normal((dim, tables * bits))
+def vector_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 20, candidates_df: DataFrame | None = None,
+                      queries: DataFrame | None = None) -> DataFrame:
+    """Exact top-k cosine neighbours per vector (D8): ``id, neighbour_id, rank, cosine``.
 
-
-def hyperplane_codes(df: DataFrame, id_col: str, vec_col: str, tables: int, bits: int, dim: int,
-                     seed: int = 17) -> DataFrame:
-    """``id, t, code``: sign bits of ``bits`` random hyperplanes per table (Charikar 2002).
-
-    One Arrow-batched pandas UDF multiplies each batch of vectors by the
-    (dim x tables*bits) plane matrix with numpy; the planes come from a fixed
-    seed, so every executor derives the same ones.
+    Neighbours of the rows of ``df`` among ``candidates_df`` (default: ``df`` itself); ``queries`` narrows who asks. See
+    :mod:`scrubjay.operators.neighbours` for the method and the defined cases.
     """
-    from pyspark.sql.functions import pandas_udf
-    from pyspark.sql.types import ArrayType, LongType
-
-    ship_package(df.sparkSession)
-    weights = (1 << np.arange(bits, dtype=np.int64))
-
-    @pandas_udf(ArrayType(LongType()))
-    def codes(vecs: pd.Series) -> pd.Series:
-        if len(vecs) == 0:
-            return pd.Series([], dtype=object)
-        planes = _planes(tables, bits, dim, seed)
-        m = np.vstack([np.asarray(v, dtype=np.float64) for v in vecs])
-        signs = (m @ planes >= 0).reshape(len(vecs), tables, bits)
-        return pd.Series(list((signs * weights).sum(axis=2).astype(np.int64)))
-
-    out = df.select(F.col(id_col).alias("id"), F.posexplode(codes(F.col(vec_col))).alias("t", "code"))
-    return out
+    asked = queries if queries is not None else (df if candidates_df is not None else None)
+    return nearest_neighbours(df if candidates_df is None else candidates_df, id_col, vec_col, k, queries=asked)
 
 
-def vector_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 20, tables: int = 12,
-                      bits: int | None = None, dim: int | None = None, candidates_df: DataFrame | None = None,
-                      max_bucket: int = 512, extra_bits: int = 8) -> DataFrame:
-    """Top-k cosine neighbours per vector (D8): ``id, neighbour_id, rank, cosine``.
-
-    Candidates are vectors sharing a hyperplane-LSH bucket in any of
-    ``tables`` tables; then exact cosine and a per-id ``row_number`` over its
-    candidates only (no cross join). ``bits`` grows with log2(rows) so the
-    expected bucket stays small; a bucket that still exceeds ``max_bucket``
-    (clustered data) is split by ``extra_bits`` further hyperplanes on both
-    sides, so hot regions are refined instead of dropped. ``candidates_df``
-    (``id, vec``) restricts the neighbour side (F7 donors). Recall is
-    probabilistic; precision and the ranking among candidates are exact.
-    """
-    if dim is None:
-        dim = len(df.select(vec_col).first()[0])
-    if bits is None:
-        n = df.count()
-        bits = max(4, min(20, int(math.ceil(math.log2(max(n, 2) / 16.0)))))
-    left = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
-    right = left if candidates_df is None else candidates_df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
-    full = bits + extra_bits
-    coarse_mask = (1 << bits) - 1
-    lc = hyperplane_codes(left, "id", "vec", tables, full, dim)
-    rc = hyperplane_codes(right, "id", "vec", tables, full, dim)
-    coarse = F.col("code").bitwiseAND(F.lit(coarse_mask))
-    hot = (rc.groupBy("t", coarse.alias("coarse")).agg(F.count(F.lit(1)).alias("sz"))
-           .filter(F.col("sz") > max_bucket).select("t", "coarse", F.lit(True).alias("hot")))
-
-    def keyed(codes):
-        c = codes.withColumn("coarse", coarse).join(hot, ["t", "coarse"], "left")
-        return c.select("id", "t", F.when(F.col("hot"), F.col("code") + F.lit(1 << 40))
-                        .otherwise(F.col("coarse")).alias("key"))
-    cand = (keyed(lc).join(keyed(rc).withColumnRenamed("id", "nid"), ["t", "key"])
-            .filter(F.col("id") != F.col("nid")).select("id", "nid").distinct())
-    lv = left.select(F.col("id"), F.col("vec").alias("va"))
-    rv = right.select(F.col("id").alias("nid"), F.col("vec").alias("vb"))
-    scored = cand.join(lv, "id").join(rv, "nid").select("id", "nid", cosine_sim(F.col("va"), F.col("vb")).alias("cos"))
-    rk = F.row_number().over(Window.partitionBy("id").orderBy(F.col("cos").desc(), F.col("nid")))
-    return (scored.withColumn("rank", rk).filter(F.col("rank") <= k)
-            .select("id", F.col("nid").alias("neighbour_id"), "rank", F.round("cos", 6).alias("cosine")))
-
-
-def donor_fill(df: DataFrame, id_col: str, vec_col: str, target: str, **kw) -> DataFrame:
+def donor_fill(df: DataFrame, id_col: str, vec_col: str, target: str, min_confidence: float = 0.65) -> DataFrame:
     """Fill NULL ``target`` from the nearest vector with a known value.
 
-    Confidence = cosine to the donor. Rows still without a donor stay NULL and
-    are flagged ``imputation_failed:<target>``.
+    Confidence = cosine to the donor; below ``min_confidence`` the row is flagged ``imputation:<target>``. Rows without
+    a donor (no direction, or no known value anywhere) stay NULL and are flagged ``imputation_failed:<target>``.
     """
-    from scrubjay.functions.flags import add_flags
     need = df.filter(F.col(target).isNull())
     donors = df.filter(F.col(target).isNotNull())
-    nn = vector_neighbours(need, id_col, vec_col, k=1, candidates_df=donors, **kw)
+    nn = vector_neighbours(need, id_col, vec_col, k=1, candidates_df=donors)
     dv = donors.select(F.col(id_col).alias("neighbour_id"), F.col(target).alias("__donor"))
     fill = nn.join(dv, "neighbour_id").select(F.col("id").alias("__fid"), "__donor", F.col("cosine").alias("__conf"))
     out = df.join(fill, F.col(id_col) == F.col("__fid"), "left")
-    out = add_flags(out, [(F.col(target).isNull() & F.col("__donor").isNull(), f"imputation_failed:{target}")])
+    missing = F.col(target).isNull()
+    out = add_flags(out, [(missing & (F.col("__conf") < min_confidence), f"imputation:{target}"),
+                          (missing & F.col("__donor").isNull(), f"imputation_failed:{target}")])
     out = (out.withColumn("__imputed_confidence", F.when(F.col(target).isNull(), F.col("__conf")))
            .withColumn(target, F.coalesce(F.col(target), F.col("__donor"))))
     return out.drop("__fid", "__donor", "__conf")

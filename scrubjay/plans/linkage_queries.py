@@ -3,9 +3,8 @@
 Oracles are brute force in DuckDB (all value pairs, then the threshold);
 the Spark side never forms all pairs: it uses the prefix-filtered equi-join
 in :mod:`scrubjay.operators.resolve`, which is lossless for the thresholds
-used, so both must agree exactly. LSH-based operators (C5, D8, D9, F7) are
-probabilistic in recall and registered without an oracle; tests compare them
-with brute force on small fixtures.
+used, so both must agree exactly. C5 (MinHash) is probabilistic in recall and
+registered without an oracle; tests compare it with brute force on small fixtures.
 """
 
 from __future__ import annotations
@@ -225,12 +224,29 @@ def c5_near_duplicate_documents(spark, sf):
     return R.near_duplicate_documents(load(spark, sf, "documents"), "doc_id", "text", 0.9)
 
 
-@register("d8_vector_topk")
+_UNIT = ("u AS (SELECT *, sqrt(list_dot_product(v, v)) AS len FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)), "
+         "s AS (SELECT a.vec_id AS id, b.vec_id AS nid, b.label AS donor, list_dot_product(a.v, b.v) / (a.len * b.len) AS c "
+         "FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE {cond}), "
+         "r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(c, 9) DESC, nid) AS k FROM s) ")
+_TOP = "SELECT id, nid AS neighbour_id, CAST(k AS INT) AS rank, round(c, 6) AS cosine FROM r WHERE k <= 20"
+
+
+@register("d8_vector_topk", "WITH " + _UNIT.format(cond="true") + _TOP)
 def d8_vector_topk(spark, sf):
     return R.vector_neighbours(load(spark, sf, "embeddings"), "vec_id", "embedding", k=20)
 
 
-@register("f7_donor_fill")
+@register("d8_vector_search", "WITH " + _UNIT.format(cond="a.vec_id % 100 = 0") + _TOP)
+def d8_vector_search(spark, sf):
+    """Every hundredth id asks, all rows answer."""
+    e = load(spark, sf, "embeddings")
+    return R.vector_neighbours(e, "vec_id", "embedding", k=20, queries=e.filter(F.col("vec_id") % 100 == 0))
+
+
+@register("f7_donor_fill", "WITH " + _UNIT.format(cond="a.vec_id % 7 = 0 AND b.vec_id % 7 <> 0") +
+          "SELECT e.vec_id, CASE WHEN e.vec_id % 7 = 0 THEN r.donor ELSE e.label END AS label, "
+          f"round(r.c, 6) AS imputed_confidence, coalesce(round(r.c, 6) < 0.65, e.vec_id % 7 = 0) AS {FLAG} "
+          "FROM embeddings e LEFT JOIN r ON r.id = e.vec_id AND r.k = 1")
 def f7_donor_fill(spark, sf):
     e = load(spark, sf, "embeddings")
     dirty_e = e.withColumn("label", F.when(F.col("vec_id") % 7 == 0, F.lit(None)).otherwise(F.col("label")))

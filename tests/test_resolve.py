@@ -134,23 +134,6 @@ def test_near_duplicates_in_large_buckets(spark):
     assert out == {i: i - i % 2 for i in range(300)}
 
 
-def test_vector_neighbours_recall(spark):
-    import numpy as np
-    rng = np.random.default_rng(3)
-    v = rng.standard_normal((300, 16))
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    df = spark.createDataFrame([(i, v[i].tolist()) for i in range(300)], "id long, vec array<double>")
-    got = R.vector_neighbours(df, "id", "vec", k=5, tables=16).collect()
-    sims = v @ v.T
-    np.fill_diagonal(sims, -9)
-    truth = {i: set(np.argsort(-sims[i])[:5].tolist()) for i in range(300)}
-    found = {}
-    for r in got:
-        found.setdefault(r["id"], set()).add(r["neighbour_id"])
-    recall = sum(len(found.get(i, set()) & truth[i]) for i in range(300)) / (5 * 300)
-    assert recall >= 0.85
-
-
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
