@@ -31,11 +31,9 @@ from scrubjay.functions.flags import add_flags
 from scrubjay.functions.similarity import cosine_sim, exact_sim, jaro_winkler, levenshtein_sim
 from scrubjay.functions.text import normalize_ws
 from scrubjay.operators.neighbours import nearest_neighbours
+from scrubjay.operators.string_joins import edit_candidates, jaro_winkler_candidates
 from scrubjay.session import cut_lineage, ship_package, spread
 
-EPS = 1e-9
-
-
 # ---------------------------------------------------------------- values
 
 def value_groups(df: DataFrame, id_col: str, value: Column, block: Column | None = None) -> DataFrame:
@@ -58,112 +56,6 @@ def record_values(df: DataFrame, id_col: str, value: Column, block: Column | Non
     return rec.join(vg, ["blk", "value"]).select("id", "vid")
 
 
-# ---------------------------------------------------------------- prefix filtering
-
-def _edit_q(threshold: float, q: int = 3) -> int:
-    """Largest q <= requested for which padded q-gram prefix filtering is lossless.
-
-    With padding a string of length L has L + q - 1 grams and one edit
-    touches at most q of them, so a pair whose longer side has length M
-    shares at least M + q - 1 - q * floor((1 - t) M) grams; that must be >= 1.
-    """
-    while q > 1:
-        if q * (1 - threshold) < 1:
-            bound = 4 * q + 4
-            if all(L + q - 1 - q * math.floor((1 - threshold) * L + EPS) >= 1 for L in range(1, bound + 1)):
-                return q
-        q -= 1
-    return 1
-
-
-PAD_START, PAD_END = "\u0002", "\u0003"
-
-
-def _tokens(values: DataFrame, q: int) -> DataFrame:
-    """``vid, blk, len, token``: padded q-grams tagged with their occurrence number."""
-    pad = F.concat(F.lit(PAD_START * (q - 1)), F.col("value"), F.lit(PAD_END * (q - 1))) if q > 1 else F.col("value")
-    x = values.select("vid", "blk", F.length("value").alias("len"), pad.alias("__p"))
-    starts = F.sequence(F.lit(1), F.greatest(F.length("__p") - q + 1, F.lit(1)))
-    grams = F.transform(starts, lambda i: F.substring(F.col("__p"), i, F.lit(q)))
-    t = x.select("vid", "blk", "len", F.posexplode(grams).alias("pos", "g"))
-    occ = F.row_number().over(Window.partitionBy("vid", "g").orderBy("pos"))
-    return t.select("vid", "blk", "len", F.concat(F.col("g"), F.lit("\u0001"), occ.cast("string")).alias("token"))
-
-
-def _ranked(tokens: DataFrame) -> DataFrame:
-    """Tokens with their rank inside the value under the global order (frequency, token)."""
-    freq = tokens.groupBy("blk", "token").agg(F.count(F.lit(1)).alias("f"))
-    rk = F.row_number().over(Window.partitionBy("vid").orderBy("f", "token"))
-    return tokens.join(freq, ["blk", "token"]).withColumn("rank", rk).drop("f")
-
-
-def _prefixes(tokens: DataFrame, prefix_len: Column) -> DataFrame:
-    """Keep each value's ``prefix_len`` rarest tokens."""
-    return _ranked(tokens).filter(F.col("rank") <= prefix_len).drop("rank")
-
-
-def _candidate_join(prefix: DataFrame, length_ok) -> DataFrame:
-    a = prefix.select(F.col("vid").alias("va"), "blk", F.col("len").alias("la"), "token")
-    b = prefix.select(F.col("vid").alias("vb"), "blk", F.col("len").alias("lb"), "token")
-    j = a.join(b, ["blk", "token"]).filter((F.col("va") < F.col("vb")) & length_ok(F.col("la"), F.col("lb")))
-    return j.select("va", "vb").distinct()
-
-
-def edit_candidates(values: DataFrame, threshold: float, q: int = 3) -> DataFrame:
-    """Lossless candidates for ``1 - lev/maxlen >= threshold`` (D1 for edit similarity).
-
-    Length-class prefix filtering: a pair (r, s) with lengths a <= b can only
-    match if a >= t*b, has edit budget tau = floor((1-t) b) and shares at
-    least b + q - 1 - q*tau padded q-grams; so value r needs its
-    ``|r| - b + q*tau + 1`` rarest grams for partners of length b. Each value
-    emits one prefix per partner length that occurs in the data inside its
-    window [t|r|, |r|/t] (the distinct lengths are a small driver-side list),
-    tagged with the (shorter, longer) length pair, and candidates join on
-    (token, length pair). Strings sharing long common parts (ids with a
-    common stem) therefore only probe with grams of their own length class.
-    """
-    if not 0.5 < threshold <= 1.0:
-        raise ValueError("edit-similarity join needs 0.5 < threshold <= 1")
-    q = _edit_q(threshold, q)
-    lengths = sorted(r[0] for r in values.select(F.length("value")).distinct().collect())  # <= max length rows
-    ranked = _ranked(_tokens(values, q))
-    per_value = values.select("vid", F.length("value").alias("len")).withColumn(
-        "partner", F.explode(F.filter(F.array(*[F.lit(x) for x in lengths]) if lengths else F.array().cast("array<int>"),
-                                      lambda L: (L >= F.col("len") * threshold - EPS)
-                                      & (L <= F.col("len") / threshold + EPS))))
-    longer = F.greatest("len", "partner")
-    tau = F.floor((1 - threshold) * longer + EPS)
-    cls = per_value.select("vid", F.least("len", "partner").alias("lo"), longer.alias("hi"),
-                           (F.col("len") - longer + q * tau + 1).alias("plen"))
-    pre = cut_lineage(ranked.join(cls, "vid").filter(F.col("rank") <= F.col("plen"))
-                      .select("vid", "blk", "len", "lo", "hi", "token"))  # both sides of the self-join
-    a = pre.select(F.col("vid").alias("va"), "blk", F.col("len").alias("la"), "lo", "hi", "token")
-    b = pre.select(F.col("vid").alias("vb"), "blk", F.col("len").alias("lb"), "lo", "hi", "token")
-    j = a.join(b, ["blk", "token", "lo", "hi"]).filter(
-        (F.col("va") < F.col("vb")) & (F.col("la") + F.col("lb") == F.col("lo") + F.col("hi")))
-    return j.select("va", "vb").distinct()
-
-
-def jaro_winkler_candidates(values: DataFrame, threshold: float) -> DataFrame:
-    """Lossless candidates for Jaro-Winkler >= threshold (D1 for JW).
-
-    JW >= t implies Jaro >= J = (t - 0.4) / 0.6, hence at least
-    (3J-1)|a||b|/(|a|+|b|) shared characters and min >= (3J-2) max. Each value
-    keeps |s| - alpha_min(s) + 1 rarest characters.
-    """
-    j = max((threshold - JW_MAX_BOOST) / (1 - JW_MAX_BOOST), 0.0)
-    tok = _tokens(values, 1)
-    s = F.col("len").cast("double")
-    ratio = max(3 * j - 2, 0.0)
-    lmin = F.greatest(F.lit(1.0), F.ceil(ratio * s - EPS).cast("double"))
-    alpha = F.greatest(F.lit(1), F.ceil((3 * j - 1) * s * lmin / (s + lmin) - EPS).cast("int"))
-    pre = cut_lineage(_prefixes(tok, F.col("len") - alpha + 1))
-    return _candidate_join(pre, lambda la, lb: F.least(la, lb) >= ratio * F.greatest(la, lb) - EPS)
-
-
-JW_MAX_BOOST = 0.4  # Winkler adds at most 4 * 0.1 * (1 - jaro)
-
-
 def similar_values(values: DataFrame, threshold: float, method: str = "levenshtein", q: int = 3) -> DataFrame:
     """Verified value pairs ``va, vb, value_a, value_b, sim`` with sim >= threshold.
 
