@@ -1,12 +1,14 @@
 """Missing-value imputation.
 
-Fill statistics are aggregations that combine map-side (value counts for the
-mode; Spark's exact ``median`` keeps a value->count map, so its memory follows
-the number of distinct values, not rows; ``approx=True`` switches to the
-bounded ``percentile_approx`` sketch). Per-group statistics are one row per
-group and joined on the group key (AQE turns it into a broadcast join when
-the group table is small at run time). Global statistics are one row, read
-once and inlined as literals (no join at all).
+The statistics of all columns, and of all groups when there are any, come from
+one pass: cells are melted to (column, group, value) and counted with map-side
+combine, so a frequent value is one row. Modes are the largest counts, medians
+are exact quantiles picked by rank (:mod:`scrubjay.operators.quantiles`), so no
+task holds the values of a column and the number of jobs and shuffles does not
+depend on the number of columns; ``approx=True`` uses the bounded
+``percentile_approx`` sketch instead. Global statistics are one row a column,
+read once and inlined as literals; those of groups are one row a group, joined
+once for all columns.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scrubjay.functions.flags import add_flags, ensure_flags
+from scrubjay.operators.quantiles import exact_quantiles
+from scrubjay.session import cut_lineage
 
 DEFAULT_MIN_CONFIDENCE = 0.65
 DEFAULT_MAX_RATE = 0.05  # cap of the expensive strategy (reference: max_llm_imputation_rate)
@@ -35,44 +39,94 @@ def auto_strategy(df: DataFrame, columns: list[str]) -> dict[str, str]:
     return {c: ("median" if _numeric(types[c]) else "mode") for c in columns}
 
 
-def _median_stats(df: DataFrame, c: str, keys: list[Column], approx: bool) -> DataFrame:
-    x = F.col(c).cast("double")
-    if approx:
-        q = F.percentile_approx(x, [0.25, 0.5, 0.75], 10000)
-        aggs = [q[1].alias("fill"), q[0].alias("p25"), q[2].alias("p75")]
-    else:
-        aggs = [F.median(x).alias("fill"), F.percentile(x, 0.25).alias("p25"), F.percentile(x, 0.75).alias("p75")]
-    g = (df.groupBy(*keys) if keys else df).agg(*aggs, F.min(x).alias("lo"), F.max(x).alias("hi"),
-                                                 F.count(x).alias("nn"))
-    conf = F.when(F.col("hi") == F.col("lo"), F.lit(1.0)).otherwise(
-        F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1.0 - (F.col("p75") - F.col("p25")) / (F.col("hi") - F.col("lo")))))
-    return g.select(*[k for k in g.columns if k not in ("fill", "p25", "p75", "lo", "hi", "nn")],
-                    "fill", conf.alias("confidence"), "nn")
+def _spread(q: Column, lo: Column, hi: Column) -> Column:
+    """Confidence of a median: 1 - (interquartile range / range)."""
+    return F.when(hi == lo, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1.0 - (q[2] - q[0]) / (hi - lo))))
 
 
-def _mode_stats(df: DataFrame, c: str, keys: list[str]) -> DataFrame:
-    """Most frequent non-NULL value (smallest on ties) and its share, per key."""
-    counts = df.filter(F.col(c).isNotNull()).groupBy(*keys, F.col(c).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    best = counts.groupBy(*keys).agg(F.min(F.struct((-F.col("__n")).alias("neg"), F.col("__v").alias("v"))).alias("b"),
-                                     F.sum("__n").alias("nn"))
-    return best.select(*keys, F.col("b.v").alias("fill"), (-F.col("b.neg") / F.col("nn")).alias("confidence"), "nn")
+def _as_text(c: Column, dtype: T.DataType) -> Column:
+    """A value as text that :func:`_from_text` reads back exactly."""
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c).cast("string")
+    if isinstance(dtype, T.BinaryType):
+        return F.base64(c)
+    if isinstance(dtype, T.MapType):  # entries in a fixed order, so equal maps are equal texts
+        return F.to_json(F.array_sort(F.map_entries(c)))
+    if isinstance(dtype, (T.ArrayType, T.StructType)):
+        return F.to_json(c)
+    return c.cast("string")
+
+
+def _from_text(c: Column, dtype: T.DataType) -> Column:
+    if isinstance(dtype, T.TimestampType):
+        return F.timestamp_micros(c.cast("long"))
+    if isinstance(dtype, T.BinaryType):
+        return F.unbase64(c)
+    if isinstance(dtype, T.MapType):
+        entry = T.ArrayType(T.StructType([T.StructField("key", dtype.keyType), T.StructField("value", dtype.valueType)]))
+        return F.map_from_entries(F.from_json(c, entry))
+    if isinstance(dtype, (T.ArrayType, T.StructType)):
+        return F.from_json(c, dtype)
+    return c.cast(dtype)
+
+
+def _ordered(c: Column, dtype: T.DataType) -> Column:
+    """Numbers order by value; everything else by its text."""
+    return c.cast("double") if _numeric(dtype) else F.lit(None).cast("double")
+
+
+def column_statistics(df: DataFrame, strategies: dict[str, str], group_by: str | None = None, approx: bool = False) -> DataFrame:
+    """``name, grp, total, fill (text), number, confidence, nn`` for all columns at once.
+
+    ``total`` marks the row of the whole column; with ``group_by`` there is one more for each group (``grp``, as text, may be NULL) with a value.
+    ``median``: ``number`` is the fill, ``mode``: ``fill`` (the most frequent value, the smallest on ties).
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    wrong = sorted(set(strategies.values()) - {"median", "mode"})
+    if wrong:
+        raise ValueError(f"unknown strategy {', '.join(wrong)}")
+    grp = _as_text(F.col(group_by), types[group_by]) if group_by else F.lit(None).cast("string")
+    cells = [F.struct(F.lit(c).alias("name"), (F.lit(None).cast("string") if s == "median" else _as_text(F.col(c), types[c])).alias("t"),
+                      (F.col(c).cast("double") if s == "median" else _ordered(F.col(c), types[c])).alias("d")) for c, s in strategies.items()]
+    x = df.select(grp.alias("grp"), F.explode(F.array(*cells)).alias("x")).select("grp", "x.*").filter(F.col("t").isNotNull() | F.col("d").isNotNull())
+    counts = x.groupBy("name", "grp", "t", "d").agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.groupBy("name", "t", "d").agg(F.sum("n").alias("n")).select("name", F.lit(None).cast("string").alias("grp"), F.lit(True).alias("total"), "t", "d", "n")
+    both = whole.unionByName(counts.withColumn("total", F.lit(False))) if group_by else whole
+    key = ["name", "grp", "total"]
+    medians, modes = ([c for c, s in strategies.items() if s == k] for k in ("median", "mode"))
+    out = None
+    if medians:
+        m = both.filter(F.col("name").isin(medians))
+        if approx:
+            y = x.filter(F.col("name").isin(medians)).select("name", "grp", "d", F.explode(F.array(F.lit(True), F.lit(False)) if group_by else F.array(F.lit(True))).alias("total"))
+            y = y.withColumn("grp", F.when(~F.col("total"), F.col("grp")))
+            q = y.groupBy(*key).agg(F.percentile_approx("d", [0.25, 0.5, 0.75], 10000).alias("q"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.count(F.lit(1)).alias("nn"))
+        else:
+            q = exact_quantiles(m, key, "d", "n", [0.25, 0.5, 0.75])
+        out = q.select(*key, F.lit(None).cast("string").alias("fill"), F.col("q")[1].alias("number"), _spread(F.col("q"), F.col("lo"), F.col("hi")).alias("confidence"), "nn")
+    if modes:
+        best = both.filter(F.col("name").isin(modes)).groupBy(*key).agg(
+            F.min(F.struct((-F.col("n")).alias("neg"), "d", F.col("t").alias("t"))).alias("b"), F.sum("n").alias("nn"))
+        b = best.select(*key, F.col("b.t").alias("fill"), F.lit(None).cast("double").alias("number"), (-F.col("b.neg") / F.col("nn")).alias("confidence"), "nn")
+        out = b if out is None else out.unionByName(b)
+    return out
 
 
 def fill_statistics(df: DataFrame, column: str, strategy: str, group_by: str | None = None,
                     approx: bool = False) -> DataFrame:
     """``[group], fill, confidence, nn`` for one column."""
-    keys = [group_by] if group_by else []
-    if strategy == "median":
-        return _median_stats(df, column, [F.col(k) for k in keys], approx)
-    if strategy == "mode":
-        return _mode_stats(df, column, keys)
-    raise ValueError(f"unknown strategy {strategy}")
+    types = {f.name: f.dataType for f in df.schema.fields}
+    s = column_statistics(df, {column: strategy}, group_by, approx)
+    fill = (F.col("number") if strategy == "median" else _from_text(F.col("fill"), types[column])).alias("fill")
+    if group_by:
+        return s.filter(~F.col("total")).select(_from_text(F.col("grp"), types[group_by]).alias(group_by), fill, "confidence", "nn")
+    return s.filter("total").select(fill, "confidence", "nn")
 
 
 def impute(df: DataFrame, strategy_map: dict[str, str] | None = None, columns: list[str] | None = None,
            group_by: str | None = None, min_confidence: float = DEFAULT_MIN_CONFIDENCE,
            approx: bool = False) -> DataFrame:
-    """Fill NULLs column by column.
+    """Fill NULLs in all columns (F1-F5); every statistic is of the input.
 
     ``strategy_map`` column -> ``median`` | ``mode``; missing -> :func:`auto_strategy`.
     With ``group_by``, the group's statistic is used when the group has a
@@ -87,36 +141,36 @@ def impute(df: DataFrame, strategy_map: dict[str, str] | None = None, columns: l
     types = {f.name: f.dataType for f in df.schema.fields}
     if columns is None:
         columns = [c for c in df.columns if not c.startswith("__")]
-    strategy_map = {**auto_strategy(df, columns), **(strategy_map or {})}
-    for i, c in enumerate(columns):
-        strat = strategy_map[c]
-        # the global statistic is one row: read it and inline it as literals
-        g = fill_statistics(df.select(c), c, strat, approx=approx).select("fill", "confidence").first()
-        g_fill = g["fill"] if g is not None else None
-        g_conf = g["confidence"] if g is not None else None
-        fill = F.lit(g_fill).cast(types[c] if strat == "mode" else "double")
-        conf = F.lit(g_conf).cast("double")
-        drop = []
+    strategies = {c: {**auto_strategy(df, columns), **(strategy_map or {})}[c] for c in columns}
+    stats = cut_lineage(column_statistics(df.select(*{*columns, *([group_by] if group_by else [])}), strategies, group_by, approx)) if columns else None
+    found = {r["name"]: r for r in stats.filter("total").collect()} if columns else {}  # one row a column
+    if group_by and columns:
+        one = F.struct("fill", "number", "confidence")
+        groups = stats.filter(~F.col("total")).groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("name", one.alias("s")))).alias("__stats")).withColumnRenamed("grp", "__grp")
+        df = df.join(groups, _as_text(F.col(group_by), types[group_by]).eqNullSafe(F.col("__grp")), "left")
+    confs, flags, fills = [], [], {}
+    for c in columns:
+        g, median = found.get(c), strategies[c] == "median"
+        fill = F.lit(g["number"]).cast("double") if g and median else F.lit(g["fill"] if g else None).cast("string")
+        conf = F.lit(g["confidence"] if g else None).cast("double")
         if group_by:
-            grp = fill_statistics(df.select(group_by, c), c, strat, group_by=group_by, approx=approx).select(
-                F.col(group_by).alias(f"__k{i}"), F.col("fill").alias(f"__lf{i}"), F.col("confidence").alias(f"__lc{i}"))
-            df = df.join(grp, F.col(group_by).eqNullSafe(F.col(f"__k{i}")), "left")
-            fill = F.coalesce(F.col(f"__lf{i}"), fill)
-            conf = F.when(F.col(f"__lf{i}").isNotNull(), F.col(f"__lc{i}")).otherwise(conf)
-            drop += [f"__k{i}", f"__lf{i}", f"__lc{i}"]
-        if strat == "median" and _integral(types[c]):
-            fill = F.floor(fill)
-        fill = fill.cast(types[c])
+            own = F.col("__stats")[c]
+            fill = F.coalesce(own["number"] if median else own["fill"], fill)
+            conf = F.when(own.isNotNull(), own["confidence"]).otherwise(conf)
+        if median:
+            fill = (F.floor(fill) if _integral(types[c]) else fill).cast(types[c])
+        else:
+            fill = _from_text(fill, types[c])
         need = F.col(c).isNull()
-        df = add_flags(df, [(need & fill.isNotNull() & (conf < min_confidence), f"imputation:{c}"),
-                            (need & fill.isNull(), f"imputation_failed:{c}")])
-        df = df.withColumn(f"__conf{i}", F.when(need & fill.isNotNull(), conf)).withColumn(c, F.coalesce(F.col(c), fill))
-        df = df.drop(*drop)
-    conf_cols = [F.col(f"__conf{i}") for i in range(len(columns))]
-    filled = F.filter(F.array(*conf_cols), lambda x: x.isNotNull())
+        fills[c] = F.coalesce(F.col(c), fill).alias(c)
+        flags += [(need & fill.isNotNull() & (conf < min_confidence), f"imputation:{c}"), (need & fill.isNull(), f"imputation_failed:{c}")]
+        confs.append(F.when(need & fill.isNotNull(), conf))
+    df = add_flags(df.withColumn("__confs", F.filter(F.array(*confs).cast("array<double>"), lambda x: x.isNotNull())), flags)
+    df = df.select(*[fills.get(c, F.col(c)) for c in df.columns if c not in ("__grp", "__stats")])
+    filled = F.col("__confs")
     df = df.withColumn("__imputed_confidence", F.when(F.size(filled) > 0, F.aggregate(
         filled, F.lit(0.0), lambda a, x: a + x) / F.size(filled))).withColumn("__imputed_cells", F.size(filled))
-    return df.drop(*[f"__conf{i}" for i in range(len(columns))])
+    return df.drop("__confs")
 
 
 def impute_capped(df: DataFrame, column: str, expensive: str = "mode", group_by: str | None = None,

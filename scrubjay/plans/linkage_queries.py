@@ -15,6 +15,7 @@ from scrubjay.functions.flags import FLAG
 from scrubjay.functions.text import normalize_ws
 from scrubjay.operators import metrics as M
 from scrubjay.operators import resolve as R
+from scrubjay.operators.blocking import candidate_pairs
 from scrubjay.plans.catalog import register
 from scrubjay.plans.tables import dirty, duck_cte, load
 
@@ -60,6 +61,18 @@ def d1_blocked_candidates(spark, sf):
     return R.similar_values(vals, 0.9).select("va", "vb")
 
 
+@register("d1_candidate_pairs",
+          "WITH r AS (SELECT c_custkey AS id, 1 AS i, CAST(floor(c_acctbal) AS BIGINT) AS k0, NULL AS k1, left(c_name, 15) AS f FROM customer "
+          "UNION ALL SELECT c_custkey, 2, NULL, c_mktsegment, left(c_name, 15) FROM customer), "
+          "s AS (SELECT id, i, coalesce(CAST(k0 AS VARCHAR), k1) AS k, f, count(*) OVER (PARTITION BY i, coalesce(CAST(k0 AS VARCHAR), k1)) AS n FROM r), "
+          "g AS (SELECT id, i, k, CASE WHEN n > 100 THEN f ELSE '' END AS f FROM s) "
+          "SELECT x.id AS a, y.id AS b, min(x.i) AS block FROM g x JOIN g y ON x.i = y.i AND x.k = y.k AND x.f = y.f AND x.id < y.id GROUP BY ALL")
+def d1_candidate_pairs(spark, sf):
+    """Two keys: the balance to a unit, and the market segment, of which each holds a fifth of all customers and is refined by the name's first 15 characters."""
+    keys = [F.floor("c_acctbal"), F.col("c_mktsegment")]
+    return candidate_pairs(load(spark, sf, "customer"), "c_custkey", keys, refine=F.substring("c_name", 1, 15), max_block=100, tile=50)
+
+
 # ---------- C6 / D11 / D12 ----------
 
 _CC_SQL = (
