@@ -10,8 +10,8 @@ character that leaves and the one that enters, and the entropy is log2(window) -
 from the first window at the threshold to the last one.
 
 Allow-list. A candidate is no secret when it has no digit or no letter, is a UUID, holds a date stamp only, is a path of plain words, or
-equals an entry of ``allow``. A candidate that spans of fixed patterns overlap is cut at them: each part outside them, of
-``WINDOW`` characters or more, is a candidate of its own.
+equals an entry of ``allow``. Spans of fixed patterns are blanked out first, so each part of a candidate outside them, of
+``WINDOW`` characters or more, is a candidate of its own. Nothing else in a text has a say in whether a candidate is looked at.
 
 Positions are code points. Spark has no regular-expression positions; they follow from splitting the text at the
 pattern: the pieces between matches and the matches tile the text. Texts without the pattern's key letters
@@ -37,34 +37,53 @@ NAMES = ["password", "passwd", "secret", "token", "api_key", "apikey"]
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 UUID = r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$"
 STAMP = r"^[0-9T_:+-]+Z?$"
-PLAIN_PATH = r"^/?([A-Za-z]+[0-9]{0,4}[/_=-])+[A-Za-z]*[0-9]{0,4}$"
+PLAIN_PATH = r"^/?(?:[A-Za-z]++[0-9]{0,4}+[/_=-])++[A-Za-z]*+[0-9]{0,4}+$"  # possessive: matched in a loop, whatever the length
 WINDOW = 20
+CHUNK = 128
 THRESHOLDS = {"hex": 2.9, "alnum": 3.7, "base64": 3.8}
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
-def _tiles(text: Column, pattern: str, kind: int, keep=None) -> Column:
-    """Spans of all matches of ``pattern``; ``keep`` maps (match, second group) to a condition.
+def _running(items: Column, step, piece_type: str) -> Column:
+    """Array of the pieces that ``step(at, item) -> (at, piece)`` makes of ``items`` in order, ``at`` beginning with 0.
+
+    Pieces are gathered ``CHUNK`` at a time, so a text with many of them is not copied once for each.
+    """
+    none = F.array().cast(f"array<{piece_type}>")
+
+    def one(acc, x):
+        at, piece = step(acc["at"], x)
+        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
+
+    def many(acc, part):
+        got = F.aggregate(part, F.struct(acc["at"].alias("at"), none.alias("out")), one)
+        return _bind(got, lambda g: F.struct(g["at"].alias("at"), F.concat(acc["out"], g["out"]).alias("out")))
+
+    n = F.size(items)
+    parts = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")), lambda k: F.slice(items, k * CHUNK + 1, CHUNK)))
+    return F.coalesce(F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), many, lambda acc: acc["out"]), none)
+
+
+def _tiles(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
+    """``start, kind, end, value`` of all matches of ``pattern``; value: the match or a group of it.
 
     The pieces of the text between matches and the matches themselves give the positions.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if keep is not None else found
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    tiles = F.arrays_zip(gaps.alias("gap"), found.alias("match"), value.alias("value"))
-    empty = F.lit(None).cast(_SPAN)
-    start = F.struct(F.lit(0).alias("at"), F.coalesce(empty, F.array().cast(_SPAN)).alias("out"))
 
-    def step(acc, t):
-        begin = acc["at"] + F.length(t["0"])
+    def step(at, t):
+        begin = at + F.length(t["0"])
         end = begin + F.length(t["1"])
-        span = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        out = F.concat(acc["out"], span) if keep is None else F.when(keep(t["2"]), F.concat(acc["out"], span)).otherwise(acc["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+        return end, F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), t["2"].alias("value"))
 
-    tiles = F.arrays_zip(gaps, found, value)
-    return F.aggregate(tiles, start, step, lambda acc: acc["out"])
+    return _bind(F.arrays_zip(gaps, found, value), lambda tiles: _running(tiles, step, "struct<start:int,kind:int,end:int,value:string>"))
+
+
+def _spans(tiles: Column) -> Column:
+    return F.transform(tiles, lambda t: F.struct(t["start"].alias("start"), t["kind"].alias("kind"), t["end"].alias("end")))
 
 
 def _bind(value: Column, body) -> Column:
@@ -82,9 +101,9 @@ def base_spans(text: Column) -> Column:
     named = F.lit(False)
     for n in NAMES:
         named = named | lower.contains(n)
-    assign = F.when(named, _tiles(text, ASSIGN, 0, keep=lambda v: F.length(v) >= 8)).otherwise(_none())
-    access = F.when(text.contains("AKIA"), _tiles(text, ACCESS, 1)).otherwise(_none())
-    hexes = F.when(text.rlike(HEX), _tiles(text, HEX, 2)).otherwise(_none())
+    assign = F.when(named, _spans(F.filter(_tiles(text, ASSIGN, 0, 2), lambda t: F.length(t["value"]) >= 8))).otherwise(_none())
+    access = F.when(text.contains("AKIA"), _spans(_tiles(text, ACCESS, 1))).otherwise(_none())
+    hexes = F.when(text.rlike(HEX), _spans(_tiles(text, HEX, 2))).otherwise(_none())
     return F.array_sort(F.concat(assign, access, hexes))
 
 
@@ -118,36 +137,37 @@ def _slide(chars: Column, window: int, threshold: Column | float) -> Column:
     return F.aggregate(slides, begin, slide, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
-def _outside(span: Column, base: Column) -> Column:
-    """The parts of a span of ``WINDOW`` characters or more that no span of ``base`` (sorted by start) overlaps."""
-    hit = F.filter(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
-    part = lambda lo, hi: F.when(hi - lo >= WINDOW, F.array(F.struct(lo.alias("start"), F.lit(3).alias("kind"), hi.alias("end")))).otherwise(_none())
-    begin = F.struct(span["start"].alias("at"), _none().alias("out"))
-    step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], part(acc["at"], b["start"])).alias("out"))
-    cut = F.aggregate(hit, begin, step, lambda acc: F.concat(acc["out"], part(acc["at"], span["end"])))
-    return F.when(F.size(hit) == 0, F.array(span)).otherwise(cut)
+def _cut_out(text: Column, spans: Column, put) -> Column:
+    """``text`` with ``put(length)`` in place of each stretch that ``spans`` (sorted by start, perhaps overlapping) add to those before."""
+    def body(chars):
+        def step(at, s):
+            gap = F.array_join(F.slice(chars, at + 1, F.greatest(s["start"] - at, F.lit(0))), "")
+            fresh = s["end"] - F.greatest(at, s["start"])
+            return F.greatest(at, s["end"]), F.when(fresh > 0, F.concat(gap, put(fresh, s["start"] >= at))).otherwise(F.lit(""))
+
+        rest = F.coalesce(F.array_max(F.transform(spans, lambda s: s["end"])), F.lit(0))
+        return F.concat(F.array_join(_running(spans, step, "string"), ""), F.array_join(F.slice(chars, rest + 1, F.size(chars)), ""))
+
+    return _bind(F.split(text, ""), body)
 
 
 def entropy_spans(text: Column, base: Column, allow: tuple[str, ...] = ()) -> Column:
-    """Entropy spans of the text outside the spans of ``base``."""
-    likely = text.rlike(r"[0-9][A-Za-z+/]|[A-Za-z+/][0-9]") & text.rlike(CANDIDATE)
-    raw = F.flatten(F.transform(_tiles(text, CANDIDATE, 3), lambda span: _outside(span, base)))
+    """Entropy spans of the text outside the spans of ``base``, which are blanked out first: what is left of a candidate are candidates."""
+    blank = F.when(F.size(base) > 0, _cut_out(text, base, lambda n, new: F.repeat(F.lit(" "), n))).otherwise(text)
 
-    def judge(word, span):
+    def judge(tile):
+        word = tile["value"]
         open_ = (word.rlike("[0-9]") & word.rlike("[A-Za-z]") & ~word.rlike(UUID) & ~word.rlike(STAMP) & ~word.rlike(PLAIN_PATH))
         if allow:
             open_ = open_ & ~word.isin(*allow)
         limit = (F.when(word.rlike("^[0-9A-Fa-f]+$"), THRESHOLDS["hex"]).when(word.rlike("^[A-Za-z0-9]+$"), THRESHOLDS["alnum"])
                  .otherwise(THRESHOLDS["base64"]))
-        found = lambda hit: F.when(hit["first"] >= 0, F.struct((span["start"] + hit["first"]).alias("start"), F.lit(3).alias("kind"),
-                                                               (span["start"] + hit["last"] + WINDOW).alias("end")))
+        found = lambda hit: F.when(hit["first"] >= 0, F.struct((tile["start"] + hit["first"]).alias("start"), F.lit(3).alias("kind"),
+                                                               (tile["start"] + hit["last"] + WINDOW).alias("end")))
         return F.when(open_, _bind(limit, lambda x: _bind(entropy_window(word, WINDOW, x), found)))
 
-    def inside(span):
-        return _bind(F.substring(text, span["start"] + 1, span["end"] - span["start"]), lambda word: judge(word, span))
-
-    spans = F.filter(F.transform(raw, inside), lambda s: s.isNotNull())
-    return F.when(likely, spans).otherwise(_none())
+    spans = _bind(blank, lambda t: F.filter(F.transform(_tiles(t, CANDIDATE, 3), judge), lambda s: s.isNotNull()))
+    return F.when(text.rlike(CANDIDATE), spans).otherwise(_none())
 
 
 def with_spans(docs: DataFrame, text_col: str = "text", allow: tuple[str, ...] = (), base_col: str = "__base", all_col: str = "__all") -> DataFrame:
@@ -173,12 +193,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
     """``docs`` with every span of its texts replaced by ``mark``; all rows and columns stay."""
     d = with_spans(docs, text_col, allow)
 
-    def step(acc, s):
-        cut = F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], cut).otherwise(acc["out"]).alias("out"))
-
-    tail = lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col)))
-    clean = F.aggregate("__all", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, tail)
+    clean = _cut_out(F.col(text_col), F.col("__all"), lambda n, new: F.when(new, F.lit(mark)).otherwise(F.lit("")))
     d = d.withColumn(text_col, F.when(F.size("__all") > 0, clean).otherwise(F.col(text_col))).drop("__base", "__all")
     if length_col and length_col in docs.columns:
         d = d.withColumn(length_col, F.length(F.coalesce(F.col(text_col), F.lit(""))).cast(docs.schema[length_col].dataType))

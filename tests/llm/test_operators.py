@@ -285,12 +285,14 @@ def brute_spans(t):
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if m.end() - m.start() >= 16]
     out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if m.end() - m.start() >= 32]
     base = sorted(out)
+    covered = np.zeros(len(t), bool)
+    for b, _, e in base:
+        covered[b:e] = True
+    t = "".join(" " if x else ch for ch, x in zip(t, covered.tolist()))  # what fixed patterns hold is out
     for m in re.finditer(secrets.CANDIDATE, t):
         w = m[0]
         if not (re.search("[0-9]", w) and re.search("[A-Za-z]", w)) or any(re.search(p, w) for p in (secrets.UUID, secrets.STAMP, secrets.PLAIN_PATH)):
             continue
-        if any(s < m.end() and m.start() < e for s, _, e in base):
-            continue
         limit = secrets.THRESHOLDS["hex" if re.fullmatch("[0-9A-Fa-f]+", w) else "alnum" if re.fullmatch("[A-Za-z0-9]+", w) else "base64"]
         ok = [i for i in range(len(w) - 19) if -sum(c / 20 * np.log2(c / 20) for c in collections.Counter(w[i:i + 20]).values()) >= limit - 1e-9]
         if ok:
@@ -313,6 +315,21 @@ def test_secrets_equal_brute_force(spark, texts):
     assert any(s[1] == 3 for t in SECRETS for s in brute_spans(t)[1])
 
 
+def test_secrets_in_dense_and_long_texts(spark):
+    """A candidate counts whatever else stands in the text; long runs and very many candidates neither fail nor differ."""
+    rnd = np.random.default_rng(6)
+    word = lambda n: "".join(rnd.choice(list("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789"), n))
+    mixed = " ".join(f"token={word(9)}, {word(24)}/{'0123456789abcdef' * 2}/{word(22)}" for _ in range(700))
+    rows = ["kQzXwVbNmRtY_8264019375-pLdGhJ", "kQzXwVbNmRtY_8264019375-pLdGhJ a1", "ab1/" * 250_000, " ".join(word(23) for _ in range(50_000)), mixed]
+    df = spark.createDataFrame([(i % 3, t, 0, "clash", 1) for i, t in enumerate(rows)], "doc_id long, text string, n_chars long, base_spans string, kind int")
+    got = {r["n"]: r for r in secrets.with_spans(df.withColumn("n", F.length("text"))).collect()}
+    for t in rows:
+        base, every = brute_spans(t)
+        assert [tuple(s) for s in got[len(t)]["__base"]] == base and [tuple(s) for s in got[len(t)]["__all"]] == every
+    assert [s[1] for s in brute_spans(rows[0])[1]] == [3] and brute_spans(rows[2])[1] == []
+    assert secrets.scan_secrets(df).count() == len(rows) and secrets.redact(df).columns == df.columns
+
+
 def test_secrets_beside_fixed_patterns(spark):
     """One candidate that joins a fixed pattern and other secrets: each part outside the pattern is judged."""
     key, other, hexes = "wJalrXUtnFEMI7K9MDbPxRfiCY3EXq", "Zx8Kq2Lm9Vb4Nc7Rt1YwGh5Ds", "0123456789abcdef" * 2
