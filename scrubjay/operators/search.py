@@ -7,12 +7,10 @@ loop over a JSON file.
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrubjay.session import spread
+from scrubjay.session import cut_lineage, spread
 
 SHORT_TTL_HOURS = 24  # fixed value: short-term entries expire after 24 h (strict >)
 
@@ -54,21 +52,75 @@ def keyword_score(text: Column, query: str) -> Column:
     return total / F.lit(float(len(words)))
 
 
+def _searched(text_cols: list[str], tags_col: str | None) -> Column:
+    """The text columns joined by blanks, then the tags."""
+    parts = [F.coalesce(F.col(c), F.lit("")) for c in text_cols]
+    if tags_col:
+        parts.append(F.array_join(F.coalesce(F.col(tags_col), F.array().cast("array<string>")), " "))
+    return F.concat_ws(" ", *parts)
+
+
+def _ties(prior_col: str | None, id_col: str) -> list[Column]:
+    return [*([F.col(prior_col).desc_nulls_last()] if prior_col else []), F.col(id_col)]
+
+
 def keyword_search(df: DataFrame, text_cols: list[str], query: str, id_col: str,
-                   tags_col: str | None = None) -> DataFrame:
+                   tags_col: str | None = None, prior_col: str | None = None) -> DataFrame:
     """Entries with a positive keyword score, best first.
 
-    The searched text is the text columns joined by blanks plus the tags.
+    The searched text is the text columns joined by blanks plus the tags. Equal scores keep the order
+    of the listing they come from (``prior_col`` descending, J2), then the id.
     Empty query -> no rows. Output adds ``score``.
     """
     if not query.split():
         return df.limit(0).withColumn("score", F.lit(0.0))
-    parts = [F.coalesce(F.col(c), F.lit("")) for c in text_cols]
-    if tags_col:
-        parts.append(F.array_join(F.coalesce(F.col(tags_col), F.array().cast("array<string>")), " "))
-    text = F.concat_ws(" ", *parts)
-    scored = spread(df).withColumn("score", keyword_score(text, query)).filter(F.col("score") > 0)
-    return scored.orderBy(F.col("score").desc(), F.col(id_col))
+    scored = spread(df).withColumn("score", keyword_score(_searched(text_cols, tags_col), query)).filter(F.col("score") > 0)
+    return scored.orderBy(F.col("score").desc(), *_ties(prior_col, id_col))
+
+
+def _top(df: DataFrame, query_col: str, order: list[Column], k: int) -> DataFrame:
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(query_col).orderBy(*order))).filter(F.col("rank") <= k)
+
+
+def _grams(c: Column, n: int) -> Column:
+    """Distinct grams of ``n`` characters; none in a shorter string."""
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+    return F.array_distinct(F.filter(grams, lambda g: F.length(g) == n))
+
+
+def words_in_vocabulary(words: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``word, token``: the tokens (column ``token``) that contain each word (column ``word``), both distinct and without white space.
+
+    Tokens are indexed by their grams of one to three characters; a word looks up the rarest gram of its own length class, and
+    what it finds is compared in full. Vocabularies grow far more slowly than texts.
+    """
+    index = tokens.select("token", F.explode(F.concat(*[_grams(F.col("token"), n) for n in (1, 2, 3)])).alias("g"))
+    count = index.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
+    own = F.when(F.length("word") >= 3, _grams(F.col("word"), 3)).otherwise(F.array("word"))
+    key = (words.select("word", F.explode(own).alias("g")).join(count, "g", "left").groupBy("word")
+           .agg(F.min(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "g")).alias("best")).select("word", F.col("best.g").alias("g")))
+    return key.join(index, "g").filter(F.contains("token", "word")).select("word", "token")
+
+
+def keyword_search_many(df: DataFrame, text_cols: list[str], queries: DataFrame, id_col: str, query_id: str, query_text: str, k: int = 10,
+                        tags_col: str | None = None, prior_col: str | None = None) -> DataFrame:
+    """J3 for a table of queries: ``<query_id>, rank, <id>, score``, the ``k`` best entries of each query with a score above 0.
+
+    The score is that of :func:`keyword_score`, ties as in :func:`keyword_search`. Entries meet queries through an inverted index: a word without white space is part
+    of a text if it is part of one of its tokens, so words are looked up in the vocabulary, and its tokens lead to the entries. Queries without a word have no rows; NULL texts have no tokens;
+    ids are taken to be unique on both sides.
+    """
+    split = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
+    entry = cut_lineage(spread(df).select(F.col(id_col).alias("__id"), F.explode(F.array_distinct(split(_searched(text_cols, tags_col)))).alias("token")))
+    asked = queries.select(F.col(query_id).alias("__q"), split(F.coalesce(F.col(query_text), F.lit(""))).alias("w"))
+    terms = asked.select("__q", F.size("w").alias("n"), F.explode("w").alias("word")).groupBy("__q", "n", "word").agg(F.count(F.lit(1)).alias("times"))
+    found = words_in_vocabulary(terms.select("word").distinct(), entry.select("token").distinct())
+    hits = entry.join(found, "token").select("__id", "word").distinct()  # a word counts once an entry, however many tokens hold it
+    scored = hits.join(terms, "word").groupBy("__q", "__id").agg((F.sum("times") / F.first("n")).alias("score"))
+    if prior_col:
+        scored = scored.join(df.select(F.col(id_col).alias("__id"), F.col(prior_col).alias("__prior")), "__id")
+    best = _top(scored, "__q", [F.col("score").desc(), *_ties("__prior" if prior_col else None, "__id")], k)
+    return best.select(F.col("__q").alias(query_id), "rank", F.col("__id").alias(id_col), "score")
 
 
 def delete_ids(df: DataFrame, tombstones: DataFrame, id_col: str, tomb_col: str | None = None) -> DataFrame:
@@ -104,5 +156,14 @@ def tag_overlap(df: DataFrame, tags_col: str, query_tags: list[str], id_col: str
             .orderBy(F.col("overlap").desc(), F.col(score_col).desc(), F.col(id_col)))
 
 
-def tokenize_query(query: str) -> list[str]:
-    return re.split(r"\s+", query.lower().strip()) if query.strip() else []
+def tag_overlap_many(df: DataFrame, tags_col: str, queries: DataFrame, query_id: str, query_tags: str, id_col: str, score_col: str, k: int = 10) -> DataFrame:
+    """J7 for a table of queries: ``<query_id>, rank, <id>, overlap``, the ``k`` entries of each query that share most tags, then by score, then by id.
+
+    Both sides are spread to their distinct tags and meet on equal tags; NULL arrays and NULL tags share nothing.
+    """
+    one = lambda c: F.explode(F.array_distinct(F.filter(c, lambda t: t.isNotNull()))).alias("tag")
+    entry = df.select(F.col(id_col).alias("__id"), F.col(score_col).alias("__s"), one(F.col(tags_col)))
+    asked = queries.select(F.col(query_id).alias("__q"), one(F.col(query_tags)))
+    shared = entry.join(asked, "tag").groupBy("__q", "__id", "__s").agg(F.count(F.lit(1)).cast("int").alias("overlap"))
+    best = _top(shared, "__q", [F.col("overlap").desc(), *_ties("__s", "__id")], k)
+    return best.select(F.col("__q").alias(query_id), "rank", F.col("__id").alias(id_col), "overlap")

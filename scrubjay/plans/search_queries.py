@@ -67,6 +67,35 @@ def j3_keyword_search_tags(spark, sf):
     return r.select("id", F.round("score", 6).alias("score"))
 
 
+_MANY = "concat('summary user', CAST(n_nationkey AS STRING), ' purchase ', CASE WHEN n_nationkey % 3 = 0 THEN 'er' ELSE 'click click' END)"
+_ENTRY = "concat_ws(' ', event_type, concat_ws(' ', event_type, concat('user', CAST(user_id AS VARCHAR))))"
+
+
+@register("j3_keyword_search_many",
+          f"WITH q AS (SELECT n_nationkey AS query_id, string_split({_MANY.replace('STRING', 'VARCHAR')}, ' ') AS w FROM nation), "
+          f"s AS (SELECT query_id, event_id AS id, value, len(list_filter(w, lambda x: contains({_ENTRY}, x))) / len(w) AS score FROM q, events) "
+          "SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, value DESC NULLS LAST, id) AS INT) AS rank, id, "
+          "round(score, 6) AS score FROM s WHERE score > 0) WHERE rank <= 10")
+def j3_keyword_search_many(spark, sf):
+    """One query a nation; repeated words count twice, 'er' is part of other words; equal scores by the event's value."""
+    queries = load(spark, sf, "nation").select(F.col("n_nationkey").alias("query_id"), F.expr(_MANY).alias("q"))
+    entries = load(spark, sf, "events").select(F.col("event_id").alias("id"), "value", F.col("event_type").alias("summary"), F.array("event_type", F.concat(F.lit("user"), F.col("user_id").cast("string"))).alias("tags"))
+    r = J.keyword_search_many(entries, ["summary"], queries, "id", "query_id", "q", k=10, tags_col="tags", prior_col="value")
+    return r.withColumn("score", F.round("score", 6))
+
+
+@register("j7_tag_overlap_many", duck_cte("part_tags") +
+          ", q AS (SELECT p_partkey AS query_id, tags AS t FROM part_tags), "
+          "s AS (SELECT query_id, p_partkey, p_retailprice, len(list_intersect(list_distinct(tags), list_distinct(t))) AS overlap FROM q, part_tags WHERE query_id % 100 = 0) "
+          "SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, p_retailprice DESC NULLS LAST, p_partkey) AS INT) AS rank, "
+          "p_partkey, CAST(overlap AS INT) AS overlap FROM s WHERE overlap > 0) WHERE rank <= 10")
+def j7_tag_overlap_many(spark, sf):
+    """Every hundredth part asks with its own tags, all parts answer."""
+    parts = dirty(spark, sf, "part_tags")
+    queries = parts.filter(F.col("p_partkey") % 100 == 0).select(F.col("p_partkey").alias("query_id"), F.col("tags").alias("t"))
+    return J.tag_overlap_many(parts, "tags", queries, "query_id", "t", "p_partkey", "p_retailprice")
+
+
 @register("j4_delete_ids", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def j4_delete_ids(spark, sf):
     return J.delete_ids(load(spark, sf, "documents"), load(spark, sf, "labels"), "doc_id").select("doc_id")
