@@ -36,6 +36,20 @@ def a2_csv_scan(spark, sf):
     return io.read_table(spark, path, schema="o_orderkey bigint, o_totalprice double, is_open boolean, o_orderdate date")
 
 
+@register("a2_csv_bad_rows",
+          "SELECT CASE WHEN doc_id % 10 <> 3 THEN doc_id END AS doc_id, md5(text) AS text_md5, CASE WHEN doc_id % 15 <> 7 THEN n_chars END AS n_chars, "
+          f"(doc_id % 10 = 3 OR doc_id % 15 = 7) AS {FLAG}, CASE WHEN doc_id % 10 = 3 OR doc_id % 15 = 7 THEN 'csv_parse' END AS {REASON} FROM documents")
+def a2_csv_bad_rows(spark, sf):
+    """Whole texts, line breaks and quotes included, between cells of which some do not parse."""
+    d = load(spark, sf, "documents").select(
+        F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit("no. "), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string")).alias("doc_id"), "text",
+        F.when(F.col("doc_id") % 15 == 7, F.lit("many")).otherwise(F.col("n_chars").cast("string")).alias("n_chars"))
+    path = _scratch(spark, "documents.csv")
+    io.write_csv_plain(d, path)
+    back = io.read_csv_flagged(spark, path, "doc_id bigint, text string, n_chars bigint")
+    return back.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "n_chars", FLAG, REASON)
+
+
 @register("a3_json_scan", "SELECT * FROM part")
 def a3_json_scan(spark, sf):
     part = load(spark, sf, "part")

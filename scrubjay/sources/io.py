@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 SUPPORTED = ("parquet", "csv", "json")
 
@@ -58,6 +58,34 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None,
     return reader.option("multiLine", multiline).option("encoding", encoding).json(path)
 
 
+#: Values keep their blanks, and quotes inside quotes are doubled, as in RFC 4180.
+_PLAIN_CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+CORRUPT = "__corrupt_record"
+
+
+def read_csv_flagged(spark: SparkSession, path: str, schema: StructType | str, encoding: str = "utf-8", multiline: bool = True) -> DataFrame:
+    """CSV of a known schema with its bad rows marked (A2).
+
+    An unparsable cell becomes NULL; its row, and a row with too few or too many cells, stays, is flagged ``csv_parse`` and carries its
+    text in ``__corrupt_record`` (else NULL). ``multiline`` reads line breaks inside quotes as part of the value; a file is then one task, so
+    large tables should come in many files. Cells are judged whether they are selected or not. (Spark refuses a query that uses nothing but
+    the flag of a raw file; write or persist the table to count flags alone.)
+    """
+    from scrubjay.functions.flags import add_flag
+
+    if not _fs_exists(spark, path):
+        raise FileNotFoundError(path)
+    fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    r = (spark.read.options(**_PLAIN_CSV).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False)
+         .option("multiLine", multiline).option("encoding", encoding).schema(StructType([*fields.fields, StructField(CORRUPT, StringType())])))
+    return add_flag(r.csv(path), F.col(CORRUPT).isNotNull(), "csv_parse")
+
+
+def write_csv_plain(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """CSV that :func:`read_csv_flagged` reads back unchanged, line breaks and blanks included."""
+    df.write.mode(mode).options(**_PLAIN_CSV).csv(path)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by: list[str] | None = None) -> None:
     """Parquet (default) or CSV sink."""

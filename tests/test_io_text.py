@@ -44,3 +44,21 @@ def test_tagged_lines_and_fences(spark):
     assert r[0]["a"] == ["deduplication", "type_coercion"]
     assert r[1]["b"] == ["entity_resolution"]
     assert r[2]["c"] == "print(1)" and r[3]["c"] == "only"
+
+
+def test_csv_bad_rows_are_kept_and_flagged(spark, tmp_path):
+    from scrubjay.sources import io
+    path = str(tmp_path / "t.csv")
+    (tmp_path / "t.csv").write_text('id,name,size\n1,"two\nlines, ""quoted""",5\nx,  blanks ,6\n3,short\n4,a,7,extra\n5,,oops\n6,é,8\n', encoding="utf-8")
+    rows = io.read_csv_flagged(spark, path, "id int, name string, size int").collect()
+    got = [(r["id"], r["name"], r["size"], r["__flagged__"], r["__flag_reason__"]) for r in rows]
+    assert got[0] == (1, 'two\nlines, "quoted"', 5, False, None) and got[-1] == (6, "é", 8, False, None)
+    assert got[1][:4] == (None, "  blanks ", 6, True) and got[4][:4] == (5, None, None, True)
+    assert [g[4] for g in got[1:5]] == ["csv_parse"] * 4 and len(got) == 6
+    assert [r["__corrupt_record"] is not None for r in rows] == [False, True, True, True, True, False]
+    only = io.read_csv_flagged(spark, path, "id int, name string, size int").select("name", "__flagged__").filter("__flagged__").collect()
+    assert len(only) == 4  # judged whatever is selected
+    odd = spark.createDataFrame([(1, " a\r\nb\\ "), (2, ""), (3, None), (4, 'q"')], "id int, t string")
+    io.write_csv_plain(odd, str(tmp_path / "odd.csv"))
+    back = io.read_csv_flagged(spark, str(tmp_path / "odd.csv"), "id int, t string")
+    assert sorted((r["id"], r["t"], r["__flagged__"]) for r in back.collect()) == [(i, t, False) for i, t in [(1, " a\r\nb\\ "), (2, ""), (3, None), (4, 'q"')]]
