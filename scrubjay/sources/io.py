@@ -68,8 +68,7 @@ def read_csv_flagged(spark: SparkSession, path: str, schema: StructType | str, e
 
     An unparsable cell becomes NULL; its row, and a row with too few or too many cells, stays, is flagged ``csv_parse`` and carries its
     text in ``__corrupt_record`` (else NULL). ``multiline`` reads line breaks inside quotes as part of the value; a file is then one task, so
-    large tables should come in many files. Cells are judged whether they are selected or not. (Spark refuses a query that uses nothing but
-    the flag of a raw file; write or persist the table to count flags alone.)
+    large tables should come in many files. Cells are judged whether they are selected or not. An empty cell, quoted or not, is NULL.
     """
     from scrubjay.functions.flags import add_flag
 
@@ -78,11 +77,13 @@ def read_csv_flagged(spark: SparkSession, path: str, schema: StructType | str, e
     fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     r = (spark.read.options(**_PLAIN_CSV).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False)
          .option("multiLine", multiline).option("encoding", encoding).schema(StructType([*fields.fields, StructField(CORRUPT, StringType())])))
-    return add_flag(r.csv(path), F.col(CORRUPT).isNotNull(), "csv_parse")
+    # a cell that no expression needs is not parsed, so the flag needs them all, by a condition that always holds
+    every = F.pmod(F.hash(*[F.col(f.name) for f in fields.fields]), F.lit(2)) < 2
+    return add_flag(r.csv(path), F.col(CORRUPT).isNotNull() & every, "csv_parse")
 
 
 def write_csv_plain(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV that :func:`read_csv_flagged` reads back unchanged, line breaks and blanks included."""
+    """CSV that :func:`read_csv_flagged` reads back unchanged, line breaks and blanks included (empty strings as NULL)."""
     df.write.mode(mode).options(**_PLAIN_CSV).csv(path)
 
 
