@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrubjay.llm.textbytes import LOWER_MAP, Chunk, chunks, count_in_docs, owners, span_hashes, word_bounds
+from scrubjay.llm.textbytes import LOWER_MAP, Chunk, chunks, owners, span_hashes, word_bounds
 from scrubjay.session import ensure_checkpoint_dir, ship_package
 
 #: A term is a maximal run of these (ASCII letters and digits, and everything beyond ASCII).
