@@ -15,9 +15,11 @@ banded buckets and star-shaped candidate edges, confirmed on the full sets.
 4. A star misses a pair of which neither is the centre. So buckets that still hold more
    than one component get further stars from other centres, of which each pair of components
    tries its most alike pair; when those find nothing more, or after ``STAR_ROUNDS``, the rest gets an
-   exact look: all pairs across components inside the bucket pass a coarse (252 bits) and a fine (252 times
-   4 bits) sketch test within the join, and only the survivors leave it, each pair once, from its first shared bucket.
-5. Every surviving pair is confirmed on the two full shingle sets by
+   exact look in tiles (``links_in_tiles``): the members of a bucket outside its largest component meet one another and that
+   component, ``TILE`` against ``TILE`` rows in a task. Pairs across components that pass a coarse (252 bits) and a fine
+   (252 times 4 bits) sketch test stay in the task, in lists by member, each pair in its first shared bucket; then the full sets of these members
+   meet in the same tiles, and only confirmed links leave. No join emits candidate pairs, whatever the bucket.
+5. Every pair is confirmed on the two full shingle sets by
    ``100 * intersection >= percent * union``; components are resolved by star rounds.
 
 With 42 bands of 6 rows a pair with similarity 0.8 is missed with probability
@@ -49,6 +51,10 @@ BANDS, ROWS = 42, 6
 STAR_ROUNDS = 4
 SKETCH_MIN = 202
 FINE_MIN, FINE_WORDS = 173, 16
+#: Members of a tile, and shingles (8 bytes each) whose sets one task holds at a time (more if two sets alone exceed it).
+TILE, UNIT_SHINGLES = 512, 2_000_000
+#: Ids that are broadcast at most (8 bytes each); beyond, the texts are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 _U = np.uint64
 _EMPTY = np.iinfo(np.uint64).max
 
@@ -179,13 +185,20 @@ def _set_rows(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, hs binary")
 
 
+def _named_sets(named: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``id, hs`` of the documents in ``named`` (distinct ids, checkpointed): their texts are hashed again."""
+    if named.count() <= BROADCAST_IDS:  # the texts need not be shuffled
+        named = F.broadcast(named)
+    return _set_rows(texts.join(named, "id", "left_semi").select("id", "text"), width)
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets meet ``100 * intersection >= percent * union``.
 
     Only the texts named by a pair are hashed again; each pair then fetches its two sets.
     """
-    named = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = _set_rows(texts.join(named, "id", "left_semi").select("id", "text"), width)
+    named = cut_lineage(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    sets = _named_sets(named, texts, width)
     j = (pairs.join(sets.select(F.col("id").alias("a"), F.col("hs").alias("ha")), "a")
          .join(sets.select(F.col("id").alias("b"), F.col("hs").alias("hb")), "b").select("a", "b", "ha", "hb"))
 
@@ -215,15 +228,145 @@ def _sketch(a: str, b: str, percent: int):
     return (100 * small >= percent * large) & (_differ(a, b) <= 252 - SKETCH_MIN)
 
 
-def _fine(a: str, b: str):
-    """Agreement of the 4-bit values of two representatives: a differing value leaves one bit set."""
-    low = F.lit(0x1111111111111111)
-    differ = F.lit(0)
-    for k in range(FINE_WORDS):
-        z = F.col(f"{a}.fine")[k].bitwiseXOR(F.col(f"{b}.fine")[k])
-        two = z.bitwiseOR(F.shiftrightunsigned(z, 1))
-        differ = differ + F.bit_count(two.bitwiseOR(F.shiftrightunsigned(two, 2)).bitwiseAND(low))
-    return differ <= 252 - FINE_MIN
+def _units(placed: DataFrame) -> DataFrame:
+    """``key, id, comp, unit, side`` for the members (``key, id, comp``) of buckets that hold several components.
+
+    A bucket of up to ``TILE`` members is one unit (side 2: all meet all). In a larger one the members of the most frequent component and the
+    others are dealt into tiles; the others' tiles meet one another and each tile of that component (side 0 meets side 1).
+    """
+    sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+        F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1 and n > 2")
+    is_main = F.col("comp") == F.col("main.comp")
+    others, mains = (F.ceil(x / F.lit(TILE)).cast("int") for x in (F.col("n") - F.col("main.n"), F.col("main.n")))
+    m = (placed.join(sizes, "key").withColumn("others", others).withColumn("mains", mains)
+         .withColumn("t", F.pmod(F.xxhash64("id", F.lit("tile")), F.when(is_main, F.col("mains")).otherwise(F.col("others"))).cast("int")))
+
+    def place(kind: int, i, j, side):
+        return F.struct(F.xxhash64("key", F.lit(kind), i, j).alias("unit"), side.cast("int").alias("side"))
+
+    each_other, each_main = F.sequence(F.lit(0), F.col("others") - 1), F.sequence(F.lit(0), F.col("mains") - 1)
+    places = (F.when(F.col("n") <= TILE, F.array(place(0, F.lit(0), F.lit(0), F.lit(2))))
+              .when(is_main, F.transform(each_other, lambda o: place(1, o, F.col("t"), F.lit(1))))
+              .otherwise(F.concat(
+                  F.transform(each_other, lambda o: place(0, F.least(o, F.col("t")), F.greatest(o, F.col("t")), F.when(
+                      o == F.col("t"), 2).when(F.col("t") < o, 0).otherwise(1))),
+                  F.transform(each_main, lambda j: place(1, F.col("t"), j, F.lit(0))))))
+    return m.select("key", "id", "comp", F.explode_outer(places).alias("p")).select("key", "id", "comp", "p.*")
+
+
+def _by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of equal first column, which follow one another, as one table each."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        u = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(u[1:] != u[:-1]) + 1).tolist(), len(u)]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if held and held[0].column(0)[0].as_py() != u[lo]:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+
+
+def _unit_pairs(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the pairs of a unit that the sketches cannot tell from a link, each in its first shared bucket."""
+    n = t.num_rows
+    side, comp, size = (t[c].to_numpy() for c in ("side", "comp", "n_shingles"))
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    x, y = left[:, None], right[None, :]
+    open_ = (comp[x] != comp[y]) & ((side[x] != side[y]) | (x < y))
+    open_ &= 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
+    i, j = np.nonzero(open_)
+    i, j = left[i], right[j]
+    sketch, fine, bands = _matrix(t["sketch"], n).view(np.uint64), _matrix(t["fine"], n).view(np.uint64), _matrix(t["bands"], n)
+    key, low = t["key"].to_numpy() >> 32, _U(0x1111111111111111)
+    out = []
+    for lo in range(0, len(i), 1 << 15):
+        a, b = i[lo:lo + (1 << 15)], j[lo:lo + (1 << 15)]
+        ok = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1) <= 252 - SKETCH_MIN
+        a, b = a[ok], b[ok]
+        z = fine[a] ^ fine[b]
+        z |= z >> _U(1)
+        z |= z >> _U(2)
+        ok = np.bitwise_count(z & low).sum(axis=1) <= 252 - FINE_MIN
+        a, b = a[ok], b[ok]
+        same = bands[a] == bands[b]
+        ok = bands[a, same.argmax(axis=1)] == key[a]
+        out.append((a[ok], b[ok]))
+    return tuple(np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out) if out else ((), ())))
+
+
+def links_in_tiles(placed: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Confirmed links ``a, b`` between the components of a bucket, at least one for each two components that have any there.
+
+    ``placed`` (key, id, comp) are the members of the buckets, ``reps`` their sketches. Bands are compared by their upper 32 bits.
+    """
+    sketches = reps.select("id", "n_shingles", F.array("s0", "s1", "s2", "s3").alias("sketch"), "fine",
+                           F.transform("bands", lambda k: F.shiftright(k, 32).cast("int")).alias("bands"))
+    rows = _units(placed).join(sketches, "id")
+    rows = rows.select("unit", "side", "key", "id", "comp", "n_shingles", "sketch", "fine", "bands").repartition("unit").sortWithinPartitions("unit", "id", "side")
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_unit(batches):
+            i, j = _unit_pairs(t, percent)
+            if not len(i):
+                continue
+            ids, comp, size, unit = (t[c].to_numpy() for c in ("id", "comp", "n_shingles", "unit"))
+            part, weight, seen, cuts = 0, 0, set(), [0]
+            if size[np.unique(np.concatenate([i, j]))].sum() > UNIT_SHINGLES:
+                for k, pair in enumerate(zip(i.tolist(), j.tolist())):
+                    new = [r for r in pair if r not in seen]
+                    if seen and weight + sum(size[r] for r in new) > UNIT_SHINGLES:
+                        cuts.append(k)
+                        weight, seen, new = 0, set(), list(pair)
+                    seen.update(new)
+                    weight += int(sum(size[r] for r in new))
+            for part, (lo, hi) in enumerate(zip(cuts, [*cuts[1:], len(i)])):
+                partners: dict[int, list[int]] = {r: [] for r in np.unique(np.concatenate([i[lo:hi], j[lo:hi]])).tolist()}
+                for r, q in zip(i[lo:hi].tolist(), j[lo:hi].tolist()):
+                    partners[r].append(int(ids[q]))
+                at = np.array(list(partners), np.int64)
+                label = mix(unit[:1].view(np.uint64) + _U(part)).view(np.int64)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), label)), pa.array(ids[at]), pa.array(comp[at]),
+                                                  pa.array(list(partners.values()), pa.list_(pa.int64()))], names=["unit", "id", "comp", "partners"])
+
+    found = cut_lineage(rows.mapInArrow(candidates, "unit long, id long, comp long, partners array<long>"))
+    sets = _named_sets(cut_lineage(found.select("id").distinct()), texts, width)
+    full = found.join(sets, "id").select("unit", "id", "comp", "partners", "hs").repartition("unit").sortWithinPartitions("unit", "id")
+
+    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_unit(batches):
+            ids, comp = t["id"].to_pylist(), t["comp"].to_pylist()
+            held: dict[int, list[np.ndarray]] = {}  # a repeated id may have several sets
+            sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in t["hs"]]
+            for doc, hs in zip(ids, sets):
+                held.setdefault(doc, []).append(hs)
+            comp_of, linked, links = dict(zip(ids, comp)), set(), []
+            for doc, c, hs, others in zip(ids, comp, sets, t["partners"].to_pylist()):
+                ends = [(o, s) for o in others for s in held[o] if (min(c, comp_of[o]), max(c, comp_of[o])) not in linked]
+                if not ends or not len(hs):
+                    continue
+                sizes = np.array([len(s) for _, s in ends])
+                joined = np.concatenate([s for _, s in ends])
+                at = np.minimum(np.searchsorted(hs, joined), len(hs) - 1)
+                same = np.add.reduceat((hs[at] == joined).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+                for k in np.flatnonzero(100 * same >= percent * (len(hs) + sizes - same)):
+                    other = ends[k][0]
+                    two = (min(c, comp_of[other]), max(c, comp_of[other]))
+                    if two not in linked:
+                        linked.add(two)
+                        links.append((min(doc, other), max(doc, other)))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in links], pa.int64()), pa.array([p[1] for p in links], pa.int64())], names=["a", "b"])
+
+    return full.mapInArrow(confirmed, "a long, b long")
 
 
 def _merge(nodes: DataFrame, found: DataFrame) -> DataFrame:
@@ -259,11 +402,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .filter(_sketch("x", "y", percent)).select("a", "b"))
     links = cut_lineage(_confirm(cut_lineage(star), texts, width, percent))
 
-    # more stars: only between components, from another centre in each bucket
+    # more stars: only between components, from another centre in each bucket; two members alone have met
     nodes = cut_lineage(crowded.select("id").distinct().join(connected_components(links, "a", "b").withColumnRenamed("node", "id"), "id", "left")
                         .select("id", F.coalesce("component", "id").alias("comp")))
+    placed = crowded.select("key", "id").join(nodes, "id")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
+    crowded = cut_lineage(placed.join(mixed.filter("lo <> hi and n > 2").select("key"), "key").select("key", "id"))
     for r in range(STAR_ROUNDS):
-        placed = crowded.select("key", "id").join(nodes, "id")
+        placed = crowded.join(nodes, "id")
         mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(
             F.struct(F.xxhash64("key", "id", F.lit(r)).alias("draw"), "id", "comp")).alias("c")).filter("lo <> hi").select("key", "c")
         star = placed.join(mixed, "key").filter("comp <> c.comp").select(
@@ -278,17 +424,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         nodes = _merge(nodes, found)
 
-    # what is left: all pairs across components that still share a bucket
-    placed = crowded.select("key", "id").join(nodes, "id")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
-    rest = cut_lineage(placed.join(mixed.filter("lo <> hi and n > 2").select("key"), "key").join(reps, "id")
-                       .select("key", "id", "comp", F.struct("n_shingles", "s0", "s1", "s2", "s3", "fine", "bands").alias("s")))
-    x, y = rest.select("key", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("s").alias("x")), rest.select(
-        "key", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("s").alias("y"))
-    first_shared = F.array_intersect("x.bands", "y.bands")[0] == x["key"]
-    across = x.join(y, (x["key"] == y["key"]) & (F.col("ca") < F.col("cb")) & _sketch("x", "y", percent) & _fine("x", "y") & first_shared)
-    more = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    nodes = _merge(nodes, cut_lineage(_confirm(cut_lineage(more), texts, width, percent)))
+    # what is left: members of different components that still share a bucket
+    nodes = _merge(nodes, cut_lineage(links_in_tiles(crowded.join(nodes, "id"), reps, texts, width, percent).distinct()))
 
     # class members take the component of their representative; a class of one that
     # no link reached is its own component and needs no join partner

@@ -93,6 +93,34 @@ def test_near_duplicate_family_without_a_common_centre(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_components(rows, 2)
 
 
+def edited_family(n, words=60, most=9, seed=5):
+    rnd = np.random.default_rng(seed)
+    rows = {}
+    for i in range(n):
+        w = [f"w{k}" for k in range(words)]
+        for j in rnd.choice(words, int(rnd.integers(0, most)), replace=False):
+            w[j] = f"x{i}_{j}"
+        rows[i] = " ".join(w)
+    return rows
+
+
+@pytest.mark.parametrize("tile, shingles, rounds", [(512, 2_000_000, 4), (8, 500, 0), (5, 130, 1)])
+def test_near_duplicates_in_tiles(spark, monkeypatch, tile, shingles, rounds):
+    """Many copies lie just under the threshold, so the buckets stay mixed; tiles and units of any size find the same links."""
+    monkeypatch.setattr(near_dedup, "TILE", tile)
+    monkeypatch.setattr(near_dedup, "UNIT_SHINGLES", shingles)
+    monkeypatch.setattr(near_dedup, "STAR_ROUNDS", rounds)
+    rows = edited_family(150)
+    # an id that repeats with two texts is one node with two sets
+    data = spark.createDataFrame([*rows.items(), (3, rows[100] + " more")], "doc_id long, text string")
+    got = near_dedup.near_duplicates(data.filter("text not like '% more'"), width=2)
+    want = brute_components(rows, 2)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == want
+    assert len({c for _, c in want.values()}) > 5
+    both = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(data, width=2).collect()}
+    assert both[100] == both[3] == min(want[100][1], want[3][1])
+
+
 def test_near_duplicates_hard_rows(hard, empty):
     got = near_dedup.near_duplicates(hard, width=2).collect()
     assert len(got) == len(HARD)
