@@ -371,8 +371,22 @@ def comparison_levels(scored: DataFrame, sim_cols: list[str]) -> DataFrame:
     return out
 
 
+def random_pairs(df: DataFrame, id_col: str, rounds: int = 4) -> DataFrame:
+    """``va < vb``: pairs of distinct ids drawn by hash, about ``rounds / 2`` per id.
+
+    In each round the ids are dealt into as many buckets as there are ids and meet inside their bucket, so the pairs grow with the
+    rows, a bucket holds a few ids, and a retried task draws the same pairs. No column but the id has a say.
+    """
+    ids = df.select(F.col(id_col).alias("id")).filter(F.col("id").isNotNull()).distinct()
+    n = max(ids.count(), 1)
+    dealt = ids.select("id", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn(
+        "bucket", F.pmod(F.xxhash64("round", "id"), F.lit(n)))
+    a, b = dealt.withColumnRenamed("id", "va"), dealt.withColumnRenamed("id", "vb")
+    return a.join(b, ["round", "bucket"]).filter("va < vb").select("va", "vb").distinct()
+
+
 def fellegi_sunter(leveled: DataFrame, sim_cols: list[str], max_rounds: int = 25, tol: float = 1e-4,
-                   prior: float = FS_PRIOR) -> tuple[DataFrame, dict]:
+                   prior: float = FS_PRIOR, random_levels: DataFrame | None = None) -> tuple[DataFrame, dict]:
     """EM for m/u probabilities on the level-vector count table, then match probability.
 
     The pairs are reduced by one aggregation to counts per level vector. That
@@ -380,6 +394,9 @@ def fellegi_sunter(leveled: DataFrame, sim_cols: list[str], max_rounds: int = 25
     the number of pairs, so it is read once and EM iterates on it in numpy.
     The fitted log2(m/u) weights go back into the plan as literals; the
     per-pair weight and probability are column expressions.
+
+    ``random_levels`` holds the levels of pairs drawn without regard to likeness (``random_pairs``): u is their level shares, each level
+    counted half a pair more, and stays fixed. Candidate pairs are alike by selection, so u fitted on them alone (the default) is too high.
     Returns (pairs with ``match_weight`` and ``match_probability``, parameters).
     """
     lv = [f"lvl_{c}" for c in sim_cols]
@@ -392,6 +409,11 @@ def fellegi_sunter(leveled: DataFrame, sim_cols: list[str], max_rounds: int = 25
     for i in range(k):  # u starts from level shares over all pairs (random pairs are mostly non-matches)
         for x in range(4):
             u[i, x] = max(cnt[lev[:, i] == x].sum() / max(cnt[lev[:, i] >= 0].sum(), 1.0), 1e-6)
+    if random_levels is not None:
+        drawn = random_levels.groupBy(*lv).agg(F.count(F.lit(1)).alias("cnt")).collect()  # <= 5^k rows
+        for i, c in enumerate(lv):
+            seen = [sum(r["cnt"] for r in drawn if r[c] == x) + 0.5 for x in range(4)]
+            u[i] = np.array(seen) / sum(seen)
     lam = prior
     for _ in range(max_rounds):
         lm = np.full(len(cnt), math.log(lam))
@@ -402,14 +424,15 @@ def fellegi_sunter(leveled: DataFrame, sim_cols: list[str], max_rounds: int = 25
             lu[seen] += np.log(u[i, lev[seen, i]])
         g = 1.0 / (1.0 + np.exp(lu - lm))
         new_lam = min(max((cnt * g).sum() / max(cnt.sum(), 1.0), 1e-6), 1 - 1e-6)
-        new_m, new_u = np.empty_like(m), np.empty_like(u)
+        new_m, new_u = np.empty_like(m), u.copy()
         for i in range(k):
             seen = lev[:, i] >= 0
             wm, wu = (cnt * g)[seen], (cnt * (1 - g))[seen]
             for x in range(4):
                 hit = lev[seen, i] == x
                 new_m[i, x] = max(wm[hit].sum() / max(wm.sum(), 1e-12), 1e-6)
-                new_u[i, x] = max(wu[hit].sum() / max(wu.sum(), 1e-12), 1e-6)
+                if random_levels is None:
+                    new_u[i, x] = max(wu[hit].sum() / max(wu.sum(), 1e-12), 1e-6)
         change = max(abs(new_lam - lam), float(np.abs(new_m - m).max()), float(np.abs(new_u - u).max()))
         lam, m, u = new_lam, new_m, new_u
         if change < tol:

@@ -276,10 +276,14 @@ def d7_fellegi_sunter(spark, sf):
                  F.col("c_nationkey").cast("string").alias("l_nation"))
     r = c.select(F.col("c_custkey").alias("vb"), F.col("c_name").alias("r_name"), F.col("c_mktsegment").alias("r_seg"),
                  F.col("c_nationkey").cast("string").alias("r_nation"))
-    x = pairs.join(l, "va").join(r, "vb")
-    sc = R.score_pairs(x, [("name", "levenshtein", 0.6), ("seg", "exact", 0.3), ("nation", "exact", 0.1)])
-    lv = R.comparison_levels(sc, ["sim_name", "sim_seg", "sim_nation"])
-    out, _ = R.fellegi_sunter(lv, ["sim_name", "sim_seg", "sim_nation"])
+    sims = ["sim_name", "sim_seg", "sim_nation"]
+
+    def levels(p):
+        x = p.join(l, "va").join(r, "vb")
+        sc = R.score_pairs(x, [("name", "levenshtein", 0.6), ("seg", "exact", 0.3), ("nation", "exact", 0.1)])
+        return R.comparison_levels(sc, sims)
+
+    out, _ = R.fellegi_sunter(levels(pairs), sims, random_levels=levels(R.random_pairs(c, "c_custkey")))
     return out.select("va", "vb", F.round("match_weight", 6).alias("match_weight"),
                       F.round("match_probability", 6).alias("match_probability"))
 

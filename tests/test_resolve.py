@@ -156,6 +156,34 @@ def test_fellegi_sunter_separates_matches(spark):
     assert 0 < params["lambda"] < 1
 
 
+def test_fellegi_sunter_takes_u_from_random_pairs(spark):
+    """Candidates all agree on the first field, which half of all pairs do: it may not count as strong evidence."""
+    from pyspark.sql import functions as F
+    n = 2000
+    df = spark.range(n).select(F.col("id"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).alias("f"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(100)).alias("g"))
+    l, r = (df.select(F.col("id").alias(v), F.col("f").alias(f"{s}_f"), F.col("g").alias(f"{s}_g")) for v, s in (("va", "l"), ("vb", "r")))
+
+    def levels(pairs):
+        sc = R.score_pairs(pairs.join(l, "va").join(r, "vb"), [("f", "exact", 0.5), ("g", "exact", 0.5)])
+        return R.comparison_levels(sc, ["sim_f", "sim_g"])
+
+    drawn = R.random_pairs(df, "id")
+    pairs = {(x["va"], x["vb"]) for x in drawn.collect()}
+    assert pairs == {(x["va"], x["vb"]) for x in R.random_pairs(df.repartition(7), "id").collect()}
+    assert all(a < b for a, b in pairs) and n < len(pairs) < 3 * n
+    candidates = l.join(r, (F.col("l_f") == F.col("r_f")) & (F.col("l_g") == F.col("r_g")) & (F.col("va") < F.col("vb"))).select("va", "vb")
+    _, fitted = R.fellegi_sunter(levels(candidates), ["sim_f", "sim_g"], random_levels=levels(drawn))
+    share = {c: [x[0] / n for x in df.groupBy(c).count().select("count").collect()] for c in ("f", "g")}
+    for k, c in enumerate(("f", "g")):  # u of agreement is the chance that two rows hold one value
+        assert abs(fitted["u"][k][0] - sum(p * p for p in share[c])) < 0.03
+    _, biased = R.fellegi_sunter(levels(candidates), ["sim_f", "sim_g"])
+    assert biased["u"][0][0] > 0.9
+    # no records: no pairs, and levels without any pair share u evenly
+    assert R.random_pairs(df.limit(0), "id").count() == 0
+    _, none = R.fellegi_sunter(levels(candidates), ["sim_f", "sim_g"], random_levels=levels(drawn).limit(0))
+    assert none["u"][0] == [0.25] * 4
+
+
 def _union_find(edges):
     parent = {}
 
