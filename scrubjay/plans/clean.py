@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scrubjay.functions.flags import ensure_flags, split_flagged
+from scrubjay.functions.flags import FLAG, ensure_flags, split_flagged
 from scrubjay.operators import coerce as CO
 from scrubjay.operators import dedup as D
 from scrubjay.operators import guard as G
@@ -109,12 +109,28 @@ def apply_custom(df: DataFrame, fn: Callable[[DataFrame], DataFrame], max_row_re
                        row["breaker_reason"])
 
 
-def apply_custom_arrow(df: DataFrame, fn, schema) -> DataFrame:
+def apply_custom_arrow(df: DataFrame, fn, schema: str, max_row_reduction: float = 0.30) -> CleanResult:
     """Per-partition form of L3: ``fn`` maps an iterator of Arrow record batches
-    (``mapInArrow``), for logic that has no DataFrame expression."""
+    (``mapInArrow``), for logic that has no DataFrame expression.
+
+    Rows before, rows after and flagged rows are counted by observations in the one pass that makes the persisted output. Both sit in
+    the stage that writes it, so a task that runs again counts once. ``schema`` may name the two flag columns; without them no row is flagged.
+    """
+    from pyspark.sql import Observation
+
     from scrubjay.session import ship_package
-    ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    spark = df.sparkSession
+    ship_package(spark)
+    read, made = Observation(), Observation()
+    out = ensure_flags(df.observe(read, F.count(F.lit(1)).alias("n")).mapInArrow(fn, schema))
+    out = out.observe(made, F.count(F.lit(1)).alias("n"), F.count_if(F.col(FLAG)).alias("flagged")).persist(StorageLevel.MEMORY_AND_DISK)
+    out.write.format("noop").mode("overwrite").save()
+    counts = spark.createDataFrame([(read.get["n"], made.get["n"], made.get["flagged"])], "rows_before long, rows_after long, flagged_record_count long")
+    audit = G.circuit_breaker(counts.select("rows_before", "rows_after", G.delta_rate(F.col("rows_before"), F.col("rows_after")).alias("row_delta_rate"),
+                                            "flagged_record_count"), max_row_reduction)
+    row = audit.first()
+    clean_df, flagged = split_flagged(out)
+    return CleanResult(clean_df, flagged, out, audit, "human_review" if row["circuit_breaker_hit"] else "complete", row["breaker_reason"])
 
 
 def task_metrics(task: str, before: DataFrame, result: CleanResult, attempts: DataFrame | None = None,

@@ -152,6 +152,26 @@ def l3_custom_transform(spark, sf):
     return res.audit.select("rows_before", "rows_after", F.round("row_delta_rate", 6).alias("row_delta_rate"))
 
 
+@register("l3_custom_arrow", duck_cte("orders_dup") +
+          "SELECT count(*) AS rows_before, count_if(o_orderstatus <> 'P') AS rows_after, "
+          "count_if(o_orderstatus <> 'P' AND o_totalprice > 400000) AS flagged_record_count, "
+          "round((count_if(o_orderstatus <> 'P') - count(*)) / count(*), 6) AS row_delta_rate, "
+          "(count_if(o_orderstatus <> 'P') - count(*)) / count(*) < -0.3 OR "
+          "count_if(o_orderstatus <> 'P' AND o_totalprice > 400000) / count(*) > 0.2 AS circuit_breaker_hit FROM orders_dup")
+def l3_custom_arrow(spark, sf):
+    """Open orders go and large ones are flagged, batch by batch, under the audit."""
+    def run(batches):
+        import pyarrow.compute as pc
+        for b in batches:
+            b = b.filter(pc.not_equal(b.column("o_orderstatus"), "P"))
+            large = pc.greater(pc.cast(b.column("o_totalprice"), "double"), 400000.0)
+            yield b.append_column("__flagged__", large).append_column("__flag_reason__", pc.if_else(large, "custom:o_totalprice", None))
+
+    cols = dirty(spark, sf, "orders_dup").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    res = CL.apply_custom_arrow(cols, run, "o_orderkey long, o_orderstatus string, o_totalprice double, __flagged__ boolean, __flag_reason__ string")
+    return res.audit.select("rows_before", "rows_after", "flagged_record_count", F.round("row_delta_rate", 6).alias("row_delta_rate"), "circuit_breaker_hit")
+
+
 @register("l4_custom_metric", duck_cte("attempts") +
           "SELECT 'mean_rows_lost' AS metric, round(avg(rows_before - rows_after), 6) AS value FROM attempts "
           "UNION ALL SELECT 'breaker_share', round(avg(CASE WHEN circuit_breaker_hit THEN 1.0 ELSE 0.0 END), 6) FROM attempts")

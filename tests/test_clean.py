@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scrubjay.operators import standardize as S
+from scrubjay.plans import clean as C
 from scrubjay.plans.clean import run_task
 
 
@@ -16,3 +17,24 @@ def test_long_digit_strings_are_not_cut(spark):
     area, number = S.phone_parts(F.col("p"), F.lit("1"), F.lit(10), F.lit(7))
     got = df.select(area.alias("a"), number.alias("n")).first()
     assert (len(got["a"]), len(got["n"])) == (19_993, 7)
+
+
+def test_custom_arrow_counts_in_one_pass(spark):
+    def odd_rows(batches):
+        import pyarrow.compute as pc
+        for b in batches:
+            b = b.filter(pc.equal(pc.bit_wise_and(b.column("id"), 1), 1))
+            yield b.append_column("__flagged__", pc.equal(b.column("id"), 7))
+
+    res = C.apply_custom_arrow(spark.range(0, 100, 1, 5), odd_rows, "id long, __flagged__ boolean", max_row_reduction=0.4)
+    row = res.audit.first()
+    assert (row["rows_before"], row["rows_after"], row["flagged_record_count"], row["row_delta_rate"]) == (100, 50, 1, -0.5)
+    assert res.status == "human_review" and [r["id"] for r in res.flagged.collect()] == [7] and res.clean.count() == 49
+    assert res.output.columns == ["id", "__flagged__", "__flag_reason__"]
+
+    def same(batches):
+        yield from batches
+
+    for empty in (spark.range(0), spark.range(5).filter("id > 9")):
+        row = C.apply_custom_arrow(empty, same, "id long").audit.first()
+        assert (row["rows_before"], row["rows_after"], row["flagged_record_count"], row["circuit_breaker_hit"]) == (0, 0, 0, False)
