@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +22,7 @@ from scrubjay.operators import coerce as CO
 from scrubjay.operators import dedup as D
 from scrubjay.operators import guard as G
 from scrubjay.operators import impute as IM
+from scrubjay.operators import linkage as LK
 from scrubjay.operators import metrics as M
 from scrubjay.operators import profile as P
 from scrubjay.operators import resolve as R
@@ -55,6 +57,9 @@ def run_task(df: DataFrame, task: str, **params) -> tuple[DataFrame, dict]:
         keys = params.get("key_fields") or D.infer_key_fields(
             P.profile_columns(df, order_by=params.get("order_by"), with_patterns=False, with_samples=False))
         return ensure_flags(D.dedup_exact(df, keys, order_by=params.get("order_by"))), {"key_fields": keys}
+    if task == "entity_resolution" and params.get("match_fields"):
+        options = {k: params[k] for k in ("match", "review", "algorithm", "block_exprs", "refine", "vector_col", "vector_top_k", "normalize") if k in params}
+        return LK.resolve_entities(df, params["id_col"], params["match_fields"], **options), {"match_fields": params["match_fields"]}
     if task == "entity_resolution":
         cl = R.fuzzy_clusters(df, params["id_col"], params["match_field"], params.get("threshold", 0.85),
                               params.get("comparator", "levenshtein"))
@@ -135,46 +140,56 @@ def apply_custom_arrow(df: DataFrame, fn, schema: str, max_row_reduction: float
 
 def task_metrics(task: str, before: DataFrame, result: CleanResult, attempts: DataFrame | None = None,
                  gold_pairs: DataFrame | None = None, pred_pairs: DataFrame | None = None,
-                 compliance_pattern: dict[str, str] | None = None) -> DataFrame:
-    """Metric rows ``task, metric, value`` for one run, computed from data (L2)."""
-    spark = before.sparkSession
-    a = M.audit_metrics(result.audit).first()
-    vals: dict[str, float | None] = {}
+                 compliance_pattern: dict[str, str] | None = None, gold_col: str | None = None, id_col: str | None = None) -> DataFrame:
+    """Metric rows ``task, metric, value`` for one run, as aggregates of its tables (L2): nothing is read on the driver.
+
+    ``gold_pairs`` and ``pred_pairs`` (``a, b``) score entity resolution by pairs; ``gold_col`` names a column of the output with the true
+    entity, which scores its ``canonical_id`` by cluster sizes. Without either it has no metrics.
+    """
+    cols = [c for c in before.columns if not c.startswith("__")]
+
+    def rows(df: DataFrame, **vals: Column) -> DataFrame:
+        """Metric rows of a one-row table."""
+        return df.select(F.inline(F.array(*[F.struct(F.lit(task).alias("task"), F.lit(k).alias("metric"), v.cast("double").alias("value"))
+                                            for k, v in vals.items()])))
+
+    def delta() -> DataFrame:
+        return IM.quality_delta(*(P.profile_columns(x.select(*cols), with_patterns=False) for x in (before, result.output)))
+
+    audit = M.audit_metrics(result.audit)
     if task == "deduplication":
-        vals["uniqueness_rate"] = a["uniqueness_rate"]
-        vals["row_retention_rate"] = a["row_retention_rate"]
-        vals["script_first_pass_rate"] = (M.first_pass_rate(attempts).first()[0] if attempts is not None
-                                          else (1.0 if result.status == "complete" else 0.0))
-    elif task == "type_coercion":
+        first = M.first_pass_rate(attempts) if attempts is not None else result.audit.select(
+            F.when(F.col("circuit_breaker_hit"), 0.0).otherwise(1.0).alias("script_first_pass_rate"))
+        names = ("uniqueness_rate", "row_retention_rate", "script_first_pass_rate")
+        return rows(audit.crossJoin(first), **{n: F.col(n) for n in names})  # one row each
+    if task == "type_coercion":
         tm = result.params.get("type_map", {})
-        vals["type_consistency_rate"] = CO.type_consistency_rate(before, tm).first()[0] if tm else 0.0
-        vals["coercion_success_rate"] = a["coercion_success_rate"]
-    elif task == "missing_value_imputation":
-        cols = [c for c in before.columns if not c.startswith("__")]
-        b = P.profile_columns(before.select(*cols), with_patterns=False)
-        af = P.profile_columns(result.output.select(*cols), with_patterns=False)
-        d = IM.quality_delta(b, af)
-        vals["completeness_rate"] = d.agg(M.completeness_rate(F.avg("null_rate_delta"))).first()[0]
-        vals["imputation_confidence_score"] = M.imputation_confidence_score(result.output).first()[0]
-    elif task == "format_standardization":
-        pats = compliance_pattern or {}
-        rates = [S.compliance_rate(result.output, c, p).first()[0] for c, p in pats.items()]
-        vals["format_compliance_rate"] = sum(rates) / len(rates) if rates else 0.0
-        cols = [c for c in before.columns if not c.startswith("__")]
-        d = IM.quality_delta(P.profile_columns(before.select(*cols), with_patterns=False),
-                             P.profile_columns(result.output.select(*cols), with_patterns=False))
-        vals["null_rate_delta"] = M.null_rate_delta(d).first()[0]
-    elif task == "entity_resolution":
-        if gold_pairs is not None and pred_pairs is not None:
-            s = M.pair_scores(pred_pairs, gold_pairs).first()
-            vals.update(pair_f1=s["pair_f1"], precision=s["precision"], recall=s["recall"])
-    rows = [(task, k, None if v is None else float(v)) for k, v in vals.items()]
-    return spark.createDataFrame(rows, "task string, metric string, value double")
+        rate = CO.type_consistency_rate(before, tm) if tm else audit.select(F.lit(0.0).alias("type_consistency_rate"))
+        return rows(audit.select("coercion_success_rate").crossJoin(rate), type_consistency_rate=F.col("type_consistency_rate"),
+                    coercion_success_rate=F.col("coercion_success_rate"))
+    if task == "missing_value_imputation":
+        full = delta().agg(M.completeness_rate(F.avg("null_rate_delta")).alias("completeness_rate"))
+        return rows(full.crossJoin(M.imputation_confidence_score(result.output)), completeness_rate=F.col("completeness_rate"),
+                    imputation_confidence_score=F.col("imputation_confidence_score"))
+    if task == "format_standardization":
+        rates = [rows(S.compliance_rate(result.output, c, p), format_compliance_rate=F.col("format_compliance_rate"))
+                 for c, p in (compliance_pattern or {}).items()]
+        null = M.null_rate_delta(delta())
+        if not rates:
+            return rows(null, format_compliance_rate=F.lit(0.0), null_rate_delta=F.col("null_rate_delta"))
+        mean = reduce(DataFrame.unionByName, rates).groupBy("task", "metric").agg(F.avg("value").alias("value"))
+        return mean.unionByName(rows(null, null_rate_delta=F.col("null_rate_delta")))
+    if task == "entity_resolution" and gold_col is not None:
+        score = M.cluster_pair_scores(result.output, id_col, "canonical_id", gold_col)
+    elif task == "entity_resolution" and gold_pairs is not None and pred_pairs is not None:
+        score = M.pair_scores(pred_pairs, gold_pairs)
+    else:
+        return before.sparkSession.createDataFrame([], "task string, metric string, value double")
+    return rows(score, **{n: F.col(n) for n in ("pair_f1", "precision", "recall")})
 
 
 def evaluate(metric_rows: list[DataFrame], min_score: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Union per-task metric rows -> weighted task scores -> overall score."""
-    from functools import reduce
     allm = reduce(DataFrame.unionByName, metric_rows)
     scores = M.task_scores(allm)
     return scores, M.overall_score(scores, min_score)

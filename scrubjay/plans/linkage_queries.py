@@ -16,6 +16,8 @@ from scrubjay.functions.text import normalize_ws
 from scrubjay.operators import metrics as M
 from scrubjay.operators import resolve as R
 from scrubjay.operators.blocking import candidate_pairs
+from scrubjay.operators.linkage import MatchField
+from scrubjay.plans import clean as CL
 from scrubjay.plans.catalog import register
 from scrubjay.plans.tables import dirty, duck_cte, load
 
@@ -121,6 +123,49 @@ def d12_cluster_pair_counts(spark, sf):
     return R.cluster_pair_counts(cl).filter(F.col("size") > 1)
 
 
+# ---------- L1: whole cleaning runs ----------
+
+ENTITY_FIELDS = [MatchField("title", 0.6, "levenshtein"), MatchField("host", 0.3, "jaro_winkler"), MatchField("section", 0.1, "exact")]
+
+
+def _weighted(field: str, weight: float, sim: str) -> tuple[str, str]:
+    known = f"a.{field} IS NOT NULL AND b.{field} IS NOT NULL"
+    return f"CASE WHEN {known} THEN {weight} * {sim} ELSE 0.0 END", f"CASE WHEN {known} THEN {weight} ELSE 0.0 END"
+
+
+_SUMS = [_weighted("title", 0.6, _duck_lev("a.title", "b.title")), _weighted("host", 0.3, "jaro_winkler_similarity(a.host, b.host)"),
+         _weighted("section", 0.1, "(CASE WHEN a.section = b.section THEN 1.0 ELSE 0.0 END)")]
+_ENTITY_SQL = (
+    duck_cte("page_entities") +
+    f", n AS (SELECT page_id, host, section, {_NORM.format(c='title')} AS title, {_NORM.format(c='host')} AS h FROM page_entities), "
+    "v AS (SELECT page_id AS vid, title, h AS host, section FROM n), "
+    f"s AS (SELECT a.vid AS a, b.vid AS b, round(CAST({' + '.join(x for x, _ in _SUMS)} AS DOUBLE) / nullif(CAST({' + '.join(w for _, w in _SUMS)} AS DOUBLE), 0), 9) AS score "
+    "FROM v a JOIN v b ON a.vid < b.vid)"
+    ", e AS (SELECT a, b FROM s WHERE score >= 0.85 UNION ALL SELECT b, a FROM s WHERE score >= 0.85), "
+    "lab AS (SELECT node, min(l) AS l FROM (WITH RECURSIVE r(node, l) AS (SELECT vid, vid FROM v UNION "
+    "SELECT e.b, least(r.l, e.b) FROM r JOIN e ON r.node = e.a) SELECT node, l FROM r) GROUP BY node), "
+    "doubt AS (SELECT a, b FROM s JOIN lab x ON x.node = a JOIN lab y ON y.node = b WHERE score >= 0.75 AND score < 0.85 AND x.l <> y.l) ")
+
+
+@register("l1_entity_resolution", _ENTITY_SQL +
+          "SELECT p.page_id, p.host, p.title, p.section, lab.l AS canonical_id, "
+          f"p.page_id IN (SELECT a FROM doubt UNION ALL SELECT b FROM doubt) AS {FLAG} FROM page_entities p JOIN lab ON lab.node = p.page_id")
+def l1_entity_resolution(spark, sf):
+    res = CL.clean(dirty(spark, sf, "page_entities"), "entity_resolution", id_col="page_id", match_fields=ENTITY_FIELDS)
+    return res.output.select("page_id", "host", "title", "section", "canonical_id", FLAG)
+
+
+@register("l1_fuzzy_dedup", duck_cte("page_titles") +
+          f", v AS ({_duck_values('page_titles', 'page_id', 'title')})" +
+          _CC_SQL.format(cond=f"{_duck_lev('a.value', 'b.value')} >= 0.8") +
+          ", kept AS (SELECT * FROM page_titles WHERE page_id IN (SELECT l FROM lab) OR title IS NULL) "
+          "SELECT (SELECT count(*) FROM page_titles) AS rows_before, (SELECT count(*) FROM kept) AS rows_after, "
+          "((SELECT count(*) FROM page_titles) - (SELECT count(*) FROM kept)) / (SELECT count(*) FROM page_titles) > 0.3 AS circuit_breaker_hit")
+def l1_fuzzy_dedup(spark, sf):
+    res = CL.clean(dirty(spark, sf, "page_titles"), "deduplication", mode="fuzzy", id_col="page_id", fuzzy_field="title", fuzzy_threshold=0.8)
+    return res.audit.select("rows_before", "rows_after", "circuit_breaker_hit")
+
+
 # ---------- D2 / D6 / D10 ----------
 
 def _name_values(spark, sf):

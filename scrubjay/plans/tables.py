@@ -80,13 +80,20 @@ _SPLIT = {
         "lower(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[^A-Za-z ]+', ''))) AS title FROM pages",
         "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, "
         "lower(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[^A-Za-z ]+', '', 'g'))) AS title FROM pages"),
+    "page_entities": (
+        "SELECT page_id, CASE WHEN page_id % 9 <> 0 THEN regexp_extract(url, '^[a-z]+://([^/]+)', 1) END AS host, "
+        "nullif(lower(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[^A-Za-z ]+', ''))), '') AS title, "
+        "regexp_extract(url, '^[a-z]+://[^/]+/([a-z]+)/', 1) AS section FROM pages",
+        "SELECT page_id, CASE WHEN page_id % 9 <> 0 THEN regexp_extract(url, '^[a-z]+://([^/]+)', 1) END AS host, "
+        "nullif(lower(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[^A-Za-z ]+', '', 'g'))), '') AS title, "
+        "regexp_extract(url, '^[a-z]+://[^/]+/([a-z]+)/', 1) AS section FROM pages"),
 }
 
 VIEW_DEPS = {
     "orders_dup": ["orders"], "part_nulls": ["part"], "customer_ws": ["customer"],
     "customer_phone": ["customer"], "customer_zip": ["customer"], "orders_text": ["orders"],
     "attempts": ["events"], "doc_labels": ["documents", "labels"], "llm_text": ["conversations"],
-    "orders_dates": ["orders"], "orders_money": ["orders"], "part_tags": ["part"], "page_titles": ["pages"],
+    "orders_dates": ["orders"], "orders_money": ["orders"], "part_tags": ["part"], "page_titles": ["pages"], "page_entities": ["pages"],
 }
 
 
