@@ -16,7 +16,9 @@ from scrubjay.operators import guard as G
 from scrubjay.operators import metrics as M
 from scrubjay.plans import clean as CL
 from scrubjay.plans.catalog import register
-from scrubjay.plans.tables import dirty, duck_cte, load
+from scrubjay.plans.linkage_queries import _ENTITY_SQL, ENTITY_FIELDS
+from scrubjay.plans.quality_queries import _I13_SQL
+from scrubjay.plans.tables import dirty, duck_cte, load, view_sql
 from scrubjay.session import ensure_checkpoint_dir
 from scrubjay.sources import io
 
@@ -182,19 +184,38 @@ def l4_custom_metric(spark, sf):
     return out.select("metric", F.round("value", 6).alias("value"))
 
 
-@register("l2_evaluation_report")
+_ENTITY_SCORES = (
+    _ENTITY_SQL + ", c AS (SELECT lab.l AS p, coalesce(p.title, '~' || CAST(p.page_id AS VARCHAR)) AS g FROM page_entities p JOIN lab ON lab.node = p.page_id), "
+    "k AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM c GROUP BY p, g)) AS tp, "
+    "(SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM c GROUP BY p)) AS np, "
+    "(SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM c GROUP BY g)) AS ng) "
+    "SELECT 'entity_resolution' AS task, round(round(2 * tp / (np + ng + 1e-9), 4) * 0.5 + round(tp / (np + 1e-9), 4) * 0.25 + "
+    "round(tp / (ng + 1e-9), 4) * 0.25, 4) AS weighted_score FROM k")
+_FORMAT_SCORES = (
+    "SELECT 'format_standardization' AS task, round(round(coalesce(avg(CASE WHEN d IS NOT NULL THEN CASE WHEN regexp_matches(d, '^\\d{4}-\\d{2}-\\d{2}$') "
+    "THEN 1.0 ELSE 0.0 END END), 0.0), 4) * 0.6 + round((round(count_if(d IS NULL) / count(*), 4) - round(count_if(order_date IS NULL) / count(*), 4)) / 2, 4) * 0.4, 4) "
+    "FROM (SELECT order_date, strftime(try_strptime(trim(order_date), ['%Y-%m-%d', '%m/%d/%Y', '%d-%b-%Y', '%Y%m%d']), '%Y-%m-%d') AS d FROM "
+    f"({view_sql('orders_dates', 'duckdb')}))")
+
+
+@register("l2_evaluation_report", _I13_SQL +
+          f", five AS (SELECT task, weighted_score FROM scores UNION ALL SELECT * FROM ({_ENTITY_SCORES}) UNION ALL {_FORMAT_SCORES}) "
+          "SELECT task, weighted_score, (SELECT round(avg(weighted_score), 4) FROM five) AS overall_weighted_score, "
+          "(SELECT round(avg(weighted_score), 4) >= 0.85 FROM five) AS passed FROM five")
 def l2_evaluation_report(spark, sf):
-    rows = []
-    od = dirty(spark, sf, "orders_dup")
-    r = CL.clean(od, "deduplication", key_fields=["o_orderkey", "o_custkey"], order_by=["o_orderdate"])
-    rows.append(CL.task_metrics("deduplication", od, r, attempts=dirty(spark, sf, "attempts")))
-    ot = dirty(spark, sf, "orders_text")
-    rows.append(CL.task_metrics("type_coercion", ot, CL.clean(ot, "type_coercion")))
-    pn = dirty(spark, sf, "part_nulls")
-    rows.append(CL.task_metrics("missing_value_imputation", pn, CL.clean(pn, "missing_value_imputation")))
-    dd = dirty(spark, sf, "orders_dates")
-    rows.append(CL.task_metrics("format_standardization", dd, CL.clean(dd, "format_standardization",
-                                                                       columns=["order_date"]),
-                                compliance_pattern={"order_date": r"^\d{4}-\d{2}-\d{2}$"}))
-    scores, overall = CL.evaluate(rows, min_score=0.85)
-    return scores.crossJoin(overall)
+    """Five declared cleaning runs and their scores; true entities of the pages are their titles."""
+    runs = {}
+
+    def run(task: str, view: str, **params):
+        before = dirty(spark, sf, view)
+        runs[task] = before, CL.clean(before, task, **params)
+
+    run("deduplication", "orders_dup", key_fields=["o_orderkey", "o_custkey"], order_by=["o_orderdate"])
+    run("type_coercion", "orders_text")
+    run("missing_value_imputation", "part_nulls", strategy_map={"p_size": "median", "p_brand": "mode"}, columns=["p_brand", "p_size"])
+    run("format_standardization", "orders_dates", columns=["order_date"])
+    run("entity_resolution", "page_entities", id_col="page_id", match_fields=ENTITY_FIELDS)
+    more = {"deduplication": {"attempts": dirty(spark, sf, "attempts")}, "entity_resolution": {"gold_col": "title", "id_col": "page_id"},
+            "format_standardization": {"compliance_pattern": {"order_date": r"^\d{4}-\d{2}-\d{2}$"}}}
+    scores, overall = CL.evaluate([CL.task_metrics(t, b, r, **more.get(t, {})) for t, (b, r) in runs.items()], min_score=0.85)
+    return scores.crossJoin(overall)  # one row an evaluation
