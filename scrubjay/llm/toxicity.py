@@ -16,7 +16,9 @@ the inverse root of the landmarks' own kernel matrix.
 Training. A linear SVM (squared hinge) learns on these features from labelled sentences. Labels are given by
 document, so a toxic document is represented by the most toxic unit of its most toxic sentences under the last
 round's machine, and clean ones by the nearest units of all their sentences. A logistic curve over a document's three
-highest sentence values gives the score; a sentence's value is that of its highest unit.
+highest sentence values gives the score; a sentence's value is that of its highest unit. The toxic words found, and the clean landmarks,
+are also shown with gaps and put-in letters (``gapped``), each as a unit and as a sentence of its own, so a spelled-out insult counts where
+a spelled-out harmless word does not.
 
 Scoring. The machine is linear in the similarities, so all landmarks fold into one weight per triple: a unit costs
 one table look-up per triple, and its norm only if it can pass ``LEAST``. Values per distinct unit are kept
@@ -26,7 +28,7 @@ The fit uses at most ``n_toxic`` + ``n_clean`` labelled documents (those with th
 ``max_units`` of their units; scoring is one scan over whole texts, without a shuffle.
 
 Defined cases: null and empty texts score as text without any similar unit; ids may be null or repeat (each
-row is scored); without labels of both kinds every score is the share of toxic labels (0 without any); an empty
+row is scored; of one id's labels the fit takes the toxic one, of its texts the smallest); without labels of both kinds every score is the share of toxic labels (0 without any); an empty
 table gives an empty table; extra columns are ignored.
 """
 
@@ -50,6 +52,8 @@ CACHE_UNITS = 1 << 20
 WIDTH = 26       # places of a unit, boundary marks included; longer words are read in overlapping windows
 RUN_WINDOWS = (8, 16, 32)  # characters of a window of a run, moved on by a quarter: words of up to 7, 13 and 25 letters lie whole in one
 POSITIVE, NEGATIVE = 56, 40
+DISTINCT = 0.5   # most similarity of a toxic word shown with gaps to any clean landmark
+GAPPED_UNITS, GAPPED_SENTENCES = 0.5, 0.1  # weight of gapped spellings against the documents of their label, as units and under the curve
 EDGE, NONE, SYMBOLS = 31, 32, 33
 
 # symbol of each byte: letters, look-alikes (fixed values), marks on Latin letters by their second byte
@@ -115,6 +119,7 @@ def _run_windows(c: Chunk, ws: np.ndarray, we: np.ndarray, doc: np.ndarray, sent
     """``buf`` with the runs of one-character words behind it (one blank after each character), and per size of ``RUN_WINDOWS``
     the starts, ends and sentences of their windows. A run may hold any signs, and at least three letters."""
     lead = c.buf[ws]
+    we = we - ((we - ws == 2) & (_SYMBOL[lead] < 26) & np.isin(c.buf[we - 1], list(b".,;:!?")))  # "t," ends a spelled word
     single = we - ws == np.select([lead < 0x80, lead < 0xE0, lead < 0xF0], [1, 2, 3], 4)
     letter = single & ((_SYMBOL[lead] < 26) | (we - ws == 2))
     go = single[1:] & single[:-1] & (doc[1:] == doc[:-1])
@@ -330,19 +335,19 @@ def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1000.0,
     return w[:-1], float(w[-1])
 
 
-def fit_curve(top: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Logistic regression by Newton steps with a small ridge."""
+def fit_curve(top: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Weighted logistic regression by Newton steps with a small ridge."""
     x = np.concatenate([top, np.ones((len(top), 1))], axis=1)
     w = np.zeros(4)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(4)
-        w = w - np.linalg.solve(h, x.T @ (p - y) + 1e-2 * w)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(4)
+        w = w - np.linalg.solve(h, x.T @ (weight * (p - y)) + 1e-2 * w)
     return w
 
 
-def _choose_landmarks(sample: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
-    """Words by how much more often documents of the toxic class hold them, then the
+def _choose_landmarks(sample: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str], list[str]]:
+    """(toxic, clean) words: words by how much more often documents of the toxic class hold them, then the
     clean class's words that look most like those."""
     words = sample.select("id", "toxic", F.explode(F.array_distinct(F.transform(
         F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))).alias("w"))
@@ -352,14 +357,14 @@ def _choose_landmarks(sample: DataFrame, n_toxic: int, n_clean: int) -> list[str
     best = df.filter((F.col("t") >= 3) & (pt > 4 * pc)).orderBy((-F.col("t") * F.log(pt / pc)), "w").limit(20 * POSITIVE)
     found = [r["w"] for r in best.select("w").collect()]
     if not found:
-        return []
+        return [], []
     positive = _spread(found, np.arange(len(found)), POSITIVE, 0.85)
     common = [r["w"] for r in df.filter((F.col("c") >= 3) & (pt < 2 * pc)).orderBy(-F.col("c"), "w").limit(20_000).select("w").collect()]
     if common:
         sim = Landmarks(positive).similar(rows_of(common)).max(axis=1)
         order = np.argsort(-sim, kind="stable")
-        return positive + _spread(common, order[sim[order] > NEAR], NEGATIVE, 0.9)
-    return positive
+        return positive, _spread(common, order[sim[order] > NEAR], NEGATIVE, 0.9)
+    return positive, []
 
 
 def _spread(words: list[str], order: np.ndarray, most: int, limit: float) -> list[str]:
@@ -380,16 +385,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fit on a bounded sample of the labelled rows whose crc32(id as text) mod ``folds`` is not ``held_fold``."""
     ship_package(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).filter(
-        F.col("id").isNotNull() & F.col("toxic").isin(0, 1) & (F.crc32(F.col("id").cast("string")) % folds != held_fold)).dropDuplicates(["id"])
+        F.col("id").isNotNull() & F.col("toxic").isin(0, 1) & (F.crc32(F.col("id").cast("string")) % folds != held_fold)).groupBy("id").agg(F.max("toxic").alias("toxic"))
     pick = lambda v, n: known.filter(F.col("toxic") == v).orderBy(F.xxhash64("id"), "id").limit(n)
     chosen = pick(1, n_toxic).unionByName(pick(0, n_clean))  # at most n_toxic + n_clean rows: safe to broadcast
     sample = (docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-              .join(F.broadcast(chosen), "id").dropDuplicates(["id"]).repartition(16, "id").persist())
+              .join(F.broadcast(chosen), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).repartition(16, "id").persist())
     try:
         sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
         nt, nc = sizes.get(1, 0), sizes.get(0, 0)
         share = nt / (nt + nc) if nt + nc else 0.0
-        words = _choose_landmarks(sample, nt, nc) if nt and nc else []
+        bad, good = _choose_landmarks(sample, nt, nc) if nt and nc else ([], [])
+        words = bad + good
         if not words:
             return Model(None, 0.0, np.zeros(4), share)
         marks = docs.sparkSession.sparkContext.broadcast(words)
@@ -413,7 +419,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     _, doc = np.unique(ids, return_inverse=True)
     label = np.zeros(doc.max() + 1)
     label[doc] = y
-    return _train(Landmarks(words), units.tolist(), unit, doc, label)
+    return _train(Landmarks(words), units.tolist(), unit, doc, label, len(bad))
 
 
 def near_units(land: Landmarks, c: Chunk) -> tuple[np.ndarray, list[str]]:
@@ -431,8 +437,12 @@ def near_units(land: Landmarks, c: Chunk) -> tuple[np.ndarray, list[str]]:
     return np.searchsorted(u.sentence_first, s[two], "right") - 1, [raw[u.starts[i]:u.ends[i]].decode("utf-8", "replace") for i in unit[two]]
 
 
-def _train(marks: Landmarks, units: list[str], unit: np.ndarray, doc: np.ndarray, label: np.ndarray) -> Model:
-    """Fit on (document, unit) pairs; equal units are one row, weighted by how often they stand for a label."""
+def _train(marks: Landmarks, units: list[str], unit: np.ndarray, doc: np.ndarray, label: np.ndarray, n_bad: int) -> Model:
+    """Fit on (document, unit) pairs; equal units are one row, weighted by how often they stand for a label.
+
+    The first ``n_bad`` landmarks are the toxic words. Those that the machine calls toxic and that look like no clean landmark, and all
+    clean landmarks, are also shown spelled with gaps: as units more, and as sentences of their own under the curve.
+    """
     gram = marks.similar(rows_of(marks.words)).astype(np.float64)
     value, vec = np.linalg.eigh((gram + gram.T) / 2)
     root = vec @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vec.T
@@ -453,16 +463,43 @@ def _train(marks: Landmarks, units: list[str], unit: np.ndarray, doc: np.ndarray
         witness = witness[(np.arange(len(d)) - np.searchsorted(d, d) < 2) & (f[witness] > bias)]
         toxic = np.bincount(unit[witness], minlength=len(z)).astype(float)
         w, bias = _fit_units(z, np.concatenate([0.5 * toxic / max(1, len(witness)), clean_weight]))
+    toxic_word = gram @ root @ w + bias > 0
+    if n_bad < len(marks.words):  # a word that looks like a clean one says too little once it is thinned
+        toxic_word &= gram[:, n_bad:].max(axis=1) < DISTINCT
+    shown = [(g, 1.0 if i < n_bad else -1.0) for i, m in enumerate(marks.words) if (i >= n_bad or toxic_word[i]) for g in gapped(m)]
+    top, truth, weight = None, (label > 0).astype(float), np.ones(len(label))
+    if any(y > 0 for _, y in shown):
+        more = marks.similar(rows_of([g for g, _ in shown])) @ root
+        y = np.array([y for _, y in shown])
+        each = 1.0 / np.where(y > 0, max(1, (y > 0).sum()), max(1, (y < 0).sum()))
+        w, bias = _fit_units(z, np.concatenate([0.5 * toxic / max(1, len(witness)), clean_weight]), more, y, 0.5 * GAPPED_UNITS * each)
+        top = np.full((len(y), 3), LEAST)
+        top[:, 0] = np.maximum(more @ w + bias, LEAST)
+        weight = np.concatenate([weight, GAPPED_SENTENCES * each * np.where(y > 0, (label > 0).sum(), (label < 0).sum())])
+        truth = np.concatenate([truth, (y > 0).astype(float)])
     f = (z @ w + bias)[unit]
-    curve = fit_curve(top_values(doc, f, len(label)), (label > 0).astype(float))
+    tops = top_values(doc, f, len(label))
+    curve = fit_curve(tops if top is None else np.concatenate([tops, top]), truth, weight)
     serial = int(np.random.default_rng().integers(1 << 60))
     return Model((marks.table.astype(np.float64) @ (root @ w)).astype(np.float32), bias, curve, serial=serial)
 
 
-def _fit_units(z: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
-    """SVM over units, each as a toxic and as a clean row; rows without weight are left out."""
+def _fit_units(z: np.ndarray, weight: np.ndarray, more: np.ndarray | None = None, more_y: np.ndarray | None = None,
+               more_weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """SVM over units, each as a toxic and as a clean row, and ``more`` rows with their labels; rows without weight are left out."""
     at = np.flatnonzero(weight)
-    return fit_svm(z[at % len(z)], np.where(at < len(z), 1.0, -1.0), weight[at])
+    x, y, wt = z[at % len(z)], np.where(at < len(z), 1.0, -1.0), weight[at]
+    if more is not None:
+        x, y, wt = np.concatenate([x, more]), np.concatenate([y, more_y]), np.concatenate([wt, more_weight])
+    return fit_svm(x, y, wt)
+
+
+def gapped(word: str) -> list[str]:
+    """The word spelled with blanks, dots or dashes between its letters, with blanks in a longer run, and with a letter put in at each inner place."""
+    if len(word) < 4:
+        return []
+    runs = [" ".join(x) for x in ("an" + word, word + "so", "an" + word + "so")]  # as windows of a longer run show it
+    return [sign.join(word) for sign in " .-"] + runs + [word[:i] + "x" + word[i:] for i in range(2, len(word) - 1)]
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 0) -> DataFrame:

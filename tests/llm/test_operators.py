@@ -492,9 +492,24 @@ def test_spaced_runs_are_read_to_their_end():
 def test_toxicity_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     lab = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    got = toxicity.toxicity(d, toxicity.fit(d, lab)).join(lab, "doc_id").join(d.select("doc_id", "lang"), "doc_id").filter("held_out and lang = 'en'").collect()
+    model = toxicity.fit(d, lab)
+    got = toxicity.toxicity(d, model).join(lab, "doc_id").join(d.select("doc_id", "lang"), "doc_id").filter("held_out and lang = 'en'").collect()
     right = sum(r["predicted"] == r["toxic"] for r in got)
     assert right / len(got) > 0.9 and all(0 <= r["score"] <= 1 for r in got)
+    # spelled-out insults in sentences that are harmless otherwise, and spelled-out harmless words
+    bad = ["You are an i d i o t, go away.", "You are an i.d.i.o.t, go away.", "You are an idxiot, go away.", "You are such s.c.u.m.", "you s-t-u-p-i-d person",
+           "y o u a r e s u c h a n i d i o t", "You are an id-iot.", "You are an idiot, go away."]
+    good = ["Please s.p.e.l.l it out, dear student.", "W e l c o m e to the study of idioms.", "Steps a, b, c, d, e and f of the U.S.A. report", "an ideal day", ""]
+    said = spark.createDataFrame(list(enumerate(bad + good)), "doc_id long, text string")
+    assert {r["doc_id"] for r in toxicity.toxicity(said, model).filter("predicted = 1").collect()} == set(range(len(bad)))
+
+
+def test_toxicity_of_contradictory_rows(spark, docs, labels):
+    """Of one id's labels the toxic one counts, of its texts the smallest: the order of the rows has no say."""
+    twice = labels.unionByName(labels.withColumn("toxic", F.when(F.col("doc_id") % 50 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic"))))
+    texts = docs.unionByName(docs.filter("doc_id % 40 = 0").withColumn("text", F.lit("zzz")))
+    one, two = toxicity.fit(texts, twice), toxicity.fit(texts.orderBy(F.desc("text")), twice.orderBy(F.desc("toxic")))
+    assert np.allclose(one.curve, two.curve) and np.allclose(one.fold, two.fold)
 
 
 def test_toxicity_hard_rows(hard, empty, labels, docs):
