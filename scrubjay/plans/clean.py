@@ -71,6 +71,8 @@ def run_task(df: DataFrame, task: str, **params) -> tuple[DataFrame, dict]:
             cols = params.get("columns") or _string_cols(df)
             rules = [r.asDict() for r in S.infer_format_rules(df, cols, params.get("locale", S.DEFAULT_LOCALE),
                                                                params.get("min_confidence", 0.70)).collect()]
+        elif any("field" in r for r in rules):
+            return declared_formats(df, rules, params.get("locale", S.DEFAULT_LOCALE)), {"field_rules": rules}
         out = S.apply_format_rules(ensure_flags(df), [r for r in rules if r.get("rule")],
                                    params.get("locale", S.DEFAULT_LOCALE), params.get("target_format", "%Y-%m-%d"))
         return out, {"field_rules": rules}
@@ -85,6 +87,29 @@ def run_task(df: DataFrame, task: str, **params) -> tuple[DataFrame, dict]:
     raise ValueError(f"unknown task {task}")
 
 
+def declared_formats(df: DataFrame, rules: list[dict], locale: str = S.DEFAULT_LOCALE) -> DataFrame:
+    """Columns brought to their declared ``{field, target_format}``: a date layout (``%Y-%m-%d``), a phone template
+    (``+86-{area}-{number}``), ``postal`` or ``money``. Values that do not parse become NULL and are flagged; any other target is refused.
+
+    The layouts a date column is read with are those inferred from its values, or all known ones if no rule is inferred.
+    """
+    targets = {r["field"]: r["target_format"] for r in rules}
+    other = [t for t in targets.values() if not ("%" in t or "{number}" in t or t in ("postal", "money"))]
+    if other or len(targets) < len(rules) or not set(targets) <= set(df.columns):
+        raise ValueError(f"field_rules need one known target_format per existing field: {rules}")
+    dates = [c for c, t in targets.items() if "%" in t]
+    found = {r["name"]: r["formats"] for r in S.infer_format_rules(df, dates, locale).collect()} if dates else {}  # one row a column
+    out = ensure_flags(df)
+    for c, target in targets.items():
+        if "%" in target:
+            out = S.standardize_dates(out, c, list(found.get(c) or S.CANDIDATE_DATE_FORMATS), target)
+        elif "{number}" in target:
+            out = S.standardize_phone(out, c, locale, template=target)
+        else:
+            out = S.standardize_postal(out, c, locale) if target == "postal" else S.standardize_money(out, c)
+    return out
+
+
 def clean(df: DataFrame, task: str, persist: bool = True, **params) -> CleanResult:
     """Run one cleaning task with audit and circuit breaker (L1).
 

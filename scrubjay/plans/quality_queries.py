@@ -95,21 +95,30 @@ _LANG_LOCALE = "CASE lang WHEN 'en' THEN 'en_US' WHEN 'de' THEN 'de_DE' WHEN 'fr
 
 
 @register("e6_locale_phone",
-          "WITH p AS (SELECT doc_id, lang, " + _LANG_LOCALE + " AS locale, regexp_extract(text, "
-          "'\\+1 \\(\\d{3}\\) \\d{3}-\\d{4}', 0) AS phone FROM documents), "
+          "WITH f AS (SELECT doc_id, lang, regexp_extract_all(text, '\\+1 \\(\\d{3}\\) \\d{3}-\\d{4}') AS found FROM documents), "
+          "p AS (SELECT doc_id, lang, " + _LANG_LOCALE + " AS locale, unnest(found) AS phone, CAST(unnest(range(1, len(found) + 1)) AS INT) AS nth FROM f), "
           "q AS (SELECT p.*, coalesce(lr.cc, '86') AS cc, coalesce(lr.nat, 10) AS nat, coalesce(lr.sub, 8) AS sub, "
           "regexp_replace(phone, '[^0-9]', '', 'g') AS d0 FROM p LEFT JOIN " + _LOCALES_SQL + " ON p.locale = lr.locale "
           "WHERE phone <> ''), r AS (SELECT *, CASE WHEN starts_with(d0, cc) AND length(d0) - length(cc) >= nat "
           "THEN substr(d0, length(cc) + 1) WHEN starts_with(d0, '0') AND length(d0) - 1 >= nat THEN substr(d0, 2) "
-          "ELSE d0 END AS d FROM q) SELECT doc_id, lang, CASE WHEN length(d) >= nat THEN concat('+', cc, '-', "
+          "ELSE d0 END AS d FROM q) SELECT doc_id, lang, nth, CASE WHEN length(d) >= nat THEN concat('+', cc, '-', "
           "substr(d, 1, length(d) - sub), '-', right(d, sub)) END AS phone FROM r")
 def e6_locale_phone(spark, sf):
     docs = load(spark, sf, "documents")
     locale = (F.when(F.col("lang") == "en", "en_US").when(F.col("lang") == "de", "de_DE")
               .when(F.col("lang") == "fr", "fr_FR").when(F.col("lang") == "es", "es_ES"))
-    p = docs.select("doc_id", "lang", locale.alias("locale"),
-                    F.regexp_extract("text", r"\+1 \(\d{3}\) \d{3}-\d{4}", 0).alias("phone")).filter(F.col("phone") != "")
-    return S.standardize_phone_by_locale(p, "phone", "locale").select("doc_id", "lang", "phone")
+    every = F.regexp_extract_all("text", F.lit(r"\+1 \(\d{3}\) \d{3}-\d{4}"), F.lit(0))  # all phones of a text
+    p = docs.select("doc_id", "lang", locale.alias("locale"), F.posexplode_outer(every).alias("nth", "phone")).filter("phone is not null")
+    return S.standardize_phone_by_locale(p.withColumn("nth", F.col("nth") + 1), "phone", "locale").select("doc_id", "lang", "nth", "phone")
+
+
+@register("l1_declared_formats", duck_cte("orders_dates") +
+          f"SELECT o_orderkey, strftime(try_strptime(trim(order_date), {_DUCK_FMTS}), '%d/%m/%Y') AS order_date, " +
+          _flag_sql(f"(trim(order_date) <> '' AND try_strptime(trim(order_date), {_DUCK_FMTS}) IS NULL)", "format:order_date") + " FROM orders_dates")
+def l1_declared_formats(spark, sf):
+    from scrubjay.plans.clean import clean
+    rules = [{"field": "order_date", "target_format": "%d/%m/%Y"}]
+    return clean(dirty(spark, sf, "orders_dates"), "format_standardization", field_rules=rules).output
 
 
 @register("e7_format_compliance", duck_cte("orders_dates") +

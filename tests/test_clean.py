@@ -38,3 +38,17 @@ def test_custom_arrow_counts_in_one_pass(spark):
     for empty in (spark.range(0), spark.range(5).filter("id > 9")):
         row = C.apply_custom_arrow(empty, same, "id long").audit.first()
         assert (row["rows_before"], row["rows_after"], row["flagged_record_count"], row["circuit_breaker_hit"]) == (0, 0, 0, False)
+
+
+def test_declared_formats(spark):
+    rows = [(1, "2024-03-05", "(010) 12345678", "12-34", "$1,200.50"), (2, "junk", "12", "no", "free"), (3, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, day string, phone string, zip string, price string")
+    rules = [{"field": "day", "target_format": "%d/%m/%Y"}, {"field": "phone", "target_format": "{area}/{number}"},
+             {"field": "zip", "target_format": "postal"}, {"field": "price", "target_format": "money"}]
+    got = {r["id"]: r for r in C.clean(df, "format_standardization", field_rules=rules).output.collect()}
+    assert (got[1]["day"], got[1]["phone"], got[1]["zip"], str(got[1]["price"])) == ("05/03/2024", "10/12345678", "001234", "1200.50")
+    assert got[2]["__flagged__"] and not got[1]["__flagged__"] and not got[3]["__flagged__"]
+    assert [got[2][c] for c in ("day", "phone", "zip", "price")] == [None] * 4
+    for bad in ([{"field": "day", "target_format": "iso"}], [{"field": "none", "target_format": "%Y"}], [rules[0], rules[0]]):
+        with pytest.raises(ValueError):
+            run_task(df, "format_standardization", field_rules=bad)
