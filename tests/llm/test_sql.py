@@ -2,6 +2,7 @@
 import pytest
 
 from scrubjay.llm import queries, sql
+
 SF_SMALL = "/root/testdata/sf0.001"
 
 
