@@ -76,7 +76,7 @@ def jaro_winkler_py(s: str | None, t: str | None) -> float | None:
     return jaro + prefix * JW_PREFIX_SCALE * (1 - jaro)
 
 
-def _code_points(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def code_points(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Matrix of code points (one row per string, zeros behind its end) and the lengths."""
     size = np.fromiter(map(len, values), np.int64, len(values))
     out = np.zeros((len(values), max(int(size.max(initial=0)), 1)), np.uint32)
@@ -86,7 +86,7 @@ def _code_points(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def jaro_winkler_rows(a: list[str], b: list[str]) -> np.ndarray:
     """:func:`jaro_winkler_py` of many pairs of strings: the greedy matching walks the characters of all left sides at once."""
-    (s, ls), (t, lt) = _code_points(a), _code_points(b)
+    (s, ls), (t, lt) = code_points(a), code_points(b)
     n, rows = len(ls), np.arange(len(ls))
     reach = np.maximum(np.maximum(ls, lt) // 2 - 1, 0)
     s_hit, t_hit = np.zeros(s.shape, bool), np.zeros(t.shape, bool)

@@ -10,9 +10,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scrubjay.operators.edit_tiles import tile_candidates
 from scrubjay.session import cut_lineage
 
 EPS = 1e-9
+MOST_GRAMS = 0.4
 PAD_START, PAD_END = "\u0002", "\u0003"
 
 
@@ -39,12 +41,16 @@ def edit_candidates(values: DataFrame, threshold: float, q: int = 3) -> DataFram
 
     A pair whose longer side has length b may differ by tau = floor((1 - t) b) edits. With tau = 0 distinct values cannot match. With
     tau = 1 the keys are deletion variants, which bring together matching pairs only, so ids on a common stem cost
-    no more than their matches. With more, positional q-grams: see :func:`_gram_pairs`.
+    no more than their matches. With more, positional q-grams (:func:`_gram_pairs`) where a prefix is at most ``MOST_GRAMS`` of the grams; a prefix
+    of most grams is no filter, so below that threshold tiles of values meet (:mod:`scrubjay.operators.edit_tiles`).
     """
     if not 0.5 < threshold <= 1.0:
         raise ValueError("edit-similarity join needs 0.5 < threshold <= 1")
     v = values.select("vid", "blk", "value", F.length("value").alias("len"))
-    return _one_edit_pairs(v, threshold).unionByName(_gram_pairs(v, threshold, _edit_q(threshold, q)))
+    q = _edit_q(threshold, q)
+    if q * (1 - threshold) <= MOST_GRAMS:
+        return _one_edit_pairs(v, threshold).unionByName(_gram_pairs(v, threshold, q))
+    return tile_candidates(v, threshold)
 
 
 def _budget(length: Column, threshold: float) -> Column:
