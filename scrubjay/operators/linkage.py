@@ -71,23 +71,26 @@ def _nodes(df: DataFrame, id_col: str, fields: list[MatchField], normalize: bool
 
 def _field_candidates(nodes: DataFrame, f: MatchField, least: float, lacking: tuple[str, ...]) -> DataFrame:
     """``va < vb`` whose values of ``f`` are at least ``least`` alike and of which one side lacks each of ``lacking``."""
-    have = nodes.filter(F.col(f.name).isNotNull()).select("vid", F.col(f.name).alias("value"), F.array(*[F.col(c).isNull() for c in lacking]).alias("no"))
-    vals = have.groupBy("value").agg(F.min("vid").alias("gid"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"), F.count(F.lit(1)).alias("n"))
-    vals = cut_lineage(vals)
-    links = vals.filter("n > 1").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))  # equal values are 1 alike
+    lacks = F.array(*[F.col(c).isNull() for c in lacking]).cast("array<boolean>")
+    have = nodes.filter(F.col(f.name).isNotNull()).select("vid", F.col(f.name).alias("value"), lacks.alias("no"))
+    # nodes of one value that lack the same fields are a group: what no pair of two groups can lack is dropped before nodes meet
+    groups = have.groupBy("value", "no").agg(F.min("vid").alias("gid"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"), F.count(F.lit(1)).alias("n"))
+    groups = cut_lineage(groups)
+    vals = groups.groupBy("value").agg(F.min("gid").alias("vid"), F.sum("n").alias("n"))
+    links = vals.select(F.col("vid").alias("va"), F.col("vid").alias("vb"))  # equal values are 1 alike
     if f.comparator != "exact":
-        alike = R.similar_values(vals.select(F.lit("").alias("blk"), "value", F.col("gid").alias("vid"), "n"), least, f.comparator)
-        links = links.unionByName(alike.select(F.col("va").alias("ga"), F.col("vb").alias("gb")))
-    held = have.join(vals, "value").select("gid", F.pmod(F.xxhash64("vid"), F.col("tiles")).cast("int").alias("tile"), "vid", "no")
-    size = vals.select("gid", "tiles")
-    links = links.join(size.select(F.col("gid").alias("ga"), F.col("tiles").alias("na")), "ga").join(size.select(F.col("gid").alias("gb"), F.col("tiles").alias("nb")), "gb")
+        links = links.unionByName(R.similar_values(vals.select(F.lit("").alias("blk"), "value", "vid", "n"), least, f.comparator).select("va", "vb"))
+    held = have.join(groups, ["value", "no"]).select("gid", F.pmod(F.xxhash64("vid"), F.col("tiles")).cast("int").alias("tile"), "vid")
+    size = groups.join(vals.select("value", "vid"), "value")
+    a, b = (size.select(F.col("vid").alias(f"v{s}"), F.col("gid").alias(f"g{s}"), F.col("tiles").alias(f"n{s}"), F.col("no").alias(f"no{s}"), F.col("n").alias(f"c{s}")) for s in "ab")
+    once = (F.col("va") != F.col("vb")) | (F.col("ga") < F.col("gb")) | ((F.col("ga") == F.col("gb")) & (F.col("ca") > 1))
+    links = links.join(a, "va").join(b, "vb").filter(once & F.forall(F.zip_with("noa", "nob", lambda x, y: x | y), lambda z: z))
     links = links.withColumn("ta", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("tb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     links = links.filter((F.col("ga") != F.col("gb")) | (F.col("ta") <= F.col("tb"))).select("ga", "gb", "ta", "tb")
-    a, b = (held.select(F.col("gid").alias(f"g{s}"), F.col("tile").alias(f"t{s}"), F.col("vid").alias(f"v{s}"), F.col("no").alias(f"no{s}")) for s in "ab")
+    a, b = (held.select(F.col("gid").alias(f"g{s}"), F.col("tile").alias(f"t{s}"), F.col("vid").alias(f"v{s}")) for s in "ab")
     met = links.join(a, ["ga", "ta"]).join(b, ["gb", "tb"]).filter(F.col("va") != F.col("vb"))
     once = (F.col("ga") != F.col("gb")) | (F.col("ta") < F.col("tb")) | (F.col("va") < F.col("vb"))
-    lacks = F.forall(F.zip_with("noa", "nob", lambda x, y: x | y), lambda z: z) if lacking else F.lit(True)
-    return met.filter(once & lacks).select(F.least("va", "vb").alias("va"), F.greatest("va", "vb").alias("vb"))
+    return met.filter(once).select(F.least("va", "vb").alias("va"), F.greatest("va", "vb").alias("vb"))
 
 
 def _vector_candidates(df: DataFrame, members: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
