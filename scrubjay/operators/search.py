@@ -82,6 +82,19 @@ def _top(df: DataFrame, query_col: str, order: list[Column], k: int) -> DataFram
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(query_col).orderBy(*order))).filter(F.col("rank") <= k)
 
 
+def _top_of_kinds(scored: DataFrame, rows: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """The ``k`` best ``rows`` (``__kind, ...``) of each ``__q``, whose kinds ``scored`` (``__q, __kind, ...``) rates; ``order`` ranks rows within a query.
+
+    Rows of a kind have equal points with every query, so only the ``k`` best of a kind can be among the answers, and only the ``k`` kinds whose
+    best rows come first can hold one. Neither step drops an answer.
+    """
+    ties = order[1:]
+    place = F.row_number().over(Window.partitionBy("__kind").orderBy(*ties))
+    rows = cut_lineage(rows.withColumn("__place", place).filter(F.col("__place") <= k))
+    first = _top(scored.join(rows.filter("__place = 1"), "__kind"), "__q", order, k).select(*scored.columns)
+    return _top(first.join(rows, "__kind"), "__q", order, k)
+
+
 def _grams(c: Column, n: int) -> Column:
     """Distinct grams of ``n`` characters; none in a shorter string."""
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
@@ -107,7 +120,8 @@ def keyword_search_many(df: DataFrame, text_cols: list[str], queries: DataFrame,
     """J3 for a table of queries: ``<query_id>, rank, <id>, score``, the ``k`` best entries of each query with a score above 0.
 
     The score is that of :func:`keyword_score`, ties as in :func:`keyword_search`. Entries meet queries through an inverted index: a word without white space is part
-    of a text if it is part of one of its tokens, so words are looked up in the vocabulary, and its tokens lead to the entries. Queries without a word have no rows; NULL texts have no tokens;
+    of a text if it is part of one of its tokens, so words are looked up in the vocabulary, and its tokens lead to the entries. Entries that hold the same asked words
+are one kind: queries rate kinds, not entries. Queries without a word have no rows; NULL texts have no tokens;
     ids are taken to be unique on both sides.
     """
     split = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
@@ -115,11 +129,13 @@ def keyword_search_many(df: DataFrame, text_cols: list[str], queries: DataFrame,
     asked = queries.select(F.col(query_id).alias("__q"), split(F.coalesce(F.col(query_text), F.lit(""))).alias("w"))
     terms = asked.select("__q", F.size("w").alias("n"), F.explode("w").alias("word")).groupBy("__q", "n", "word").agg(F.count(F.lit(1)).alias("times"))
     found = words_in_vocabulary(terms.select("word").distinct(), entry.select("token").distinct())
-    hits = entry.join(found, "token").select("__id", "word").distinct()  # a word counts once an entry, however many tokens hold it
-    scored = hits.join(terms, "word").groupBy("__q", "__id").agg((F.sum("times") / F.first("n")).alias("score"))
+    hits = entry.join(found, "token").groupBy("__id").agg(F.sort_array(F.collect_set("word")).alias("__kind"))  # a word counts once an entry, however many tokens hold it
     if prior_col:
-        scored = scored.join(df.select(F.col(id_col).alias("__id"), F.col(prior_col).alias("__prior")), "__id")
-    best = _top(scored, "__q", [F.col("score").desc(), *_ties("__prior" if prior_col else None, "__id")], k)
+        hits = hits.join(df.select(F.col(id_col).alias("__id"), F.col(prior_col).alias("__prior")), "__id")
+    hits = cut_lineage(hits)
+    kinds = hits.select("__kind").distinct().select("__kind", F.explode("__kind").alias("word"))
+    scored = kinds.join(terms, "word").groupBy("__q", "__kind").agg((F.sum("times") / F.first("n")).alias("score"))
+    best = _top_of_kinds(scored, hits, [F.col("score").desc(), *_ties("__prior" if prior_col else None, "__id")], k)
     return best.select(F.col("__q").alias(query_id), "rank", F.col("__id").alias(id_col), "score")
 
 
@@ -159,11 +175,17 @@ def tag_overlap(df: DataFrame, tags_col: str, query_tags: list[str], id_col: str
 def tag_overlap_many(df: DataFrame, tags_col: str, queries: DataFrame, query_id: str, query_tags: str, id_col: str, score_col: str, k: int = 10) -> DataFrame:
     """J7 for a table of queries: ``<query_id>, rank, <id>, overlap``, the ``k`` entries of each query that share most tags, then by score, then by id.
 
-    Both sides are spread to their distinct tags and meet on equal tags; NULL arrays and NULL tags share nothing.
+    Entries with the same tags are one kind, and so are queries: kinds meet on equal tags. NULL arrays and NULL tags share nothing; of rows that repeat an id
+    and score, or a query id, each counts.
     """
-    one = lambda c: F.explode(F.array_distinct(F.filter(c, lambda t: t.isNotNull()))).alias("tag")
-    entry = df.select(F.col(id_col).alias("__id"), F.col(score_col).alias("__s"), one(F.col(tags_col)))
-    asked = queries.select(F.col(query_id).alias("__q"), one(F.col(query_tags)))
-    shared = entry.join(asked, "tag").groupBy("__q", "__id", "__s").agg(F.count(F.lit(1)).cast("int").alias("overlap"))
-    best = _top(shared, "__q", [F.col("overlap").desc(), *_ties("__s", "__id")], k)
-    return best.select(F.col("__q").alias(query_id), "rank", F.col("__id").alias(id_col), "overlap")
+    own = lambda c: F.array_distinct(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda t: t.isNotNull()))
+    kind = F.array_sort(F.flatten(F.collect_list("__t"))).alias("__kind")  # a tag as often as rows hold it
+    entry = df.select(F.col(id_col).alias("__id"), F.col(score_col).alias("__s"), own(F.col(tags_col)).alias("__t")).filter(F.size("__t") > 0)
+    asked = queries.select(F.col(query_id).alias("__qid"), own(F.col(query_tags)).alias("__t")).filter(F.size("__t") > 0)
+    entry = cut_lineage(entry.groupBy("__id", "__s").agg(kind))
+    asked = cut_lineage(asked.groupBy("__qid").agg(kind.alias("__q")))
+    spread_out = lambda d, c, n: d.select(c).distinct().select(c, F.explode(c).alias("tag")).groupBy(c, "tag").agg(F.count(F.lit(1)).alias(n))
+    shared = spread_out(entry, "__kind", "n").join(spread_out(asked, "__q", "m"), "tag")
+    scored = shared.groupBy("__q", "__kind").agg(F.sum(F.col("n") * F.col("m")).cast("int").alias("overlap"))
+    best = _top_of_kinds(scored, entry, [F.col("overlap").desc(), *_ties("__s", "__id")], k)
+    return best.join(asked, "__q").select(F.col("__qid").alias(query_id), "rank", F.col("__id").alias(id_col), "overlap")

@@ -57,3 +57,24 @@ def test_tag_overlap_many(spark):
     q = spark.createDataFrame([("a", ["home", "Pets", "home"]), ("b", None), ("c", ["cats", None]), ("d", ["none"])], "q string, t array<string>")
     got = J.tag_overlap_many(table(spark), "tags", q, "q", "t", "id", "prior", k=2).collect()
     assert {(r["q"], r["rank"], r["id"], r["overlap"]) for r in got} == {("a", 1, 1, 2), ("a", 2, 6, 1), ("c", 1, 2, 1)}
+
+
+def test_queries_meet_kinds_of_entries(spark, monkeypatch):
+    """400 entries of two kinds, 30 queries of one: what is ranked grows with kinds and answers, not with entries times queries."""
+    ranked, top = [], J._top
+    monkeypatch.setattr(J, "_top", lambda df, *a: ranked.append(df.count()) or top(df, *a))
+    entries = [(i, "red ring" if i % 2 else "ring", ["a", "b"] if i % 2 else ["a"], float(i % 50)) for i in range(400)]
+    q = spark.createDataFrame([(f"q{i}", "ring red", ["b", "a"]) for i in range(30)], "q string, words string, t array<string>")
+    want = sorted((i for i in range(400) if i % 2), key=lambda i: (-(i % 50), i))[:3]
+    tags = J.tag_overlap_many(table(spark, entries), "tags", q, "q", "t", "id", "prior", k=3).collect()
+    assert {(r["q"], r["rank"], r["id"], r["overlap"]) for r in tags} == {(f"q{i}", p, n, 2) for i in range(30) for p, n in enumerate(want, 1)}
+    words = J.keyword_search_many(table(spark, entries), ["summary"], q, "id", "q", "words", k=3, prior_col="prior").collect()
+    assert {(r["q"], r["rank"], r["id"], r["score"]) for r in words} == {(f"q{i}", p, n, 1.0) for i in range(30) for p, n in enumerate(want, 1)}
+    assert max(ranked) <= 30 * 2 * 3
+
+
+def test_tag_overlap_counts_repeated_rows(spark):
+    q = spark.createDataFrame([("a", ["x", "y"]), ("a", ["x"]), (None, ["y"])], "q string, t array<string>")
+    e = table(spark, [(1, "", ["x", "y"], 0.5), (1, "", ["y"], 0.5), (1, "", ["x"], 0.1), (None, "", ["y"], None)])
+    got = J.tag_overlap_many(e, "tags", q, "q", "t", "id", "prior", k=9).collect()
+    assert {(r["q"], r["rank"], r["id"], r["overlap"]) for r in got} == {("a", 1, 1, 4), ("a", 2, 1, 2), ("a", 3, None, 1), (None, 1, 1, 2), (None, 2, None, 1)}
