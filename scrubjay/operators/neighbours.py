@@ -4,7 +4,8 @@ Angles between unit vectors are a metric, so for a pivot p, a query q and a vect
 
 1. Equal vectors collapse to one (smallest id), whatever their number; only vectors with a direction take part.
 2. ``PIVOTS`` pivots are fitted on a bounded sample (spherical k-means). Each vector belongs to its nearest pivot and lies in a
-   ring, a bin of its angle to it. Neighbouring rings of a cell are merged, and full ones are split by id, into blocks of about ``BLOCK`` vectors.
+   ring, a bin of its angle to it. Neighbouring rings of a cell are merged, and full ones are split by id, into blocks of ``BLOCK`` vectors, or of a
+   pivot's share of all vectors up to ``BLOCK_VALUES`` numbers: a query travels once for each block it needs, so there are no more blocks than that takes.
    The table of rings is bounded by pivots and bins, so it can travel with the tasks; blocks grow with the rows.
 3. A query first searches the sample and its own block. The k-th best cosine seen there bounds its answer; then it visits only
    the blocks whose ring may hold something at least as good. Queries travel in packs to packed blocks, one matrix product for each
@@ -29,6 +30,8 @@ from scrubjay.session import cut_lineage, ship_package
 PIVOTS = 32
 BINS = 201  # rings of 1/64 radian
 BLOCK = 4096
+BLOCK_VALUES = 1 << 20  # numbers in a block at most, if it is to hold more than BLOCK vectors
+PRODUCT = 1 << 22  # cosines at a time
 PACK = 1024  # queries that travel together
 SAMPLE_VALUES = 1 << 19  # numbers in the sample: 8192 vectors of 64 dimensions
 SLACK = 1e-7
@@ -118,6 +121,11 @@ def _part(ids: np.ndarray, parts: np.ndarray) -> np.ndarray:
     return ((mixed >> np.uint64(33)) % parts.astype(np.uint64)).astype(np.int64)
 
 
+def block_size(n: int, dim: int, pivots: int) -> int:
+    """Vectors in a block: ``BLOCK``, or as many as a pivot has on average while they fit ``BLOCK_VALUES``."""
+    return max(BLOCK, min(-(-n // pivots), BLOCK_VALUES // dim))
+
+
 def _usable(vec: Column) -> Column:
     """Vectors with a direction: no NULL or NaN inside, not empty, not all zero."""
     plain = ~F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -181,13 +189,15 @@ def _meet(blocks: DataFrame, packs: DataFrame, dim: int, k: int) -> DataFrame:
             for qids, bounds, queries, vids, unit in zip(*(c for c in b.columns)):
                 q, low, v = (np.frombuffer(x.as_buffer(), t) for x, t in ((qids, np.int64), (bounds, np.float64), (vids, np.int64)))
                 left, right = (np.frombuffer(x.as_buffer(), np.float64).reshape(-1, dim) for x in (queries, unit))
-                s = left @ right.T
-                row, col = np.nonzero(s >= (low - 2 * _TINY)[:, None])
-                score = s[row, col]
-                order = np.lexsort((v[col], -np.round(score, 9), row))
-                row, col, score = row[order], col[order], score[order]
-                keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-                yield pa.RecordBatch.from_arrays([pa.array(q[row[keep]]), pa.array(v[col[keep]]), pa.array(score[keep])], names=["q", "v", "cosine"])
+                step = max(1, PRODUCT // len(v))
+                for lo in range(0, len(q), step):
+                    s = left[lo:lo + step] @ right.T
+                    row, col = np.nonzero(s >= (low[lo:lo + step] - 2 * _TINY)[:, None])
+                    score = s[row, col]
+                    order = np.lexsort((v[col], -np.round(score, 9), row))
+                    row, col, score = row[order], col[order], score[order]
+                    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    yield pa.RecordBatch.from_arrays([pa.array(q[lo + row[keep]]), pa.array(v[col[keep]]), pa.array(score[keep])], names=["q", "v", "cosine"])
 
     return both.mapInArrow(run, "q long, v long, cosine double")
 
@@ -198,7 +208,7 @@ def _best(found: DataFrame, k: int, key: str = "q", other: str = "v") -> DataFra
 
 
 def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 20, queries: DataFrame | None = None, pivots: int = PIVOTS,
-                       block: int = BLOCK, sample_values: int = SAMPLE_VALUES) -> DataFrame:
+                       block: int | None = None, sample_values: int = SAMPLE_VALUES) -> DataFrame:
     """``id, neighbour_id, rank, cosine``: the exact top ``k`` rows of ``df`` by cosine for each row of ``queries`` (default: of ``df`` itself), by (cosine to nine digits, id).
 
     A row is no neighbour of its own id. NULL ids and vectors without a direction (NULL, empty, zero, NaN or infinite) neither ask nor
@@ -239,7 +249,7 @@ def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 20, qu
     counts = np.zeros((len(centre), BINS + 1), np.int64)
     for r in reps.mapInArrow(count, "cell long, bin long, n long").groupBy("cell", "bin").agg(F.sum("n").alias("n")).collect():  # pivots x bins at most
         counts[r["cell"], r["bin"]] = r["n"]
-    rings = Rings.build(centre, counts, block)
+    rings = Rings.build(centre, counts, block or block_size(int(counts.sum()), dim, len(centre)))
     blocks = cut_lineage(_blocks(reps, rings, dim))
     looked = cut_lineage(asked.mapInArrow(first_look, "vid long, vec array<double>, bound double"))
     near = cut_lineage(_best(_meet(blocks, _route(looked, rings, dim, home=True), dim, top), top))

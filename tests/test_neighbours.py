@@ -86,3 +86,18 @@ def test_donor_fill_takes_the_nearest_and_flags_poor_ones(spark):
     got = {r["id"]: (r["label"], r["__flagged__"], r["__flag_reason__"]) for r in R.donor_fill(df, "id", "vec", "label").collect()}
     assert got[3] == (10, False, None) and got[1] == (10, False, None)
     assert got[4] == (20, True, "imputation:label") and got[5] == (None, True, "imputation_failed:label")
+
+
+def test_blocks_grow_with_the_rows():
+    """A query travels once a block: their number stays near that of the pivots until a block is full."""
+    assert N.block_size(1000, 64, 32) == N.BLOCK
+    assert N.block_size(500_000, 64, 32) == 15_625
+    assert N.block_size(10 ** 9, 64, 32) * 64 == N.BLOCK_VALUES
+    assert N.block_size(10 ** 9, 4096, 32) == N.BLOCK
+
+
+def test_a_block_is_searched_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(N, "PRODUCT", 500)
+    x, ids = clustered(300, 8, 4), list(range(300))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], SCHEMA)
+    assert answers(N.nearest_neighbours(df, "id", "vec", k=5, pivots=2)) == brute(ids, x, 5)
