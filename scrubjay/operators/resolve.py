@@ -170,10 +170,12 @@ def shingle_hashes(df: DataFrame, id_col: str, text_col: str, k: int = 3, normal
     w = df.select(F.col(id_col).alias("id"), F.split(text, " ").alias("w"))
     n = F.size("w")
     starts = F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1)))
-    hs = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i, k), " ")))
+    # words go into the hash one after the other, past the end none: no string is built for a shingle
+    hs = F.transform(starts, lambda i: F.xxhash64(*[F.get(F.col("w"), i - 1 + j) for j in range(k)]))
     return w.select("id", F.array_distinct(hs).alias("hs"))
 
 
+_SHINGLES = 512
 _MIX1, _MIX2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -188,25 +190,31 @@ def minhash_signatures(hashes: DataFrame, num_hashes: int = 128, seed: int = 1)
     """``id, sig ARRAY<BIGINT>``: for each of ``num_hashes`` seeded mixes of the
     shingle hashes, the minimum over the document (Broder 1997).
 
-    A pandas UDF applies the 64-bit mixes to a (shingles x hashes) numpy
-    matrix per document, per Arrow batch; rows stay where they are.
+    The shingle hashes are 64 random bits already, so a mix is one odd multiple and a shift by a
+    constant. A pandas UDF applies all mixes to ``_SHINGLES`` shingles at a time; rows stay where they are.
     """
     from pyspark.sql.functions import pandas_udf
     from pyspark.sql.types import ArrayType, LongType
 
     ship_package(hashes.sparkSession)
-    seeds = _splitmix(np.arange(num_hashes, dtype=np.uint64) + np.uint64(seed * 1_000_003))
+    seeds = _splitmix(np.arange(2 * num_hashes, dtype=np.uint64) + np.uint64(seed * 1_000_003))
+    times, plus = seeds[:num_hashes, None] | np.uint64(1), seeds[num_hashes:, None]
 
     @pandas_udf(ArrayType(LongType()))
     def sig(col: pd.Series) -> pd.Series:
-        out = []
+        out, room = [], np.empty((num_hashes, _SHINGLES), np.uint64)
         with np.errstate(over="ignore"):
             for hs in col:
                 h = np.asarray(hs, dtype=np.int64).view(np.uint64)
                 if h.size == 0:
                     out.append(None)
                     continue
-                m = _splitmix(h[:, None] ^ seeds[None, :]).min(axis=0)
+                m = np.full(num_hashes, np.iinfo(np.uint64).max, np.uint64)
+                for lo in range(0, h.size, _SHINGLES):
+                    part = h[lo:lo + _SHINGLES]
+                    x = np.multiply(times, part, out=room[:, :part.size])
+                    x += plus
+                    np.minimum(m, x.min(axis=1), out=m)
                 out.append(m.view(np.int64))
         return pd.Series(out)
 
