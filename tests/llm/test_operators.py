@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -185,6 +186,17 @@ def test_gibbs_moves_keep_customers():
         assert (np.bincount(s.cell, weights=s.size, minlength=4) == c).all() and (s.size > 0).all() and (np.diff(s.cell) >= 0).all()
 
 
+def test_seating_memory():
+    n, base = 4000, np.full(4000, 1 / 4000)
+    tracemalloc.start()
+    s = pitman_yor.Seating(np.random.default_rng(1), np.zeros(n, np.int64), np.full(n, 300), np.ones(n), 1, 0.6, 50.0, base)
+    for _ in range(2):
+        s.move(base)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(s.size) > 100 * n and peak < 40 * len(s.size)  # bytes a table
+
+
 def test_language_model_hard_rows(hard, empty):
     got = pitman_yor.score_texts(hard, chains=1).collect()
     assert len(got) == len(HARD) and all(r["score"] < 0 for r in got) and {r["n_tokens"] for r in got if r["doc_id"] in (1, 2, 3)} == {1}
