@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from scrubjay.llm.textbytes import Chunk, chunks, mix, owners, span_hashes, window_hashes, word_bounds
 from scrubjay.operators.resolve import connected_components
-from scrubjay.session import cut_lineage, ship_package
+from scrubjay.session import cut_counted, cut_lineage, few_tasks, ship_package
 
 BANDS, ROWS = 42, 6
 STAR_ROUNDS = 4
@@ -55,6 +55,8 @@ FINE_MIN, FINE_WORDS = 173, 16
 TILE, UNIT_SHINGLES = 512, 2_000_000
 #: Ids that are broadcast at most (8 bytes each); beyond, the texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Pairs with both their sets that one task takes at least.
+PAIRS_A_TASK = 1024
 _U = np.uint64
 _EMPTY = np.iinfo(np.uint64).max
 
@@ -185,22 +187,23 @@ def _set_rows(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, hs binary")
 
 
-def _named_sets(named: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """``id, hs`` of the documents in ``named`` (distinct ids, checkpointed): their texts are hashed again."""
-    if named.count() <= BROADCAST_IDS:  # the texts need not be shuffled
+def _named_sets(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``id, hs`` of the documents in ``ids`` (distinct): their texts are hashed again."""
+    named, n = cut_counted(ids)
+    if n <= BROADCAST_IDS:  # the texts need not be shuffled
         named = F.broadcast(named)
     return _set_rows(texts.join(named, "id", "left_semi").select("id", "text"), width)
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets meet ``100 * intersection >= percent * union``.
+def _confirm(pairs: DataFrame, n: int, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of the ``n`` pairs whose full shingle sets meet ``100 * intersection >= percent * union``.
 
     Only the texts named by a pair are hashed again; each pair then fetches its two sets.
     """
-    named = cut_lineage(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    sets = _named_sets(named, texts, width)
-    j = (pairs.join(sets.select(F.col("id").alias("a"), F.col("hs").alias("ha")), "a")
-         .join(sets.select(F.col("id").alias("b"), F.col("hs").alias("hb")), "b").select("a", "b", "ha", "hb"))
+    named = few_tasks(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), 2 * n).distinct()
+    sets = _named_sets(few_tasks(named, 2 * n), texts, width)
+    j = few_tasks(pairs.join(sets.select(F.col("id").alias("a"), F.col("hs").alias("ha")), "a"), n, PAIRS_A_TASK)
+    j = few_tasks(j.join(sets.select(F.col("id").alias("b"), F.col("hs").alias("hb")), "b").select("a", "b", "ha", "hb"), n, PAIRS_A_TASK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,8 +340,10 @@ def links_in_tiles(placed: DataFrame, reps: DataFrame, texts: DataFrame, width:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), label)), pa.array(ids[at]), pa.array(comp[at]),
                                                   pa.array(list(partners.values()), pa.list_(pa.int64()))], names=["unit", "id", "comp", "partners"])
 
-    found = cut_lineage(rows.mapInArrow(candidates, "unit long, id long, comp long, partners array<long>"))
-    sets = _named_sets(cut_lineage(found.select("id").distinct()), texts, width)
+    found, n = cut_counted(rows.mapInArrow(candidates, "unit long, id long, comp long, partners array<long>"))
+    if not n:
+        return found.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    sets = _named_sets(few_tasks(found.select("id").distinct(), n), texts, width)
     full = found.join(sets, "id").select("unit", "id", "comp", "partners", "hs").repartition("unit").sortWithinPartitions("unit", "id")
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,12 +374,13 @@ def links_in_tiles(placed: DataFrame, reps: DataFrame, texts: DataFrame, width:
     return full.mapInArrow(confirmed, "a long, b long")
 
 
-def _merge(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """``id, comp`` after the links ``found`` (a, b): components are joined as nodes of a graph of their own."""
+def _merge(nodes: DataFrame, n: int, found: DataFrame) -> DataFrame:
+    """``id, comp`` of the ``n`` nodes after the links ``found`` (a, b): components are joined as nodes of a graph of their own."""
     ends = (found.join(nodes.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a")
             .join(nodes.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b"))
     label = connected_components(ends, "ca", "cb")
-    return cut_lineage(nodes.join(label, nodes["comp"] == label["node"], "left").select("id", F.coalesce("component", "comp").alias("comp")))
+    merged = nodes.join(label, nodes["comp"] == label["node"], "left").select("id", F.coalesce("component", "comp").alias("comp"))
+    return few_tasks(cut_lineage(few_tasks(merged, n)), n)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80,
@@ -390,42 +396,51 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = cut_lineage(real.groupBy("fp1", "fp2", "n_shingles").agg(
         F.min("id").alias("id"), F.count(F.lit(1)).alias("members"),
         *[F.first(k).alias(k) for k in ("s0", "s1", "s2", "s3", "bands", "fine")]))
-    sketch = reps.select("id", "n_shingles", "s0", "s1", "s2", "s3")
     entries = reps.select("id", F.explode("bands").alias("key"))
 
-    # round 1: stars
+    # round 1: stars; what follows reads the members of shared buckets alone, and each table in no more tasks than it needs
     centres = entries.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "centre")
-    crowded = cut_lineage(entries.join(centres, "key"))
-    star = crowded.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    star = (star.join(sketch.select(F.col("id").alias("a"), F.struct("*").alias("x")), "a")
-            .join(sketch.select(F.col("id").alias("b"), F.struct("*").alias("y")), "b")
-            .filter(_sketch("x", "y", percent)).select("a", "b"))
-    links = cut_lineage(_confirm(cut_lineage(star), texts, width, percent))
+    crowded, n = cut_counted(entries.join(centres, "key"))
+    nodes, n_nodes = cut_counted(few_tasks(crowded.select("id").distinct(), n))
+    sketch = cut_lineage(reps.select("id", "n_shingles", "s0", "s1", "s2", "s3").join(nodes, "id", "left_semi"))
+    sketch = few_tasks(sketch, n_nodes)
+
+    def alike(star: DataFrame) -> DataFrame:
+        return few_tasks(few_tasks(star.join(sketch.select(F.col("id").alias("a"), F.struct("*").alias("x")), "a"), n)
+                         .join(sketch.select(F.col("id").alias("b"), F.struct("*").alias("y")), "b"), n).filter(_sketch("x", "y", percent))
+
+    star = few_tasks(crowded.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), n)
+    links, _ = cut_counted(_confirm(*cut_counted(alike(star).select("a", "b")), texts, width, percent))
+    nodes = nodes.join(connected_components(links, "a", "b").withColumnRenamed("node", "id"), "id", "left").select(
+        "id", F.coalesce("component", "id").alias("comp"))
+    nodes = few_tasks(cut_lineage(few_tasks(nodes, n_nodes)), n_nodes)
 
     # more stars: only between components, from another centre in each bucket; two members alone have met
-    nodes = cut_lineage(crowded.select("id").distinct().join(connected_components(links, "a", "b").withColumnRenamed("node", "id"), "id", "left")
-                        .select("id", F.coalesce("component", "id").alias("comp")))
-    placed = crowded.select("key", "id").join(nodes, "id")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
-    crowded = cut_lineage(placed.join(mixed.filter("lo <> hi and n > 2").select("key"), "key").select("key", "id"))
-    for r in range(STAR_ROUNDS):
-        placed = crowded.join(nodes, "id")
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(
-            F.struct(F.xxhash64("key", "id", F.lit(r)).alias("draw"), "id", "comp")).alias("c")).filter("lo <> hi").select("key", "c")
-        star = placed.join(mixed, "key").filter("comp <> c.comp").select(
-            F.col("c.id").alias("a"), F.col("id").alias("b"), F.col("c.comp").alias("ca"), F.col("comp").alias("cb")).distinct()
-        star = (star.join(sketch.select(F.col("id").alias("a"), F.struct("*").alias("x")), "a")
-                .join(sketch.select(F.col("id").alias("b"), F.struct("*").alias("y")), "b").filter(_sketch("x", "y", percent)))
+    for r in range(STAR_ROUNDS + 1):
+        placed = few_tasks(crowded.select("key", "id").join(nodes, "id"), n)
+        mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), F.min(
+            F.struct(F.xxhash64("key", "id", F.lit(r)).alias("draw"), "id", "comp")).alias("c")).filter("lo <> hi and n > 2").select("key", "c")
+        crowded, n = cut_counted(few_tasks(placed.join(mixed, "key").select("key", "id", "comp", "c"), n))
+        if not n or r == STAR_ROUNDS:
+            break
+        star = few_tasks(crowded.filter("comp <> c.comp").select(
+            F.col("c.id").alias("a"), F.col("id").alias("b"), F.col("c.comp").alias("ca"), F.col("comp").alias("cb")).distinct(), n)
         # two components need one link: try their most alike pair
-        best = star.groupBy(F.least("ca", "cb").alias("c1"), F.greatest("ca", "cb").alias("c2")).agg(
+        best = alike(star).groupBy(F.least("ca", "cb").alias("c1"), F.greatest("ca", "cb").alias("c2")).agg(
             F.min(F.struct(_differ("x", "y").alias("d"), "a", "b")).alias("p"))
-        found = cut_lineage(_confirm(cut_lineage(best.select("p.a", "p.b")), texts, width, percent))
-        if found.limit(1).count() == 0:
+        pairs, n_pairs = cut_counted(few_tasks(best.select("p.a", "p.b"), n))
+        if not n_pairs:
+            break
+        found, n_found = cut_counted(_confirm(pairs, n_pairs, texts, width, percent))
+        if not n_found:
             break
-        nodes = _merge(nodes, found)
+        nodes = _merge(nodes, n_nodes, found)
 
     # what is left: members of different components that still share a bucket
-    nodes = _merge(nodes, cut_lineage(links_in_tiles(crowded.join(nodes, "id"), reps, texts, width, percent).distinct()))
+    if n:
+        found, n_found = cut_counted(links_in_tiles(crowded.select("key", "id", "comp"), reps, texts, width, percent).distinct())
+        if n_found:
+            nodes = _merge(nodes, n_nodes, found)
 
     # class members take the component of their representative; a class of one that
     # no link reached is its own component and needs no join partner
@@ -442,5 +457,7 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Every row of a kept id stays, and so do rows with a null id.
     """
     found = near_duplicates(docs, id_col, text_col, **params)
-    gone = found.filter(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
+    gone, n = cut_counted(found.filter(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct())
+    if n <= BROADCAST_IDS:  # the texts need not be shuffled
+        gone = F.broadcast(gone)
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

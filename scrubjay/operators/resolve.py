@@ -32,7 +32,7 @@ from scrubjay.functions.similarity import cosine_sim, exact_sim, jaro_winkler, l
 from scrubjay.functions.text import normalize_ws
 from scrubjay.operators.neighbours import nearest_neighbours
 from scrubjay.operators.string_joins import edit_candidates, jaro_winkler_candidates
-from scrubjay.session import cut_lineage, ship_package, spread
+from scrubjay.session import cut_counted, cut_lineage, few_tasks, ship_package, spread
 
 # ---------------------------------------------------------------- values
 
@@ -85,7 +85,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Alternating large-star / small-star rounds (Kiveris et al., 2014): each
     round is two grouped minima and two joins; every round is cut by a
     reliable checkpoint to the shared checkpoint folder, so lost executors
-    re-read the last round instead of replaying the lineage.
+    re-read the last round instead of replaying the lineage. The edges are
+    counted each round and take no more tasks than their number needs.
 
     The fixpoint is a set of stars rooted at component minima: every child has
     exactly one parent and no parent is itself a child. Both halves are tested
@@ -96,22 +97,23 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     e = (edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v"))
          .filter(F.col("u") != F.col("v"))
          .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    e = cut_lineage(e)
+    e, n = cut_counted(e)
     for _ in range(max_rounds):
         if _is_star_forest(e):
             return _star_labels(e)
         # large star: every node links its larger neighbours to its neighbourhood minimum
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = few_tasks(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), 2 * n)
         m = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e = (both.join(m, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = (few_tasks(both.join(m, "u"), 2 * n).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
              .filter(F.col("u") != F.col("v")).distinct())
+        e = few_tasks(e, 2 * n)
         # small star: every node links itself and its smaller neighbours to their minimum
-        m2 = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = (e.join(m2, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-             .unionByName(m2.select(F.col("u"), F.col("m").alias("v")))
-             .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        m2 = few_tasks(e.groupBy("u").agg(F.min("v").alias("m")), 2 * n)
+        e = few_tasks(e.join(m2, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                      .unionByName(m2.select(F.col("u"), F.col("m").alias("v"))), 2 * n)
+        e = (e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
              .filter(F.col("u") != F.col("v")).distinct())
-        e = cut_lineage(e)
+        e, n = cut_counted(few_tasks(e, 2 * n))
     raise RuntimeError(f"connected_components: no fixpoint after {max_rounds} rounds")
 
 

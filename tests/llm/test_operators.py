@@ -122,6 +122,27 @@ def test_near_duplicates_in_tiles(spark, monkeypatch, tile, shingles, rounds):
     assert both[100] == both[3] == min(want[100][1], want[3][1])
 
 
+def test_near_duplicates_take_few_tasks(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    data = spark.createDataFrame([(i, f"{text} x{i} y{i}" if i % 2 else " ".join(f"v{i}x{k}" for k in range(20))) for i in range(200)], "doc_id long, text string")
+    conf = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("few tasks", "near duplicates")
+        kept = {r["doc_id"] for r in near_dedup.keep_representatives(data).collect()}
+        status = spark.sparkContext.statusTracker()
+        stages = {s for job in status.getJobIdsForGroup("few tasks") for s in status.getJobInfo(job).stageIds}
+        tasks = sum(info.numCompletedTasks for s in stages if (info := status.getStageInfo(s)))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert kept == {1, *range(0, 200, 2)}
+    assert tasks < 48 * 30, tasks
+
+
 def test_near_duplicates_hard_rows(hard, empty):
     got = near_dedup.near_duplicates(hard, width=2).collect()
     assert len(got) == len(HARD)
