@@ -14,9 +14,10 @@ banded buckets and star-shaped candidate edges, confirmed on the full sets.
    their square.
 4. A star misses a pair of which neither is the centre. So buckets that still hold more
    than one component get further stars from other centres, of which each pair of components
-   tries its most alike pair; when those find nothing more, or after ``STAR_ROUNDS``, the rest gets an
+   tries its most alike pair; when a round joins fewer than one in ``POOR_ROUND`` of its pairs, or after ``STAR_ROUNDS``, the rest gets an
    exact look in tiles (``links_in_tiles``): the members of a bucket outside its largest component meet one another and that
-   component, ``TILE`` against ``TILE`` rows in a task. Pairs across components that pass a coarse (252 bits) and a fine
+   component, tile against tile in a task. Tiles grow with the bucket, so a member has about ``TILES`` copies whatever the
+   bucket's size, up to ``TILES * MOST_TILES * TILE`` members; only the comparisons inside a task go by the square. Pairs across components that pass a coarse (252 bits) and a fine
    (252 times 4 bits) sketch test stay in the task, in lists by member, each pair in its first shared bucket; then the full sets of these members
    meet in the same tiles, and only confirmed links leave. No join emits candidate pairs, whatever the bucket.
 5. Every pair is confirmed on the two full shingle sets by
@@ -51,8 +52,12 @@ BANDS, ROWS = 42, 6
 STAR_ROUNDS = 4
 SKETCH_MIN = 202
 FINE_MIN, FINE_WORDS = 173, 16
+#: A round of stars that joins fewer than one in this many of the pairs it tries is the last.
+POOR_ROUND = 50
 #: Members of a tile, and shingles (8 bytes each) whose sets one task holds at a time (more if two sets alone exceed it).
 TILE, UNIT_SHINGLES = 512, 2_000_000
+#: Tiles of a bucket with more than ``TILES * TILE`` members; they are up to ``MOST_TILES`` times larger (370 bytes a member), then more.
+TILES, MOST_TILES = 8, 64
 #: Ids that are broadcast at most (8 bytes each); beyond, the texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Pairs with both their sets that one task takes at least.
@@ -235,12 +240,13 @@ def _units(placed: DataFrame) -> DataFrame:
     """``key, id, comp, unit, side`` for the members (``key, id, comp``) of buckets that hold several components.
 
     A bucket of up to ``TILE`` members is one unit (side 2: all meet all). In a larger one the members of the most frequent component and the
-    others are dealt into tiles; the others' tiles meet one another and each tile of that component (side 0 meets side 1).
+    others are dealt into tiles; the others' tiles meet one another and each tile of that component (side 0 meets side 1). Tiles of a large bucket are larger, not more.
     """
     sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
         F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1 and n > 2")
     is_main = F.col("comp") == F.col("main.comp")
-    others, mains = (F.ceil(x / F.lit(TILE)).cast("int") for x in (F.col("n") - F.col("main.n"), F.col("main.n")))
+    size = F.least(F.lit(MOST_TILES * TILE), F.greatest(F.lit(TILE), F.ceil(F.col("n") / F.lit(TILES))))
+    others, mains = (F.ceil(x / size).cast("int") for x in (F.col("n") - F.col("main.n"), F.col("main.n")))
     m = (placed.join(sizes, "key").withColumn("others", others).withColumn("mains", mains)
          .withColumn("t", F.pmod(F.xxhash64("id", F.lit("tile")), F.when(is_main, F.col("mains")).otherwise(F.col("others"))).cast("int")))
 
@@ -278,32 +284,42 @@ def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
 
 
-def _unit_pairs(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the pairs of a unit that the sketches cannot tell from a link, each in its first shared bucket."""
+def _unit_pairs(t: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the pairs of a unit that the sketches cannot tell from a link, each in its first shared bucket.
+
+    ``TILE`` rows meet ``TILE`` rows at a time; what they give is gathered up to ``TILE ** 2`` pairs or more.
+    """
     n = t.num_rows
     side, comp, size = (t[c].to_numpy() for c in ("side", "comp", "n_shingles"))
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    x, y = left[:, None], right[None, :]
-    open_ = (comp[x] != comp[y]) & ((side[x] != side[y]) | (x < y))
-    open_ &= 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
-    i, j = np.nonzero(open_)
-    i, j = left[i], right[j]
     sketch, fine, bands = _matrix(t["sketch"], n).view(np.uint64), _matrix(t["fine"], n).view(np.uint64), _matrix(t["bands"], n)
     key, low = t["key"].to_numpy() >> 32, _U(0x1111111111111111)
-    out = []
-    for lo in range(0, len(i), 1 << 15):
-        a, b = i[lo:lo + (1 << 15)], j[lo:lo + (1 << 15)]
-        ok = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1) <= 252 - SKETCH_MIN
-        a, b = a[ok], b[ok]
-        z = fine[a] ^ fine[b]
-        z |= z >> _U(1)
-        z |= z >> _U(2)
-        ok = np.bitwise_count(z & low).sum(axis=1) <= 252 - FINE_MIN
-        a, b = a[ok], b[ok]
-        same = bands[a] == bands[b]
-        ok = bands[a, same.argmax(axis=1)] == key[a]
-        out.append((a[ok], b[ok]))
-    return tuple(np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out) if out else ((), ())))
+    lefts, rights = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    held, n_held = [], 0
+    for left in (lefts[k:k + TILE] for k in range(0, len(lefts), TILE)):
+        for right in (rights[k:k + TILE] for k in range(0, len(rights), TILE)):
+            x, y = left[:, None], right[None, :]
+            open_ = (comp[x] != comp[y]) & ((side[x] != side[y]) | (x < y))
+            open_ &= 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
+            i, j = np.nonzero(open_)
+            i, j = left[i], right[j]
+            for lo in range(0, len(i), 1 << 15):
+                a, b = i[lo:lo + (1 << 15)], j[lo:lo + (1 << 15)]
+                ok = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1) <= 252 - SKETCH_MIN
+                a, b = a[ok], b[ok]
+                z = fine[a] ^ fine[b]
+                z |= z >> _U(1)
+                z |= z >> _U(2)
+                ok = np.bitwise_count(z & low).sum(axis=1) <= 252 - FINE_MIN
+                a, b = a[ok], b[ok]
+                same = bands[a] == bands[b]
+                ok = bands[a, same.argmax(axis=1)] == key[a]
+                held.append((a[ok], b[ok]))
+                n_held += len(held[-1][0])
+            if n_held >= TILE ** 2:
+                yield tuple(np.concatenate(c) for c in zip(*held))
+                held, n_held = [], 0
+    if n_held:
+        yield tuple(np.concatenate(c) for c in zip(*held))
 
 
 def links_in_tiles(placed: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -318,27 +334,27 @@ def links_in_tiles(placed: DataFrame, reps: DataFrame, texts: DataFrame, width:
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_unit(batches):
-            i, j = _unit_pairs(t, percent)
-            if not len(i):
-                continue
             ids, comp, size, unit = (t[c].to_numpy() for c in ("id", "comp", "n_shingles", "unit"))
-            part, weight, seen, cuts = 0, 0, set(), [0]
-            if size[np.unique(np.concatenate([i, j]))].sum() > UNIT_SHINGLES:
-                for k, pair in enumerate(zip(i.tolist(), j.tolist())):
-                    new = [r for r in pair if r not in seen]
-                    if seen and weight + sum(size[r] for r in new) > UNIT_SHINGLES:
-                        cuts.append(k)
-                        weight, seen, new = 0, set(), list(pair)
-                    seen.update(new)
-                    weight += int(sum(size[r] for r in new))
-            for part, (lo, hi) in enumerate(zip(cuts, [*cuts[1:], len(i)])):
-                partners: dict[int, list[int]] = {r: [] for r in np.unique(np.concatenate([i[lo:hi], j[lo:hi]])).tolist()}
-                for r, q in zip(i[lo:hi].tolist(), j[lo:hi].tolist()):
-                    partners[r].append(int(ids[q]))
-                at = np.array(list(partners), np.int64)
-                label = mix(unit[:1].view(np.uint64) + _U(part)).view(np.int64)[0]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), label)), pa.array(ids[at]), pa.array(comp[at]),
-                                                  pa.array(list(partners.values()), pa.list_(pa.int64()))], names=["unit", "id", "comp", "partners"])
+            part = 0
+            for i, j in _unit_pairs(t, percent):
+                weight, seen, cuts = 0, set(), [0]
+                if size[np.unique(np.concatenate([i, j]))].sum() > UNIT_SHINGLES:
+                    for k, pair in enumerate(zip(i.tolist(), j.tolist())):
+                        new = [r for r in pair if r not in seen]
+                        if seen and weight + sum(size[r] for r in new) > UNIT_SHINGLES:
+                            cuts.append(k)
+                            weight, seen, new = 0, set(), list(pair)
+                        seen.update(new)
+                        weight += int(sum(size[r] for r in new))
+                for lo, hi in zip(cuts, [*cuts[1:], len(i)]):
+                    partners: dict[int, list[int]] = {r: [] for r in np.unique(np.concatenate([i[lo:hi], j[lo:hi]])).tolist()}
+                    for r, q in zip(i[lo:hi].tolist(), j[lo:hi].tolist()):
+                        partners[r].append(int(ids[q]))
+                    at = np.array(list(partners), np.int64)
+                    label = mix(unit[:1].view(np.uint64) + _U(part)).view(np.int64)[0]
+                    part += 1
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), label)), pa.array(ids[at]), pa.array(comp[at]),
+                                                      pa.array(list(partners.values()), pa.list_(pa.int64()))], names=["unit", "id", "comp", "partners"])
 
     found, n = cut_counted(rows.mapInArrow(candidates, "unit long, id long, comp long, partners array<long>"))
     if not n:
@@ -399,7 +415,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries = reps.select("id", F.explode("bands").alias("key"))
 
     # round 1: stars; what follows reads the members of shared buckets alone, and each table in no more tasks than it needs
-    centres = entries.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "centre")
+    centres = entries.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "centre", (F.col("n") > 2).alias("many"))
     crowded, n = cut_counted(entries.join(centres, "key"))
     nodes, n_nodes = cut_counted(few_tasks(crowded.select("id").distinct(), n))
     sketch = cut_lineage(reps.select("id", "n_shingles", "s0", "s1", "s2", "s3").join(nodes, "id", "left_semi"))
@@ -416,10 +432,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = few_tasks(cut_lineage(few_tasks(nodes, n_nodes)), n_nodes)
 
     # more stars: only between components, from another centre in each bucket; two members alone have met
+    crowded, last = crowded.filter("many"), None
     for r in range(STAR_ROUNDS + 1):
-        placed = few_tasks(crowded.select("key", "id").join(nodes, "id"), n)
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), F.min(
-            F.struct(F.xxhash64("key", "id", F.lit(r)).alias("draw"), "id", "comp")).alias("c")).filter("lo <> hi and n > 2").select("key", "c")
+        # read twice below, so the join is not left to run twice
+        placed = few_tasks(cut_lineage(few_tasks(crowded.select("key", "id").join(nodes, "id"), n)), n)
+        mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(
+            F.struct(F.xxhash64("key", "id", F.lit(r)).alias("draw"), "id", "comp")).alias("c")).filter("lo <> hi").select("key", "c")
         crowded, n = cut_counted(few_tasks(placed.join(mixed, "key").select("key", "id", "comp", "c"), n))
         if not n or r == STAR_ROUNDS:
             break
@@ -434,11 +452,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found, n_found = cut_counted(_confirm(pairs, n_pairs, texts, width, percent))
         if not n_found:
             break
+        if n_found * POOR_ROUND < n_pairs:  # the tiles look at all of these buckets anyway
+            last = found
+            break
         nodes = _merge(nodes, n_nodes, found)
 
     # what is left: members of different components that still share a bucket
     if n:
-        found, n_found = cut_counted(links_in_tiles(crowded.select("key", "id", "comp"), reps, texts, width, percent).distinct())
+        found = links_in_tiles(crowded.select("key", "id", "comp"), reps, texts, width, percent)
+        found, n_found = cut_counted((found.unionByName(last) if last is not None else found).distinct())
         if n_found:
             nodes = _merge(nodes, n_nodes, found)
 

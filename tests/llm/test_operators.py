@@ -122,6 +122,35 @@ def test_near_duplicates_in_tiles(spark, monkeypatch, tile, shingles, rounds):
     assert both[100] == both[3] == min(want[100][1], want[3][1])
 
 
+def test_links_of_the_last_star_round_count(spark, monkeypatch):
+    """A round that joins few of its pairs is the last; what it found is merged with what the tiles find."""
+    monkeypatch.setattr(near_dedup, "POOR_ROUND", 10 ** 9)
+    merges, merge = [], near_dedup._merge
+    monkeypatch.setattr(near_dedup, "_merge", lambda *a: merges.append(a[2].count()) or merge(*a))
+    rows = edited_family(150)
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), width=2)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_components(rows, 2)
+    assert len(merges) == 1 and merges[0] > 0
+
+
+@pytest.mark.parametrize("main", [0.0, 0.5, 0.9])
+def test_copies_in_tiles_do_not_grow_with_the_bucket(spark, monkeypatch, main):
+    """A member has as many copies in a bucket of 1,600 as in one of 400, and all members of different components meet."""
+    monkeypatch.setattr(near_dedup, "TILE", 8)
+    copies = {}
+    for n in (400, 1600):
+        comp = [-1 if i < main * n else i for i in range(n)]
+        placed = spark.createDataFrame([(7, i, c) for i, c in enumerate(comp)], "key long, id long, comp long")
+        units = collections.defaultdict(list)
+        for r in near_dedup._units(placed).collect():
+            units[r["unit"]].append((r["id"], r["side"]))
+        copies[n] = sum(map(len, units.values())) / n
+        if n == 400:
+            met = {(min(a, b), max(a, b)) for u in units.values() for a, x in u for b, y in u if a != b and (x != y or x == 2)}
+            assert all((a, b) in met for b in range(n) for a in range(b) if comp[a] != comp[b])
+    assert copies[1600] <= 1.3 * copies[400] and copies[1600] < 12, copies
+
+
 def test_near_duplicates_take_few_tasks(spark):
     text = " ".join(f"w{k}" for k in range(60))
     data = spark.createDataFrame([(i, f"{text} x{i} y{i}" if i % 2 else " ".join(f"v{i}x{k}" for k in range(20))) for i in range(200)], "doc_id long, text string")
