@@ -124,7 +124,7 @@ def test_near_duplicates_in_tiles(spark, monkeypatch, tile, shingles, rounds):
 
 def test_links_of_the_last_star_round_count(spark, monkeypatch):
     """A round that joins few of its pairs is the last; what it found is merged with what the tiles find."""
-    monkeypatch.setattr(near_dedup, "POOR_ROUND", 10 ** 9)
+    monkeypatch.setattr(near_dedup, "POOR_ROUND", 0)  # no round joins enough
     merges, merge = [], near_dedup._merge
     monkeypatch.setattr(near_dedup, "_merge", lambda *a: merges.append(a[2].count()) or merge(*a))
     rows = edited_family(150)
