@@ -5,11 +5,13 @@ Angles between unit vectors are a metric, so for a pivot p, a query q and a vect
 1. Equal vectors collapse to one (smallest id), whatever their number; only vectors with a direction take part.
 2. ``PIVOTS`` pivots are fitted on a bounded sample (spherical k-means). Each vector belongs to its nearest pivot and lies in a
    ring, a bin of its angle to it. Neighbouring rings of a cell are merged, and full ones are split by id, into blocks of ``BLOCK`` vectors, or of a
-   pivot's share of all vectors up to ``BLOCK_VALUES`` numbers: a query travels once for each block it needs, so there are no more blocks than that takes.
+   pivot's share of all vectors up to ``BLOCK_VALUES`` numbers.
    The table of rings is bounded by pivots and bins, so it can travel with the tasks; blocks grow with the rows.
 3. A query first searches the sample and its own block. The k-th best cosine seen there bounds its answer; then it visits only
-   the blocks whose ring may hold something at least as good. Queries travel in packs to packed blocks, one matrix product for each
-   meeting, and only what beats the bound comes back.
+   the blocks whose ring may hold something at least as good. Packs of queries meet packed blocks, one matrix product for each
+   meeting, and only what beats the bound comes back. For its own block a query is sent once; for all others nothing is sent: packs and blocks lie in
+   the checkpoint folder, and a task reads some packs and at most about ``SHELF_VALUES`` numbers of blocks, so disk grows with the rows, also where the meetings
+   grow with their square.
 
 Every pruned block is provably too far away, so the result is exact: recall is 1 at any size. What depends on the data is the work: clustered vectors
 visit few blocks, vectors without any structure (independent directions in many dimensions) visit them all, in blocks, as an exhaustive search would.
@@ -31,6 +33,7 @@ PIVOTS = 32
 BINS = 201  # rings of 1/64 radian
 BLOCK = 4096
 BLOCK_VALUES = 1 << 20  # numbers in a block at most, if it is to hold more than BLOCK vectors
+SHELF_VALUES = 1 << 23  # numbers in the blocks that a task reads beside packs
 PRODUCT = 1 << 22  # cosines at a time
 PACK = 1024  # queries that travel together
 SAMPLE_VALUES = 1 << 19  # numbers in the sample: 8192 vectors of 64 dimensions
@@ -159,8 +162,8 @@ def _blocks(reps: DataFrame, rings: Rings, dim: int) -> DataFrame:
     return placed.groupBy("block").applyInArrow(pack, "block long, vids binary, unit binary")
 
 
-def _route(queries: DataFrame, rings: Rings, dim: int, home: bool) -> DataFrame:
-    """``block, qids, bounds, queries``: packs of queries (``vid, vec, bound``) for their own block, or for all others that they need."""
+def _route(queries: DataFrame, rings: Rings, dim: int) -> DataFrame:
+    """``block, qids, bounds, queries``: packs of queries (``vid, vec, bound``) for their own block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -169,19 +172,55 @@ def _route(queries: DataFrame, rings: Rings, dim: int, home: bool) -> DataFrame:
                 ids, unit, bound = np.asarray(b.column(0)), unit_rows(b.column(1), dim), np.asarray(b.column(2))
                 ring, part = rings.home(unit, ids)
                 wanted = [(r, p, np.flatnonzero((ring == r) & (part == p))) for r, p in sorted(set(zip(ring.tolist(), part.tolist())))]
-                if not home:
-                    need = rings.needed(unit, bound)
-                    wanted = [(r, p, np.flatnonzero(need[:, r] & ~((ring == r) & (part == p)))) for r in np.flatnonzero(need.any(axis=0)).tolist() for p in range(rings.parts[r])]
-                rows = [(r << 32 | p, ids[at].tobytes(), bound[at].tobytes(), unit[at].tobytes()) for r, p, at in wanted if len(at)]
-                if rows:
-                    block, *raw = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), *[pa.array(x, pa.binary()) for x in raw]], names=["block", "qids", "bounds", "queries"])
+                block, *raw = zip(*[(r << 32 | p, ids[at].tobytes(), bound[at].tobytes(), unit[at].tobytes()) for r, p, at in wanted])
+                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), *[pa.array(x, pa.binary()) for x in raw]], names=["block", "qids", "bounds", "queries"])
 
     return queries.mapInArrow(run, "block long, qids binary, bounds binary, queries binary")
 
 
+def _packs(queries: DataFrame, rings: Rings, dim: int) -> DataFrame:
+    """``need, qids, bounds, queries``: packs of queries (``vid, vec, bound``) and the blocks that any of them needs beside its own.
+
+    Queries of one block lie side by side, for they need much the same.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, unit, bound = np.asarray(b.column(0)), unit_rows(b.column(1), dim), np.asarray(b.column(2))
+            ring, part = rings.home(unit, ids)
+            order = np.lexsort((part, ring))
+            for at in (order[lo:lo + PACK] for lo in range(0, len(order), PACK)):
+                need = rings.needed(unit[at], bound[at])
+                wanted = [r << 32 | p for r in np.flatnonzero(need.any(axis=0)).tolist() for p in range(rings.parts[r])
+                          if (need[:, r] & ~((ring[at] == r) & (part[at] == p))).any()]
+                raw = [pa.array([x[at].tobytes()], pa.binary()) for x in (ids, bound, unit)]
+                yield pa.RecordBatch.from_arrays([pa.array([wanted], pa.list_(pa.int64())), *raw], names=["need", "qids", "bounds", "queries"])
+
+    return queries.mapInArrow(run, "need array<long>, qids binary, bounds binary, queries binary")
+
+
+def _first(row: np.ndarray, v: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best of each row, by row."""
+    order = np.lexsort((v, -np.round(score, 9), row))
+    row, v, score = row[order], v[order], score[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], v[keep], score[keep]
+
+
+def _beat(left: np.ndarray, right: np.ndarray, low: np.ndarray, v: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of ``left`` with up to ``k`` best of ``right`` (ids ``v``) each, at or above the rows' bounds; some rows at a time."""
+    step = max(1, PRODUCT // len(v))
+    for lo in range(0, len(left), step):
+        s = left[lo:lo + step] @ right.T
+        row, col = np.nonzero(s >= (low[lo:lo + step] - 2 * _TINY)[:, None])
+        row, near, score = _first(row, v[col], s[row, col], k)
+        yield lo + row, near, score
+
+
 def _meet(blocks: DataFrame, packs: DataFrame, dim: int, k: int) -> DataFrame:
-    """``q, v, cosine``: up to ``k`` best vectors of each block for each query of a pack, at or above its bound."""
+    """``q, v, cosine``: up to ``k`` best vectors of its own block for each query of a pack, at or above its bound."""
     both = packs.join(blocks, "block").select("qids", "bounds", "queries", "vids", "unit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,15 +228,54 @@ def _meet(blocks: DataFrame, packs: DataFrame, dim: int, k: int) -> DataFrame:
             for qids, bounds, queries, vids, unit in zip(*(c for c in b.columns)):
                 q, low, v = (np.frombuffer(x.as_buffer(), t) for x, t in ((qids, np.int64), (bounds, np.float64), (vids, np.int64)))
                 left, right = (np.frombuffer(x.as_buffer(), np.float64).reshape(-1, dim) for x in (queries, unit))
-                step = max(1, PRODUCT // len(v))
-                for lo in range(0, len(q), step):
-                    s = left[lo:lo + step] @ right.T
-                    row, col = np.nonzero(s >= (low[lo:lo + step] - 2 * _TINY)[:, None])
-                    score = s[row, col]
-                    order = np.lexsort((v[col], -np.round(score, 9), row))
-                    row, col, score = row[order], col[order], score[order]
-                    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-                    yield pa.RecordBatch.from_arrays([pa.array(q[lo + row[keep]]), pa.array(v[col[keep]]), pa.array(score[keep])], names=["q", "v", "cosine"])
+                for row, near, score in _beat(left, right, low, v, k):
+                    yield pa.RecordBatch.from_arrays([pa.array(q[row]), pa.array(near), pa.array(score)], names=["q", "v", "cosine"])
+
+    return both.mapInArrow(run, "q long, v long, cosine double")
+
+
+class _Search:
+    """A pack that meets blocks one after the other: the best vectors so far, and the bounds they give."""
+
+    def __init__(self, qids: pa.Scalar, bounds: pa.Scalar, queries: pa.Scalar, rings: Rings, dim: int, k: int):
+        self.q, self.k = np.frombuffer(qids.as_buffer(), np.int64), k
+        self.low, self.unit = np.frombuffer(bounds.as_buffer(), np.float64).copy(), np.frombuffer(queries.as_buffer(), np.float64).reshape(-1, dim)
+        self.need = rings.needed(self.unit, self.low)
+        ring, part = rings.home(self.unit, self.q)
+        self.home = ring << 32 | part
+        self.found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def meet(self, block: int, v: np.ndarray, right: np.ndarray) -> None:
+        at = np.flatnonzero(self.need[:, block >> 32] & (self.home != block))
+        for row, near, score in _beat(self.unit[at], right, self.low[at], v, self.k):
+            row, near, score = _first(*(np.concatenate(x) for x in zip(self.found, (at[row], near, score))), self.k)
+            self.found = row, near, score
+            last = np.flatnonzero(np.arange(len(row)) - np.searchsorted(row, row) == self.k - 1)
+            self.low[row[last]] = np.maximum(self.low[row[last]], score[last])
+
+    def rows(self) -> pa.RecordBatch:
+        row, near, score = self.found
+        return pa.RecordBatch.from_arrays([pa.array(self.q[row]), pa.array(near), pa.array(score)], names=["q", "v", "cosine"])
+
+
+def _search(blocks: DataFrame, packs: DataFrame, rings: Rings, dim: int, k: int) -> DataFrame:
+    """``q, v, cosine``: up to ``k`` best vectors of the other blocks that a query needs, once for each partition of ``blocks``.
+
+    Packs and blocks have a row for thousands of vectors each; both are read from checkpoints, pair by pair of partitions, and nothing is shuffled.
+    """
+    both = packs.join(blocks, F.array_contains("need", F.col("block"))).select("qids", "bounds", "queries", "block", "vids", "unit")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, now = None, b""
+        for b in batches:
+            for qids, bounds, queries, block, vids, unit in zip(*(c for c in b.columns)):
+                if at is None or now != qids.as_buffer()[:8].to_pybytes():
+                    if at is not None:
+                        yield at.rows()
+                    at, now = _Search(qids, bounds, queries, rings, dim, k), qids.as_buffer()[:8].to_pybytes()
+                at.meet(block.as_py(), np.frombuffer(vids.as_buffer(), np.int64), np.frombuffer(unit.as_buffer(), np.float64).reshape(-1, dim))
+        if at is not None:
+            yield at.rows()
 
     return both.mapInArrow(run, "q long, v long, cosine double")
 
@@ -223,7 +301,8 @@ def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 20, qu
     if len(set(sizes)) > 1:
         raise ValueError(f"vectors of different lengths, {min(sizes)} to {max(sizes)}")
     dim, top = (sizes[0] if sizes else 1), k + 1  # one more: a row may meet itself
-    taken = reps.orderBy(F.xxhash64("vid"), "vid").limit(max(256, sample_values // dim)).collect()
+    drawn = reps.select("vid", F.xxhash64("vid").alias("h")).orderBy("h", "vid").limit(max(256, sample_values // dim))  # ids only: each task sends as many
+    taken = sorted(reps.join(F.broadcast(drawn), "vid").select("h", "vid", "vec").collect())
     if not taken:
         return spark.createDataFrame([], "id long, neighbour_id long, rank int, cosine double")
     sample = unit_rows(pa.array([r["vec"] for r in taken], pa.list_(pa.float64())), dim)
@@ -252,10 +331,13 @@ def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 20, qu
     rings = Rings.build(centre, counts, block or block_size(int(counts.sum()), dim, len(centre)))
     blocks = cut_lineage(_blocks(reps, rings, dim))
     looked = cut_lineage(asked.mapInArrow(first_look, "vid long, vec array<double>, bound double"))
-    near = cut_lineage(_best(_meet(blocks, _route(looked, rings, dim, home=True), dim, top), top))
+    near = cut_lineage(_best(_meet(blocks, _route(looked, rings, dim), dim, top), top))
     better = near.filter(F.col("place") == top).select(F.col("q").alias("vid"), F.col("cosine").alias("seen"))
     looked = looked.join(better, "vid", "left").select("vid", "vec", F.greatest("bound", F.coalesce("seen", F.lit(-1.0))).alias("bound"))
-    far = _meet(blocks, _route(looked, rings, dim, home=False), dim, top)
+    packs = cut_lineage(_packs(looked, rings, dim))
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    shelves = max(-(-int(counts.sum()) * dim // SHELF_VALUES), -(-tasks // packs.rdd.getNumPartitions()))
+    far = _search(blocks.coalesce(shelves), packs, rings, dim, top)
     best = _best(near.select("q", "v", "cosine").unionByName(far), top).select("q", "v", "cosine")
 
     # a distinct vector stands for its rows, of which the smallest ids can be among the answers

@@ -220,53 +220,51 @@ def minhash_signatures(hashes: DataFrame, num_hashes: int = 128, seed: int = 1)
                 out.append(m.view(np.int64))
         return pd.Series(out)
 
-    return hashes.select("id", sig(F.col("hs")).alias("sig")).filter(F.col("sig").isNotNull())
+    # else the filter would be moved below a repartition and the signatures made there as well
+    return hashes.select("id", sig.asNondeterministic()(F.col("hs")).alias("sig")).filter(F.col("sig").isNotNull())
 
 
-def _band_buckets(sigs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``id, band, key, sz, rep``: the buckets of each signature with their size and smallest member."""
-    bucket = F.explode(F.array(*[F.struct(F.lit(b).alias("band"),
-                                          F.xxhash64(F.lit(b), F.slice("sig", b * rows + 1, rows)).alias("key"))
-                                 for b in range(bands)]))
-    bk = sigs.select("id", bucket.alias("bk")).select("id", "bk.band", "bk.key")
-    size = bk.groupBy("band", "key").agg(F.count(F.lit(1)).alias("sz"), F.min("id").alias("rep"))
+def band_keys(sigs: DataFrame, bands: int = 16, rows: int = 8) -> DataFrame:
+    """``sigs`` with ``keys ARRAY<BIGINT>``, one hash of each band of the signature, in place of ``sig``."""
+    keys = F.array(*[F.xxhash64(F.lit(b), F.slice("sig", b * rows + 1, rows)) for b in range(bands)])
+    return sigs.withColumn("keys", keys).drop("sig")
+
+
+def band_buckets(keyed: DataFrame) -> DataFrame:
+    """``id, band, key, sz, rep``: the band buckets (of ``id, keys``) with two members or more, their size and smallest member."""
+    bk = keyed.select("id", F.posexplode("keys").alias("band", "key"))
+    size = bk.groupBy("band", "key").agg(F.count(F.lit(1)).alias("sz"), F.min("id").alias("rep")).filter("sz > 1")
     return bk.join(size, ["band", "key"])
 
 
-def lsh_candidates(sigs: DataFrame, bands: int = 16, rows: int = 8, max_bucket: int = 64) -> DataFrame:
-    """Candidate pairs ``a < b`` sharing a band bucket.
+def lsh_candidates(buckets: DataFrame) -> DataFrame:
+    """Candidate pairs ``a < b`` that link each member of a bucket to the smallest one.
 
-    Buckets up to ``max_bucket`` members give all their pairs (bounded work
-    per bucket); a larger bucket - a near-identical cluster - links each
-    member to the bucket minimum instead, so its cost stays linear. What these
-    stars miss is found by ``pairs_across``.
+    Their number stays below that of the bucket entries, whatever the size of a bucket. What these stars miss is found by ``pairs_across``.
     """
-    bk = _band_buckets(sigs, bands, rows)
-    small = bk.filter(F.col("sz") <= max_bucket)
-    a = small.select(F.col("id").alias("a"), "band", "key")
-    b = small.select(F.col("id").alias("b"), "band", "key")
-    pairs = a.join(b, ["band", "key"]).filter(F.col("a") < F.col("b")).select("a", "b")
-    star = bk.filter((F.col("sz") > max_bucket) & (F.col("id") != F.col("rep"))).select(
-        F.col("rep").alias("a"), F.col("id").alias("b"))
-    return pairs.unionByName(star).distinct()
+    return buckets.filter(F.col("id") != F.col("rep")).select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def pairs_across(sigs: DataFrame, sizes: DataFrame, comp: DataFrame, threshold: float, bands: int = 16, rows: int = 8,
-                 max_bucket: int = 64) -> DataFrame:
-    """Candidate pairs ``a < b`` of buckets over ``max_bucket`` members whose components differ.
+def pairs_across(buckets: DataFrame, sizes: DataFrame, comp: DataFrame, threshold: float, tile: int = 64) -> DataFrame:
+    """Candidate pairs ``a < b`` of ``buckets`` whose components differ.
 
     ``comp`` (node, component) holds the links found so far, ``sizes`` (id, n) the set sizes; buckets within one component
-    are left out. The members of a bucket are dealt into tiles of about ``max_bucket``, and each pair of tiles is a join key of its own,
-    so no task holds more than two tiles of a key. A pair leaves the join, from its first shared bucket, unless the set sizes rule it out.
+    are left out. The members of a bucket are dealt into tiles of about ``tile``, and each pair of tiles is a join key of its own,
+    so no task holds more than two tiles of a key. Members of a bucket's most frequent component meet the others, not one another.
+    A pair leaves the join, from its first shared bucket, unless the set sizes rule it out.
     """
-    bk = _band_buckets(sigs, bands, rows).filter(F.col("sz") > max_bucket)
-    bk = bk.join(comp, bk["id"] == comp["node"], "left").select("id", "band", "key", "sz", F.coalesce("component", "id").alias("comp"))
-    mixed = bk.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("band", "key")
-    bk = bk.join(mixed, ["band", "key"], "left_semi").join(sizes, "id")
-    mine = bk.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("band", "key"))).alias("all"))  # at most one a band
-    n_tiles = F.ceil(F.col("sz") / max_bucket).cast("int")
-    bk = bk.join(mine, "id").withColumn("tile", F.pmod(F.xxhash64("id"), n_tiles).cast("int"))
-    tiles = bk.withColumn("other", F.explode(F.sequence(F.lit(0), n_tiles - 1)))
+    bk = buckets.join(comp, buckets["id"] == comp["node"], "left").select("id", "band", "key", F.coalesce("component", "id").alias("comp"))
+    shares = bk.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("band", "key").agg(
+        F.max(F.struct("m", "comp")).alias("main"), F.sum("m").alias("sz"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    bk = bk.join(shares, ["band", "key"]).join(sizes, "id")
+    mine = bk.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("band", "key"))).alias("all"))  # at most one a band
+    # tiles 0 .. others - 1 hold the others, the main component's follow
+    others, mains = (F.ceil(x / tile).cast("int") for x in (F.col("sz") - F.col("main.m"), F.col("main.m")))
+    bk = bk.join(mine, "id").withColumn("others", others).withColumn("mains", mains).withColumn("is_main", F.col("comp") == F.col("main.comp"))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    bk = bk.withColumn("tile", F.when(F.col("is_main"), F.col("others") + dealt(F.col("mains"))).otherwise(dealt(F.col("others"))))
+    to = F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)
+    tiles = bk.withColumn("other", F.explode(to))
     side = lambda x: tiles.select("band", "key", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"), "tile",
                                   F.struct("id", "comp", "n", "all").alias(x), F.col("tile").alias(f"t{x}")).drop("tile")
     j = side("x").filter("tx = ti").join(side("y").filter("ty = tj"), ["band", "key", "ti", "tj"])
@@ -291,30 +289,42 @@ def jaccard_verify(pairs: DataFrame, hashes: DataFrame, threshold: float) -> Dat
     return j.select("a", "b", jac.alias("jaccard")).filter(F.col("jaccard") >= threshold)
 
 
+BROADCAST_IDS = 1_000_000  # the texts of so many named ids are found without a shuffle of all texts
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """``jaccard_verify`` of ``pairs`` over ``texts`` (id, t): only the texts that a pair names are hashed."""
+    pairs = cut_lineage(pairs)
+    named = cut_lineage(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    named = F.broadcast(named) if named.count() <= BROADCAST_IDS else named
+    return jaccard_verify(pairs, shingle_hashes(texts.join(named, "id", "left_semi"), "id", "t", normalized=True), threshold)
+
+
 def near_duplicate_documents(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.90,
                              num_hashes: int = 128, bands: int = 16) -> DataFrame:
     """Canonical id per document from MinHash-LSH near-duplicate detection.
 
-    Texts are normalised once. Identical texts are grouped by the SHA-256 of
-    the normalised text (the shuffle carries 32-byte keys, not documents) and
+    One scan leaves 32 bytes of SHA-256, the set size and a hash of each band of
+    a text; neither texts nor shingle sets are stored or shuffled but those that
+    a candidate pair names. Identical texts are grouped by the SHA-256 and
     represented by their smallest id; near duplicates are found between the
     representatives by LSH and verified by exact Jaccard, so precision is exact
     and only recall is probabilistic (P[candidate | J=0.9] ~ 0.9999 with
     16 x 8 bands). Output ``id, canonical_id``.
     """
     src = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t0")), "id")
-    normed = cut_lineage(src.select("id", normalize_ws(F.col("t0")).alias("t"))
-                         .filter(F.col("t").isNotNull()).withColumn("k", F.sha2("t", 256)))
-    rep = normed.groupBy("k").agg(F.min("id").alias("vid"))
-    rv = normed.select("id", "k").join(rep, "k").select("id", "vid")
-    reps = normed.join(rep.select(F.col("vid").alias("id")), "id", "left_semi")
-    hs = cut_lineage(shingle_hashes(reps, "id", "t", normalized=True))
-    sigs = cut_lineage(minhash_signatures(hs, num_hashes))
-    cand = lsh_candidates(sigs, bands, num_hashes // bands)
-    ver = cut_lineage(jaccard_verify(cand, hs, threshold))
-    sizes = hs.select("id", F.size("hs").alias("n"))
-    more = pairs_across(sigs, sizes, connected_components(ver, "a", "b"), threshold, bands, num_hashes // bands)
-    ver = ver.unionByName(jaccard_verify(more, hs, threshold))
+    normed = src.select("id", normalize_ws(F.col("t0")).alias("t")).filter(F.col("t").isNotNull())
+    hs = shingle_hashes(normed.select(F.struct("id", F.unhex(F.sha2("t", 256)).alias("k")).alias("row"), "t"), "row", "t", normalized=True)
+    sigs = minhash_signatures(hs.select(F.struct("id.id", "id.k", F.size("hs").alias("n")).alias("id"), "hs"), num_hashes)
+    told = cut_lineage(band_keys(sigs, bands, num_hashes // bands).select("id.*", "keys"))
+    rep = told.groupBy("k").agg(F.min("id").alias("vid"))
+    rv = told.select("id", "k").join(rep, "k").select("id", "vid")
+    reps = told.select("id", "n", "keys").join(rep.select(F.col("vid").alias("id")), "id", "left_semi")
+    buckets = cut_lineage(band_buckets(reps))
+    texts = normed.select("id", "t")
+    ver = cut_lineage(_verify(lsh_candidates(buckets), texts, threshold))
+    sizes = told.select("id", "n").join(buckets.select("id").distinct(), "id", "left_semi").distinct()
+    ver = ver.unionByName(_verify(pairs_across(buckets, sizes, connected_components(ver, "a", "b"), threshold), texts, threshold))
     comp = connected_components(ver, "a", "b")
     out = (rv.join(comp, rv["vid"] == comp["node"], "left")
            .select("id", F.coalesce(F.col("component"), F.col("vid")).alias("canonical_id")))

@@ -101,3 +101,16 @@ def test_a_block_is_searched_in_slices(spark, monkeypatch):
     x, ids = clustered(300, 8, 4), list(range(300))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], SCHEMA)
     assert answers(N.nearest_neighbours(df, "id", "vec", k=5, pivots=2)) == brute(ids, x, 5)
+
+
+def test_other_blocks_are_searched_without_a_shuffle(spark, monkeypatch):
+    """Many blocks that all queries need: a query is packed once, not once a block, and the search has no exchange."""
+    seen, search = [], N._search
+    monkeypatch.setattr(N, "_search", lambda blocks, packs, *a: seen.append((blocks.count(), packs, search(blocks, packs, *a))) or seen[-1][2])
+    rng = np.random.default_rng(6)
+    x, ids = rng.standard_normal((500, 16)), list(range(500))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], SCHEMA)
+    assert answers(N.nearest_neighbours(df, "id", "vec", k=5, pivots=4, block=20, sample_values=64)) == brute(ids, x, 5)
+    (n_blocks, packs, found), = seen
+    assert n_blocks >= 20 and sum(len(r["qids"]) // 8 for r in packs.collect()) == 500
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")

@@ -134,6 +134,22 @@ def test_near_duplicates_in_large_buckets(spark):
     assert out == {i: i - i % 2 for i in range(300)}
 
 
+def test_texts_without_likeness_are_not_stored(spark):
+    """Disk: documents that no candidate pair names leave their keys in the checkpoint folder, neither texts nor shingle sets."""
+    from pathlib import Path
+    from urllib.parse import urlparse
+    rnd = random.Random(13)
+    rows = [(i, " ".join(f"w{rnd.randrange(10 ** 6)}" for _ in range(4000))) for i in range(40)]
+    rows.append((40, rows[0][1] + " zzz"))
+    df = spark.createDataFrame(rows, "id long, text string")
+    folder = Path(urlparse(spark.sparkContext.getCheckpointDir()).path)
+    used = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    before = used()
+    out = {r["id"]: r["canonical_id"] for r in R.near_duplicate_documents(df, "id", "text", 0.9).collect()}
+    assert out == {**{i: i for i in range(40)}, 40: 0}
+    assert used() - before < sum(len(t) for _, t in rows) / 4
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
